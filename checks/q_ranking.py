@@ -179,7 +179,7 @@ def _fed(spark, sf):
 
 _TEXT = "coalesce(nullif(p_text, ''), nullif(message_raw, ''), event_type, '')"
 _TAGS = """array_to_string(list_filter(list_concat([event_type], string_split(coalesce(p_tags, ''), '|'),
-  [CASE WHEN p_level <> '' THEN 'risk:' || p_level END, p_actor, p_alert, CASE WHEN source = 'raw' THEN 'raw_youtube_chat' END]), t -> t <> '')[1:4], ',')"""
+  [CASE WHEN p_level <> '' THEN 'risk:' || p_level END, p_actor, p_alert, CASE WHEN source = 'raw' THEN 'raw_youtube_chat' END]), lambda t: t <> '')[1:4], ',')"""
 
 
 @query("b20_is_categorised", S.chain(S.COMMENTS, S.SIGNALS, _EVENTS, final="""

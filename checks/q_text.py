@@ -253,8 +253,8 @@ def c23(spark, sf):
     f"""parts AS (SELECT event_id, string_split({S.clean('t')}, '') AS c, string_split({S.norm('t', 'any')}, ' ') AS w FROM noisy)""",
     final="""
 SELECT event_id,
-  len(list_filter(range(1, len(c) - 4), i -> c[i] = c[i+1] AND c[i] = c[i+2] AND c[i] = c[i+3] AND c[i] = c[i+4] AND c[i] = c[i+5])) > 0
-  OR len(list_filter(range(1, len(w) - 1), i -> w[i] <> '' AND w[i] = w[i+1] AND w[i] = w[i+2])) > 0
+  len(list_filter(range(1, len(c) - 4), lambda i: c[i] = c[i+1] AND c[i] = c[i+2] AND c[i] = c[i+3] AND c[i] = c[i+4] AND c[i] = c[i+5])) > 0
+  OR len(list_filter(range(1, len(w) - 1), lambda i: w[i] <> '' AND w[i] = w[i+1] AND w[i] = w[i+2])) > 0
   OR (len(w) >= 4 AND len(list_distinct(w)) = 1) AS repeated FROM parts"""))
 def c24(spark, sf):
     t = F.col("t")

@@ -90,8 +90,8 @@ def _noise(rule: RuleProfile) -> str:
     bare = "regexp_replace(rule_text, '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]|\\s', '', 'g')"
     if rule.noise == "full":
         return f"({short} OR (length(trim(rule_text)) > 0 AND NOT regexp_matches({bare}, '[a-zA-Z0-9]')) OR {laugh}|(zzz){{3,}})'))"
-    run = "len(list_filter(range(1, len(chars) - 4), i -> chars[i] = chars[i + 1] AND chars[i] = chars[i + 2] AND chars[i] = chars[i + 3] AND chars[i] = chars[i + 4] AND chars[i] = chars[i + 5])) > 0"
-    triple = "len(list_filter(range(1, len(words) - 1), i -> words[i] = words[i + 1] AND words[i] = words[i + 2] AND words[i] NOT IN (':', ''))) > 0"
+    run = "len(list_filter(range(1, len(chars) - 4), lambda i: chars[i] = chars[i + 1] AND chars[i] = chars[i + 2] AND chars[i] = chars[i + 3] AND chars[i] = chars[i + 4] AND chars[i] = chars[i + 5])) > 0"
+    triple = "len(list_filter(range(1, len(words) - 1), lambda i: words[i] = words[i + 1] AND words[i] = words[i + 2] AND words[i] NOT IN (':', ''))) > 0"
     only_codes = r"regexp_matches(trim(rule_text), '^:\S+:(\s+:\S+:)*$')"
     equal = "(len(string_split(text_norm, ' ')) >= 4 AND len(list_distinct(string_split(text_norm, ' '))) = 1)"
     symbols = f"(trim(rule_text) = '' OR {only_codes} OR ({bare} <> '' AND NOT regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]')) OR (text_norm <> '' AND NOT regexp_matches(text_norm, '[a-z0-9]')))"

@@ -85,7 +85,12 @@ def _without_nulls(array: Column) -> Column:
 def _found_phrases(padded: Column, phrases: Iterable[str]) -> Column:
     if len(phrases) <= _MAX_PHRASE_EXPRESSIONS:
         return _without_nulls(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(p)) for p in phrases]))
-    return F.filter(_strings(phrases), lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
+    # the outer one-element transform computes the text once for all phrases
+    per_text = F.transform(
+        F.array(padded),
+        lambda t: F.filter(_strings(phrases), lambda p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" ")))),
+    )
+    return F.get(per_text, F.lit(0))
 
 
 def find_terms(normalized: Column, terms: Iterable[str]) -> Column:
@@ -157,6 +162,18 @@ def _category_matches(df: DataFrame, rules: RuleProfile) -> DataFrame:
     )
 
 
+def compute_once(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Keep costly columns from being computed again above this point.
+
+    Catalyst moves a filter below the projection that makes its columns and puts the whole
+    expression in their place, once per mention. A one-row ``inline`` stands in the way: later
+    filters and projections read plain columns. Filters on other columns still move below it.
+    """
+    names = list(columns)
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def _noise_flag(source: Column, rules: RuleProfile) -> Column:
     norm = F.col("text_norm")
     if rules.noise == "stream":
@@ -197,11 +214,16 @@ def add_rules(df: DataFrame, rules: str | RuleProfile = "v1", with_terms: bool =
     rules = profile(rules)
     df, source = _with_text(df, rules)
     df = _category_matches(df.withColumn("text_norm", _normalize(source, rules)), rules)
+    df = df.withColumn("is_spam_noise", _noise_flag(source, rules))
+    costly = ["text_norm", "is_spam_noise", *[f"_{c}" for c in rules.lexicon]]
+    if with_terms and rules.match == "term":
+        df = df.withColumn("matched_terms", F.sort_array("_hits"))
+        costly.append("matched_terms")
+    df = compute_once(df.drop("_hits"), costly)
     df = df.withColumns(
         {
             **{flag: F.col(f"_{category}") for category, flag in _CATEGORY_FLAGS.items()},
             "has_discriminatory_language": F.col("_ethnic_racial_slur") | F.col("_homophobic_slur"),
-            "is_spam_noise": _noise_flag(source, rules),
         }
     )
     charged = [F.col("_polarization")]
@@ -211,9 +233,7 @@ def add_rules(df: DataFrame, rules: str | RuleProfile = "v1", with_terms: bool =
     df = df.withColumns({"local_risk_score": risk_score(rules), "local_rule_tags": rule_tags()})
     if "video_offset_msec" in df.columns:
         df = df.withColumn("minute", minute_bucket(F.col("video_offset_msec")))
-    if with_terms and rules.match == "term":
-        df = df.withColumn("matched_terms", F.sort_array("_hits"))
-    return df.drop("_text", "_hits", *[f"_{category}" for category in CATEGORIES])
+    return df.drop("_text", *[f"_{category}" for category in CATEGORIES])
 
 
 def matched_terms(df: DataFrame, rules: str | RuleProfile = "l", key: str = "event_id") -> DataFrame:
@@ -223,7 +243,8 @@ def matched_terms(df: DataFrame, rules: str | RuleProfile = "l", key: str = "eve
     folded = fold_lexicon(rules.lexicon, rules.squeeze)
     every_term = [term for terms in folded.values() for term in terms]
     # the short hit list is probed again per category instead of the whole text
-    hits = df.select(key, find_terms(_normalize(source, rules), every_term).alias("_hits")).where(F.size("_hits") > 0)
+    normal = df.select(key, _normalize(source, rules).alias("_norm"))
+    hits = compute_once(normal.select(key, find_terms(F.col("_norm"), every_term).alias("_hits")), ["_hits"])
     per_category = F.array(
         *[
             F.struct(F.lit(c).alias("category"), F.array_intersect("_hits", _strings(terms)).alias("terms"))
@@ -295,4 +316,4 @@ def add_signals(events: DataFrame, rules: str | RuleProfile = "s", actors=None)
     df = events.withColumn("message_text", text.main_text(F.col("message_clean"), F.col("message_raw")))
     df = add_rules(df, rules)
     actor = resolve_actor(F.col("text_norm")) if actors is None else resolve_actor(F.col("text_norm"), actors)
-    return df.withColumn("actor", actor)
+    return compute_once(df.withColumn("actor", actor), ["actor"])

@@ -1,4 +1,4 @@
-"""Terms as tables: n-grams of a text joined with a lexicon of any size, and term rankings."""
+"""Terms as tables: the words of a text joined with a lexicon of any size, and term rankings."""
 
 from __future__ import annotations
 
@@ -8,33 +8,38 @@ from murmullo.functions.lexicon import MAX_INLINE_TERMS
 from murmullo.functions.text import norm_text
 
 
-def ngrams(normalized: Column, longest: int) -> Column:
-    """Distinct word n-grams (1 to ``longest`` words); ':' is no word and joins none."""
-    words = F.filter(F.split(F.replace(normalized, F.lit(":"), F.lit(" : ")), " "), lambda w: w != "")
+def explode_words(df: DataFrame, key: str, text: Column, longest: int = 1, squeeze: str | None = "vowels") -> DataFrame:
+    """(key, word, phrase) for every word of the normalised text.
 
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)]))
-    return F.array_distinct(grams)
-
-
-def explode_terms(df: DataFrame, key: str, text: Column, longest: int = 1, squeeze: str | None = "vowels") -> DataFrame:
-    """(key, term): the distinct n-grams of each row's normalised text."""
-    return df.select(key, F.explode(ngrams(norm_text(text, squeeze), longest)).alias("term"))
-
-
-def join_lexicon(terms: DataFrame, lexicon: DataFrame, lexicon_rows: int | None = None) -> DataFrame:
-    """Rows of (key, term) whose term is in a (category, term) table.
-
-    The lexicon is broadcast only when its row count is known and small; otherwise Spark picks
-    the join, and a frequent term is spread by AQE's skew handling.
+    ``phrase`` is the word and its next ``longest`` - 1 neighbours, closed by a blank; ':' is a word
+    that no term contains. Shifted copies of the word array are zipped, so the work per text is
+    linear in its length.
+    """
+    spaced = F.replace(norm_text(text, squeeze), F.lit(":"), F.lit(" : "))
+    words = df.select(key, F.array_remove(F.split(spaced, " "), "").alias("_w"))
+    shifted = [F.col("_w").alias("w0")] + [
+        F.slice("_w", F.lit(n + 1), F.greatest(F.size("_w") - n, F.lit(0))).alias(f"w{n}") for n in range(1, longest)
+    ]
+    zipped = words.select(key, F.inline(F.arrays_zip(*shifted)))
+    names = [f"w{n}" for n in range(longest)]
+    return zipped.select(
+        key, F.col("w0").alias("word"), F.concat(F.concat_ws(" ", *names), F.lit(" ")).alias("phrase")
+    ) if longest > 1 else zipped.select(key, F.col("w0").alias("word"), F.concat("w0", F.lit(" ")).alias("phrase"))
+
+
+def join_lexicon(words: DataFrame, lexicon: DataFrame, key: str, lexicon_rows: int | None = None) -> DataFrame:
+    """Distinct (key, category, term) for the terms of a (category, term) table found in exploded words.
+
+    An equality join on a term's first word, then a check of the whole term. The lexicon is
+    broadcast only when its row count is known and small; otherwise Spark picks the join, and AQE
+    splits a frequent word.
     """
     small = lexicon_rows is not None and lexicon_rows <= MAX_INLINE_TERMS
-    table = lexicon.select("category", "term").distinct()
-    return terms.join(F.broadcast(table) if small else table, "term", "inner")
+    table = lexicon.select("category", "term").distinct().withColumn("word", F.substring_index("term", " ", 1))
+    found = words.join(F.broadcast(table) if small else table, "word", "inner").where(
+        F.startswith("phrase", F.concat("term", F.lit(" ")))
+    )
+    return found.select(key, "category", "term").distinct()
 
 
 def term_counts(matched: DataFrame) -> DataFrame:
