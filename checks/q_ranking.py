@@ -190,10 +190,10 @@ def b20(spark, sf):
 
 
 @query("b21_search", S.chain(S.COMMENTS, S.SIGNALS, _EVENTS, final=f"""
-SELECT event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, coalesce(event_type, ''), coalesce(p_actor, ''), coalesce(p_alert, ''))), 'einheit d')"""))
+SELECT event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, coalesce(event_type, ''), coalesce(p_actor, ''), coalesce(p_alert, ''))), 'of the')"""))
 def b21(spark, sf):
     columns = [FD.event_text(), "event_type", "payload.actor", "payload.alert_type"]
-    return FD.search(_fed(spark, sf), "  Einheit D", columns).select("event_id")
+    return FD.search(_fed(spark, sf), "  OF the ", columns).select("event_id")
 
 
 @query("b22_event_text_tags", S.chain(S.COMMENTS, S.SIGNALS, _EVENTS, final=f"SELECT event_id, {_TEXT} AS text, {_TAGS} AS tags FROM fed"))
