@@ -182,6 +182,8 @@ def f24(spark, sf):
     return profile_table(docs, ["doc_id"], 5)
 
 
-@query("f24_schema", "SELECT column_name, data_type FROM (VALUES ('doc_id', 'bigint'), ('lang', 'string'), ('n_chars', 'bigint'), ('source', 'string'), ('text', 'string')) t(column_name, data_type)")
+@query("f24_schema", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count({c}) AS filled FROM documents"
+    for c, t in (("doc_id", "bigint"), ("lang", "string"), ("n_chars", "bigint"), ("source", "string"), ("text", "string"))))
 def f24_schema(spark, sf):
     return schema_rows(read(spark, sf, "documents"))

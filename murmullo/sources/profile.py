@@ -14,6 +14,10 @@ def profile_table(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
-    """(column_name, data_type) of a table."""
-    rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column_name string, data_type string")
+    """(column_name, data_type, filled): the schema with each column's number of non-null values."""
+    counted = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    rows = [
+        F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f.name).alias("filled"))
+        for f in df.schema.fields
+    ]
+    return counted.select(F.inline(F.array(*rows)))
