@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from checks.data import comments, rules, ruled
 from checks.registry import query
-from murmullo.operators import metrics as M
 from murmullo.operators.corpus import prepare_corpus
-from murmullo.operators.batches import assign_batch, range_stats
+from murmullo.operators.batches import range_stats
 from murmullo.operators.ingest import row_range
 from murmullo.plans import batch, training
 from murmullo.session import scratch_path
@@ -74,7 +73,7 @@ def k08(spark, sf):
 
 @query("k09_ngram_baseline")
 def k09(spark, sf):
-    models = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]), max_iter=50)
+    models = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]), max_iter=15)
     return training.apply_ngram_models(_test(spark, sf), models).select("comment_id", *_PREDICTION)
 
 

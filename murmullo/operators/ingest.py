@@ -131,6 +131,8 @@ def number_rows(df: DataFrame, order: Sequence[str], within: Sequence[str] = (),
     starts = sizes.select(
         "_range", *within, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start")
     )
+    if not within:
+        starts = F.broadcast(starts)  # one row per range, so at most one per shuffle partition
     joined = ranged.alias("r").join(
         starts.alias("s"),
         [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("_range", *within)],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from murmullo.operators.ingest import number_rows
+
 PARTITION_KEYS = ("kafka_topic", "kafka_partition")
 
 
@@ -27,7 +29,9 @@ def snapshot_range(raw: DataFrame, bounds: DataFrame) -> DataFrame:
     ``bounds`` has one row per topic partition with columns start_offset and end_offset.
     """
     inside = (F.col("kafka_offset") >= F.col("start_offset")) & (F.col("kafka_offset") < F.col("end_offset"))
-    return raw.join(bounds, list(PARTITION_KEYS), "inner").where(inside).drop("start_offset", "end_offset")
+    # brokers hold some thousand partitions at most; a join by partition would put a whole
+    # partition's rows into one task
+    return raw.join(F.broadcast(bounds), list(PARTITION_KEYS), "inner").where(inside).drop("start_offset", "end_offset")
 
 
 def delta_plan(ends: DataFrame, cursor: DataFrame, limit: int) -> DataFrame:
@@ -78,10 +82,16 @@ def normalised_progress(offsets: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def rates(snapshots: DataFrame) -> DataFrame:
-    """Messages per second between consecutive snapshots (topic, ts, total) of each topic."""
-    by_time = Window.partitionBy("kafka_topic").orderBy("ts")
-    seconds = F.unix_micros("ts") / 1e6
-    grown = F.greatest(F.col("total") - F.lag("total").over(by_time), F.lit(0))
-    elapsed = seconds - F.lag(seconds).over(by_time)
+    """Messages per second between consecutive snapshots (topic, ts, total) of each topic.
+
+    Neighbours are found by an equality join on (topic, position), so a topic with a long history
+    is not one task.
+    """
+    numbered = number_rows(snapshots.select("kafka_topic", "ts", "total"), ["ts"], within=["kafka_topic"], name="_i")
+    before = numbered.select(
+        "kafka_topic", (F.col("_i") + 1).alias("_i"), F.col("ts").alias("_ts"), F.col("total").alias("_total")
+    )
+    grown = F.greatest(F.col("total") - F.col("_total"), F.lit(0))
+    elapsed = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1e6
     rate = F.when(elapsed > 0, F.round(grown / elapsed, 3)).otherwise(0.0)
-    return snapshots.select("kafka_topic", "ts", "total", rate.alias("rate"))
+    return numbered.join(before, ["kafka_topic", "_i"], "left").select("kafka_topic", "ts", "total", rate.alias("rate"))

@@ -100,22 +100,19 @@ def actor_leaderboard(signals: DataFrame, k: int = 8) -> DataFrame:
 def cumulative_actor_counts(signals: DataFrame, time: Column, last: int = 90) -> DataFrame:
     """Running mention count per actor at each point in time, last points only.
 
-    Mentions are summed per (actor, time point) first, so the window sees one row per point.
+    Mentions are summed per (actor, time point) first. The newest points are then kept per task
+    (top-k), and the running count is the actor's total less what came later, so no window ever
+    sees more than ``last`` points of an actor.
     """
     points = (
         signals.where(F.coalesce("actor", F.lit("")) != "")
         .groupBy("actor", time.alias("point"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    by_time = Window.partitionBy("actor").orderBy("point")
     newest = Window.partitionBy("actor").orderBy(F.desc("point"))
-    return (
-        points.withColumns(
-            {
-                "mentions": F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, 0)),
-                "_age": F.row_number().over(newest),
-            }
-        )
-        .where(F.col("_age") <= last)
-        .select("actor", "point", "mentions")
+    recent = points.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= last)
+    later = F.coalesce(F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = points.groupBy("actor").agg(F.sum("_n").alias("_total"))
+    return recent.withColumn("_later", later).join(totals, "actor").select(
+        "actor", "point", (F.col("_total") - F.col("_later")).alias("mentions")
     )
