@@ -39,7 +39,8 @@ def rules(name: str) -> RuleProfile:
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read(spark, sf, name)
+    table = tables.read(spark, sf, name)
+    return tables.spread(table) if name == "documents" else table
 
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:

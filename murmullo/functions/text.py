@@ -80,7 +80,9 @@ def norm_text(col: Column, squeeze: str | None = "vowels") -> Column:
         folded = F.translate(folded, ACCENTED, FOLDED)
         if squeeze == "vowels":
             folded = F.regexp_replace(folded, r"([aeiou])\1{2,}", "$1")
-    return F.trim(F.regexp_replace(folded, r"[^a-z0-9:_]+", " "))
+    # the text is lower case, so \w means [a-z0-9_] here; Java runs this class several times faster
+    # than the same set spelled out
+    return F.trim(F.regexp_replace(folded, r"[^\w:]+", " "))
 
 
 def norm_stream(col: Column) -> Column:

@@ -23,6 +23,15 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt out to all cores; any larger table as it is.
+
+    Text work is heavy per row, and a small file with one row group would be a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def comments_from_conversations(conversations: DataFrame) -> DataFrame:
     """Conversations as a topic snapshot: one comment per turn, numbered by (conv_id, turn)."""
     numbered = number_rows(
@@ -65,7 +74,7 @@ def comments(spark: SparkSession, directory: str) -> DataFrame:
 
 def corpus(spark: SparkSession, directory: str) -> DataFrame:
     """Documents with labels as a labelled corpus; ``split`` by the last digit of the id."""
-    joined = read(spark, directory, "documents").join(read(spark, directory, "labels"), "doc_id")
+    joined = spread(read(spark, directory, "documents")).join(read(spark, directory, "labels"), "doc_id")
     label = (1 - F.col("toxic")) * 2 + (1 - F.col("quality"))
     digit = F.col("doc_id") % 10
     return joined.select(
