@@ -83,13 +83,14 @@ def m04(spark, sf):
 
 
 @query("m04_next_missing", S.chain(S.COMMENTS, _BATCHED, _LEDGER, final=f"""
-SELECT target_count + {SIZE} AS next_target FROM (SELECT max(target_count) AS target_count FROM ledger)"""))
+SELECT CASE WHEN target <= (SELECT count(*) // {SIZE} * {SIZE} FROM comments) THEN target ELSE 0 END AS next_target
+FROM (SELECT coalesce(max(target_count), 0) + {SIZE} AS target FROM ledger)"""))
 def m04_missing(spark, sf):
     ledger = B.ledger_latest(_log(spark, sf)).withColumn("status", F.lit("done"))
     return B.next_batch(ledger, _eligible(spark, sf), SIZE)
 
 
-@query("g05_contiguous_done", S.chain(S.COMMENTS, _BATCHED, _LEDGER, final="SELECT max(target_count) AS contiguous_done FROM ledger WHERE status = 'done'"))
+@query("g05_contiguous_done", S.chain(S.COMMENTS, _BATCHED, _LEDGER, final="SELECT coalesce(max(target_count), 0) AS contiguous_done FROM ledger WHERE status = 'done'"))
 def g05(spark, sf):
     return B.contiguous_done(B.ledger_latest(_log(spark, sf)), _eligible(spark, sf), SIZE)
 
@@ -128,7 +129,7 @@ def m06_stages(spark, sf):
 
 
 @query("m07_ledger_summary", S.chain(S.COMMENTS, _BATCHED, _LEDGER, final="""
-SELECT max_by(batch_id, target_count) AS latest_batch_id, 0::BIGINT AS active_batches, count(*) FILTER (WHERE status = 'done') AS done_batches, 0::BIGINT AS failed_batches FROM ledger"""))
+SELECT coalesce(max_by(batch_id, target_count), '') AS latest_batch_id, 0::BIGINT AS active_batches, count(*) FILTER (WHERE status = 'done') AS done_batches, 0::BIGINT AS failed_batches FROM ledger"""))
 def m07(spark, sf):
     return B.ledger_summary(B.ledger_latest(_log(spark, sf)))
 
@@ -145,23 +146,28 @@ def m08_point(spark, sf):
     return B.resume_point(row_range(comments(spark, sf), 0, 150), 400)
 
 
-@query("i02_validate_disjoint", S.chain(S.COMMENTS, final="""
-SELECT count(*) FILTER (WHERE n <= 200) AS a_rows, 1::BIGINT AS a_min, 200::BIGINT AS a_max, count(*) FILTER (WHERE n > 200) AS b_rows,
-  201::BIGINT AS b_min, max(n) AS b_max, 0::BIGINT AS overlap, true AS disjoint FROM comments"""))
+def _disjoint_sql(low: int, expected: int = 0) -> str:
+    counts = f"AND a_rows = {expected} AND b_rows = {expected}" if expected else ""
+    return S.chain(S.COMMENTS, f"""
+facts AS (SELECT count(*) FILTER (WHERE n <= 200) AS a_rows, min(n) FILTER (WHERE n <= 200) AS a_min, max(n) FILTER (WHERE n <= 200) AS a_max,
+  count(*) FILTER (WHERE n > {low}) AS b_rows, min(n) FILTER (WHERE n > {low}) AS b_min, max(n) FILTER (WHERE n > {low}) AS b_max,
+  count(*) FILTER (WHERE n > {low} AND n <= 200) AS overlap FROM comments)""",
+                   final=f"SELECT *, coalesce(overlap = 0 AND a_max < b_min {counts}, false) AS disjoint FROM facts")
+
+
+@query("i02_validate_disjoint", _disjoint_sql(200))
 def i02(spark, sf):
     df = comments(spark, sf)
     return B.validate_disjoint(row_range(df, 1, 200), row_range(df, 201))
 
 
-@query("i02_overlapping", S.chain(S.COMMENTS, final="""
-SELECT count(*) FILTER (WHERE n <= 200) AS a_rows, 1::BIGINT AS a_min, 200::BIGINT AS a_max, count(*) FILTER (WHERE n > 150) AS b_rows,
-  151::BIGINT AS b_min, max(n) AS b_max, 50::BIGINT AS overlap, false AS disjoint FROM comments"""))
+@query("i02_overlapping", _disjoint_sql(150, 200))
 def i02_overlap(spark, sf):
     df = comments(spark, sf)
     return B.validate_disjoint(row_range(df, 1, 200), row_range(df, 151), expected=200)
 
 
-@query("i03_unified_feed", S.chain(S.COMMENTS, S.SIGNALS, _BATCHED.replace("FROM comments", "FROM comments"), _LEDGER, """
+@query("i03_unified_feed", S.chain(S.COMMENTS, S.SIGNALS, _BATCHED, _LEDGER, """
 flagged AS (SELECT * FROM signals WHERE has_ethnic_racial_slur OR has_homophobic_slur OR (has_terruqueo AND has_general_insult)
   OR (has_fraude AND has_electoral_institution) OR local_risk_score >= 4)""", final=f"""
 SELECT 'stream' AS source, 'political_signals' AS event_type, NULL AS job_name, message_text AS text, event_id FROM signals UNION ALL
