@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from murmullo.functions.scalars import OFFENSIVE_LABELS, MULTICLASS_LABELS
 from murmullo.functions.text import clean_text, norm_text, text_or_empty
 from murmullo.operators.joins import _strict
+from murmullo.operators.rules import compute_once
 
 # Neutral label and names of the alternative binary mapping; fallback stop words.
 NEUTRAL_LABEL = 2
@@ -33,7 +34,7 @@ def prepare_corpus(df: DataFrame) -> DataFrame:
             "text_clean": clean_text(F.col("comment")),
         }
     )
-    return drop_empty(prepared)
+    return drop_empty(compute_once(prepared, ["text_clean"]))
 
 
 def enrich_labels(df: DataFrame) -> DataFrame:
@@ -57,26 +58,27 @@ def split_distribution(splits: dict[str, DataFrame], col: str) -> DataFrame:
     return tagged.groupBy("split", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def tokens(text_clean: Column, stop_words: Sequence[str], shortest: int = 2) -> Column:
-    """Words of a clean text (ASCII word characters), short words and stop words removed."""
-    words = F.split(text_clean, r"\W+")
-    return F.filter(words, lambda w: (F.length(w) >= shortest) & ~w.isin(*stop_words))
+def is_token(word: Column, stop_words: Sequence[str], shortest: int = 2) -> Column:
+    """Long enough and no stop word."""
+    return (F.length(word) >= shortest) & ~word.isin(*stop_words)
 
 
 def tfidf_table(corpus: DataFrame, stop_words: Sequence[str] = FALLBACK_STOP_WORDS) -> DataFrame:
     """(token, tf, df, idf) over a prepared corpus, idf = ln((n + 1) / (df + 1)).
 
-    Every occurrence counts for tf and the distinct tokens of a row for df; both travel as flagged
-    rows through one aggregation with partial sums, so the shuffle moves one row per task and token.
+    Each row gives all its words (for tf) followed by its distinct words (for df), told apart by
+    position. One aggregation with partial sums counts both, so the shuffle moves one row per task
+    and token, and the whole pipeline stays in generated code.
     """
     n = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    words = corpus.select(tokens(F.col("text_clean"), stop_words).alias("_t"))
-
-    def flagged(array: Column, is_document: bool) -> Column:
-        return F.transform(array, lambda w: F.struct(w.alias("token"), F.lit(is_document).alias("doc")))
-
-    rows = words.select(F.inline(F.concat(flagged(F.col("_t"), False), flagged(F.array_distinct("_t"), True))))
-    counts = rows.groupBy("token").agg(F.count_if(~F.col("doc")).alias("tf"), F.count_if("doc").alias("df"))
+    words = corpus.select(F.split("text_clean", r"\W+").alias("_w"))
+    # the size is a column of its own, so that the exploded rows do not carry the array along
+    sized = compute_once(words.withColumn("_n", F.size("_w")), ["_w", "_n"])
+    rows = sized.select("_n", F.posexplode(F.concat("_w", F.array_distinct("_w"))).alias("_pos", "token"))
+    is_use = F.col("_pos") < F.col("_n")
+    counts = rows.where(is_token(F.col("token"), stop_words)).groupBy("token").agg(
+        F.count_if(is_use).alias("tf"), F.count_if(~is_use).alias("df")
+    )
     return counts.withColumn("idf", F.log((n + 1).cast("double") / (F.col("df") + 1)))
 
 
