@@ -97,7 +97,7 @@ def judge(
     buckets: int = 1 << 14,
     most_trusted: int = 20_000,
     smoothing: float = 1.0,
-    threshold: float = -0.2,
+    threshold: float = -0.12,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Every document with its counts, ``n_grams``, ``llr`` (per n-gram), ``base_failed`` and ``kept``.

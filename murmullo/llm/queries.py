@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import mixing, quality_rules, secrets
+from murmullo.llm import mixing, quality_rules, secrets, simhash, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,27 @@ MIX_WEIGHTS = {
 @query
 def op7_source_mix(spark, sf):
     return mixing.select_mix(table(spark, sf, "documents"), MIX_WEIGHTS, share=1.0, epochs=2)
+
+
+@query
+def op6_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op5_warc(spark, sf):
+    captures = warc.archive(table(spark, sf, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+ORACLES["op5_warc"] = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d),
+u AS (SELECT *, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host, regexp_extract(url, '^https?://[^/]*([^#]*)', 1) AS path FROM r)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
+       strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM u
+"""
