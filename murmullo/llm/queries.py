@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import mixing, quality_rules, secrets, simhash, warc
+from murmullo.llm import crf, mixing, quality_rules, secrets, simhash, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
        strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM u
 """
+
+
+@query
+def op4_quality_classifier(spark, sf):
+    return crf.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
