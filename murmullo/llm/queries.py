@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import crf, mixing, quality_rules, secrets, simhash, warc
+from murmullo.llm import crf, mixing, packing, quality_rules, secrets, simhash, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ FROM u
 @query
 def op4_quality_classifier(spark, sf):
     return crf.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op3_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
