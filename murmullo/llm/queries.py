@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import crf, mixing, packing, quality_rules, secrets, simhash, warc
+from murmullo.llm import crf, descent, mixing, packing, pieces, quality_rules, secrets, simhash, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,24 @@ def op4_quality_classifier(spark, sf):
 @query
 def op3_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def op8_embedding_descent(spark, sf):
+    return descent.near_duplicates(table(spark, sf, "embeddings"))
+
+
+# All pairs: for the small scales this SQL is run on.
+ORACLES["op8_embedding_descent"] = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, l.b FROM r JOIN l ON r.t = l.a),
+c AS (SELECT s AS vec_id, min(t) AS component_id FROM r GROUP BY s)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
+@query
+def op10_merge_dropout(spark, sf):
+    return pieces.encode_documents(table(spark, sf, "documents"))
