@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from murmullo.llm import mixing, quality_rules
+from murmullo.llm import lines, mixing, pieces, quality_rules, simhash
 from murmullo.llm.common import table
 from murmullo.llm.queries import MIX_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIX_SHARE = 0.95  # of the tokens that come in
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +17,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line resembles; n_chars counts what is left."""
+    return lines.deduplicate(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id; rows without id stay."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    # rows that repeat an id are one document
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    once = kept.withColumn("place", place).where("place = 1").select(*COLUMNS)
+    return once.union(docs.where("doc_id is null").select(*COLUMNS))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, at most once each."""
-    return mixing.select_mix(docs, MIX_WEIGHTS, share=0.95, epochs=1, keep=COLUMNS).select(*COLUMNS)
+    return mixing.select_mix(docs, MIX_WEIGHTS, share=MIX_SHARE, epochs=1, keep=COLUMNS).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return pieces.encode_documents(docs, keep=["lang", "source"])
 
 
-STAGES = [("quality_rules", quality), ("source_mix", mix)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality), ("line_dedup", line_dedup), ("simhash_dedup", near_dedup), ("source_mix", mix), ("merge_dropout", encode),
+]
+ORACLE_SQL = None  # hashes, components and merges have no SQL; tests/llm has a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

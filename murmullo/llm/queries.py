@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import crf, descent, mixing, packing, pieces, quality_rules, secrets, simhash, warc
+from murmullo.llm import crf, descent, lines, mixing, packing, pieces, quality_rules, secrets, simhash, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compone
 @query
 def op10_merge_dropout(spark, sf):
     return pieces.encode_documents(table(spark, sf, "documents"))
+
+
+@query
+def op9_line_dedup(spark, sf):
+    return lines.report(table(spark, sf, "documents"))
