@@ -113,7 +113,7 @@ def judge(
         "llr", F.coalesce(F.aggregate("b", F.lit(0.0), lambda a, x: a + F.get("weights", x)) / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "llr", "base_failed", "kept"]
-    return (
-        scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-        .select(*([F.col(v).alias(c) for c, v in carried.items()] or ["doc_id"]), *[c for c in columns if c not in (keep or [])])
-    )
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # made as one row of an array: a filter on a result column is then tested on its value, not pushed below and computed again
+    once = F.inline(F.array(F.struct(*[c for c in columns if c not in (keep or [])])))
+    return judged.select(*([F.col(v).alias(c) for c, v in carried.items()] or ["doc_id"]), once)
