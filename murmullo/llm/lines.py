@@ -59,24 +59,10 @@ class Lines:
 
     def __init__(self, parts: list[tuple[int, int, bytes]], levels: np.ndarray | None = None):
         """parts: (doc, number of the first line, text); levels: rarity of each bucket, the order without it is by hash."""
-        raw = np.frombuffer(b"\n".join(p[2] for p in parts) + b"\n", np.uint8)
-        space = _SPACE[raw]
-        starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-        ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-        size = ends - starts
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if len(starts) and starts[0] == 0 else None
-        if place is None:
-            lead = starts[0] if len(starts) else len(raw)
-            place = np.concatenate((np.zeros(lead, np.int64), np.arange(lead, len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))))
-        # places beyond the table of weights start over with another factor, so long words differ too
-        weight = _W[place & 4095] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-        value = np.where(space, np.uint64(0), (raw.astype(np.uint64) + np.uint64(1)) * weight)
-        words = _mix(np.add.reduceat(value, starts) + size.astype(np.uint64) * _K) if len(starts) else np.empty(0, np.uint64)
+        raw, starts, size, words = self._hashed(parts)
         breaks = np.flatnonzero(raw == 10)
         line = np.searchsorted(breaks, starts)  # number among all lines
-        level = np.zeros(len(words), np.uint64) if levels is None else levels[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
-        rare = (level << np.uint64(56)) | ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(48)) | (words >> np.uint64(16))
-        order = np.lexsort((rare, line))
+        order = self._order(words, line, size, levels)
         words, line = words[order], line[order]
         once = np.ones(len(words), bool)
         once[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
@@ -90,6 +76,38 @@ class Lines:
         self.doc = np.array([p[0] for p in parts], np.int64)[part]
         self.line = at - begin[part] + np.array([p[1] for p in parts], np.int64)[part]
 
+    @staticmethod
+    def _hashed(parts):
+        """The bytes of all parts, and start, length and hash of every word."""
+        raw = np.frombuffer(b"\n".join(p[2] for p in parts) + b"\n", np.uint8)
+        space = _SPACE[raw]
+        starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+        size = ends - starts
+        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if len(starts) and starts[0] == 0 else None
+        if place is None:
+            lead = starts[0] if len(starts) else len(raw)
+            place = np.concatenate((np.zeros(lead, np.int64), np.arange(lead, len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))))
+        # places beyond the table of weights start over with another factor, so long words differ too
+        weight = _W[place & 4095] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
+        value = np.where(space, np.uint64(0), (raw.astype(np.uint64) + np.uint64(1)) * weight)
+        words = _mix(np.add.reduceat(value, starts) + size.astype(np.uint64) * _K) if len(starts) else np.empty(0, np.uint64)
+        return raw, starts, size, words
+
+    @staticmethod
+    def _order(words, line, size, levels):
+        """Order by line, then rarity, then length, then hash."""
+        level = np.zeros(len(words), np.uint64) if levels is None else levels[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+        short = np.uint64(63) - np.minimum(size, 63).astype(np.uint64)
+        tail = (level << np.uint64(34)) | (short << np.uint64(28))
+        key = (line.astype(np.uint64) << np.uint64(42)) | tail | (words >> np.uint64(36))
+        order = np.argsort(key)
+        key = key[order]
+        tied = key[1:] == key[:-1]
+        if (words[order[1:][tied]] != words[order[:-1][tied]]).any():  # the short hash of two words of a line is the same
+            order = np.lexsort((words, tail, line))
+        return order
+
     def chosen(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.sizes >= least)
 
@@ -117,15 +135,14 @@ def parts(texts: list[str | None], ids: list) -> Iterator[list[tuple[int, int, b
         yield run
 
 
-def rarity(documents: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(level, count) of each of the 2^BUCKET_BITS word buckets; both tables have a fixed size."""
+def rarity(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(level, count) of each of the 2^BUCKET_BITS word buckets over all words; both tables have a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for some in parts(batch.column("text").to_pylist(), batch.column("id").to_pylist()):
-                x = Lines(some)
-                words = x.words[np.repeat(x.sizes >= least, x.sizes)]
+                words = Lines._hashed(some)[3]
                 counts += np.bincount((words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         chunks = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(-1, 1 << CHUNK_BITS)
         used = np.flatnonzero(chunks.any(1))
@@ -147,13 +164,28 @@ def rarity(documents: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(4 * np.log2(counts + 1), 255).astype(np.uint8), counts
 
 
-def _sets(documents: DataFrame, levels: np.ndarray, counts: np.ndarray, percent: int, least: int) -> DataFrame:
-    """A row per line: class (cls, n, s0, s1), place (doc, line), keys and spots of its prefix words."""
-    splits = np.maximum(1, -(-counts // BLOCK_ENTRIES)).astype(np.int64)
-    held = documents.sparkSession.sparkContext.broadcast((levels, splits))  # fixed size
+def _firsts(order: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """For rows in an order, where the run of equal columns begins that each belongs to."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+
+SET = "cls long, n int, s0 long, s1 long, doc long, line int, keys array<long>"
+
+
+def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int) -> DataFrame:
+    """Classes of lines by task: class (cls, n, s0, s1), first place (doc, line) and prefix words, rare first.
+
+    Copies of a line within a run of texts are settled at once, so a line found everywhere is a row per run
+    at most; they are passed on as rows with n = 0 and the place of the earlier line in s0 and s1.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(levels)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, splits = held.value
+        levels = held.value
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for some in parts(batch.column("text").to_pylist(), ids):
@@ -161,36 +193,92 @@ def _sets(documents: DataFrame, levels: np.ndarray, counts: np.ndarray, percent:
                 at = x.chosen(least)
                 if not len(at):
                     continue
-                n = x.sizes[at]
-                bits = [np.uint64(1) << (x.words >> np.uint64(s) & np.uint64(63)) for s in (0, 6)]
                 half = (x.words >> np.uint64(12)) & np.uint64(1) == 1  # a word's bit lies in one of the two longs
+                bits = [np.uint64(1) << (x.words >> np.uint64(s) & np.uint64(63)) for s in (0, 6)]
                 bits = [np.where(half, bits[0], np.uint64(0)), np.where(half, np.uint64(0), bits[1])]
                 s0, s1 = (np.bitwise_xor.reduceat(b, x.first)[at].astype(np.int64) for b in bits)
-                cls = np.add.reduceat(_mix(x.words ^ _K), x.first)[at].astype(np.int64)
-                length = n - (percent * n + 99) // 100 + 1
-                row = np.repeat(np.arange(len(at)), length)
-                spot = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-                word = x.words[x.first[at][row] + spot]
-                many = splits[(word >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                if many.max() > 1:  # one key for each pair of blocks of a frequent word
-                    again = np.repeat(np.arange(len(row)), many)
-                    other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
-                    row, spot, word, many = row[again], spot[again], word[again], many[again]
-                    own = (cls[row].astype(np.uint64) % many.astype(np.uint64)).astype(np.int64)
-                    pair = np.minimum(own, other) * np.int64(1 << 31) + np.maximum(own, other)
-                    word = np.where(many > 1, _mix(word + (pair.astype(np.uint64) + np.uint64(1)) * _K), word)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(at))))), pa.int32())
-                doc = np.array([ids[i] for i in x.doc[at].tolist()], np.int64)
+                cls, n = np.add.reduceat(_mix(x.words ^ _K), x.first)[at].astype(np.int64), x.sizes[at]
+                doc, line = np.array([ids[i] for i in x.doc[at].tolist()], np.int64), x.line[at]
+                order = np.lexsort((line, doc, s1, s0, n, cls))
+                first = order[_firsts(order, [cls, n, s0, s1])]
+                copy = np.flatnonzero((first != order) & ((doc[first] != doc[order]) | (line[first] != line[order])))
+                own, to = order[first == order], first[copy]
+                copy = order[copy]
+                length = n[own] - (percent * n[own] + 99) // 100 + 1
+                offsets = np.concatenate(([0], np.cumsum(length)))
+                place = np.repeat(x.first[at][own] - offsets[:-1], length) + np.arange(offsets[-1])
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, np.full(len(copy), offsets[-1]))), pa.int32()), pa.array(x.words[place].astype(np.int64)))
+                both = np.concatenate((own, copy))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls), pa.array(n.astype(np.int32)), pa.array(s0), pa.array(s1), pa.array(doc),
-                     pa.array(x.line[at].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(word.astype(np.int64))),
-                     pa.ListArray.from_arrays(offsets, pa.array(spot.astype(np.int32)))],
-                    ["cls", "n", "s0", "s1", "doc", "line", "keys", "spots"])
+                    [pa.array(cls[both]), pa.array(np.concatenate((n[own], np.zeros(len(copy), np.int64))), pa.int32()),
+                     pa.array(np.concatenate((s0[own], doc[to]))), pa.array(np.concatenate((s1[own], line[to]))),
+                     pa.array(doc[both]), pa.array(line[both], pa.int32()), keys], ["cls", "n", "s0", "s1", "doc", "line", "keys"])
+
+    return documents.select("id", "text").mapInArrow(run, SET)
+
+
+ENTRY = "key long, doc long, at long, n int, s0 long, s1 long"
+
 
-    return documents.select("id", "text").mapInArrow(run, "cls long, n int, s0 long, s1 long, doc long, line int, keys array<long>, spots array<int>")
+def _entries(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """An entry for each prefix word of each class: key, first place (doc; line and place of the word in at), n, s0, s1.
 
+    A word counted more than BLOCK_ENTRIES times has a key for each pair of blocks of lines. Copies, found
+    here or before, are entries with n = 0 and the place of the earlier line in s0 and s1.
+    """
+    splits = np.maximum(1, -(-counts // BLOCK_ENTRIES)).astype(np.int64)
+    held = sets.sparkSession.sparkContext.broadcast(splits if splits.max() > 1 else None)  # fixed size
 
-PAIR = "doc long, line int, to_doc long, to_line int, more boolean"
+    def out(key, doc, line, spot, n, s0, s1):
+        at = line.astype(np.int64) << 32 | spot
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, at)] + [pa.array(n, pa.int32()), pa.array(s0), pa.array(s1)], ["key", "doc", "at", "n", "s0", "s1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gathered(batches)
+        if table is None:
+            return
+        cls, n, s0, s1, doc, line = (table.column(c).to_numpy() for c in ("cls", "n", "s0", "s1", "doc", "line"))
+        keys = table.column("keys")
+        ends, words = np.asarray(keys.offsets).astype(np.int64), keys.values.to_numpy()
+        done = np.flatnonzero(n == 0)
+        if len(done):
+            yield out(cls[done], doc[done], line[done], np.zeros(len(done), np.int64), n[done], s0[done], s1[done])
+        order = np.lexsort((line, doc, s1, s0, n, cls))
+        order = order[n[order] > 0]
+        first = order[_firsts(order, [cls, n, s0, s1])] if len(order) else order
+        copy = (first != order) & ((doc[first] != doc[order]) | (line[first] != line[order]))
+        if copy.any():
+            c, to = order[copy], first[copy]
+            yield out(cls[c], doc[c], line[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int32), doc[to], line[to].astype(np.int64))
+        own = order[first == order]
+        splits = held.value
+        for at in range(0, len(own), 20_000):
+            o = own[at:at + 20_000]
+            length = ends[o + 1] - ends[o]
+            row = np.repeat(o, length)
+            spot = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            word = words[ends[row] + spot]
+            if splits is not None:
+                many = splits[(word.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                again = np.repeat(np.arange(len(row)), many)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+                row, spot, word, many = row[again], spot[again], word[again], many[again]
+                block = (cls[row].view(np.uint64) % many.astype(np.uint64)).astype(np.int64)
+                pair = (np.minimum(block, other) << 31 | np.maximum(block, other)).astype(np.uint64)
+                word = np.where(many > 1, _mix(word.view(np.uint64) + (pair + np.uint64(1)) * _K).view(np.int64), word)
+            yield out(word, doc[row], line[row], spot, n[row], s0[row], s1[row])
+
+    return sets.repartition("cls").mapInArrow(run, ENTRY)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]):
+    """All batches of a partition as one, or None without rows. Partitions are sized by Spark, and no key has many rows."""
+    some = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(some).combine_chunks().to_batches(max_chunksize=1 << 40)[0] if some else None
+
+
+CANDIDATE, MORE, COPY = 0, 1, 2
+PAIR = "doc long, line int, to_doc long, to_line int, kind int"
 
 
 def _near(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -206,16 +294,18 @@ def _near(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     return ok[apart <= n[ok] + m[ok] - 2 * need[ok]]
 
 
-def _candidates(entries: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(line, earlier line that may be similar) for entries (key, doc, line, n, spot, s0, s1, probe); only probes ask.
+def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.ndarray | None = None) -> DataFrame:
+    """Lines and earlier ones that may be similar, with the kind of the pair; copies are passed on.
 
-    With ``most``, lines of large groups get that many earliest candidates, and ``more`` tells of others.
+    With ``most``, lines of large groups get that many of their earliest candidates, and those that can
+    have more say so. asking: table of the lines that ask (others are only asked); None: all ask.
     """
+    held = entries.sparkSession.sparkContext.broadcast(asking)  # fixed size
 
-    def emit(a, i, j, more):
+    def emit(a, i, j, kind):
         return pa.RecordBatch.from_arrays(
-            [pa.array(a["doc"][j]), pa.array(a["line"][j]), pa.array(a["doc"][i]), pa.array(a["line"][i]), pa.array(more)],
-            ["doc", "line", "to_doc", "to_line", "more"])
+            [pa.array(a["doc"][j]), pa.array(a["line"][j], pa.int32()), pa.array(a["doc"][i]), pa.array(a["line"][i], pa.int32()), pa.array(kind, pa.int32())],
+            ["doc", "line", "to_doc", "to_line", "kind"])
 
     def small(a, starts, size):
         x, y = np.triu_indices(size, 1)
@@ -223,15 +313,16 @@ def _candidates(entries: DataFrame, percent: int, most: int | None) -> DataFrame
         for at in range(0, len(starts), step):
             base = starts[at:at + step, None]
             i, j = (base + x).ravel(), (base + y).ravel()
-            asked = a["probe"][j]
-            i, j = i[asked], j[asked]
+            if a["asks"] is not None:
+                asked = a["asks"][j]
+                i, j = i[asked], j[asked]
             ok = _near(a, i, j, percent)
             if len(ok):
-                yield emit(a, i[ok], j[ok], np.zeros(len(ok), bool))
+                yield emit(a, i[ok], j[ok], np.full(len(ok), CANDIDATE))
 
     def large(a, start, end):
         """Entries of one group in order of place, against all earlier ones, block by block."""
-        probes = start + np.flatnonzero(a["probe"][start:end])
+        probes = np.arange(start, end) if a["asks"] is None else start + np.flatnonzero(a["asks"][start:end])
         for at in range(0, len(probes), 1024):
             j = probes[at:at + 1024]
             found = np.zeros(len(j), np.int64)
@@ -251,33 +342,38 @@ def _candidates(entries: DataFrame, percent: int, most: int | None) -> DataFrame
                     jj, ii = jj[rank < most], ii[rank < most]
                 if len(jj):
                     # a line with as many as it may have can have more
-                    yield emit(a, ii, j[jj], (found[jj] >= most) if most else np.zeros(len(jj), bool))
+                    yield emit(a, ii, j[jj], np.where(found[jj] >= most, MORE, CANDIDATE) if most else np.full(len(jj), CANDIDATE))
 
-    def groups(a):
-        first = np.flatnonzero(np.concatenate(([True], a["key"][1:] != a["key"][:-1])))
-        sizes = np.diff(np.append(first, len(a["key"])))
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= GROUP)]).tolist():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gathered(batches)
+        if table is None:
+            return
+        a = {c: table.column(c).to_numpy() for c in ("key", "doc", "at", "n", "s0", "s1")}
+        done = a["n"] == 0
+        if done.any():
+            line, to_line = (a["at"][done] >> 32).astype(np.int32), a["s1"][done].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a["doc"][done]), pa.array(line), pa.array(a["s0"][done]), pa.array(to_line), pa.array(np.full(len(line), COPY, np.int32))],
+                ["doc", "line", "to_doc", "to_line", "kind"])
+        order = np.flatnonzero(~done)
+        order = order[np.argsort(a["key"][order])]
+        key = a["key"][order]
+        alone = np.ones(len(order), bool)  # words of one class only
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[1:] != key[:-1]
+        order = order[~alone]
+        order = order[np.lexsort((a["at"][order], a["doc"][order], a["key"][order]))]
+        a = {c: x[order] for c, x in a.items()}
+        a["line"], a["spot"], a["n"] = a["at"] >> 32, a["at"] & 0xFFFFFFFF, a["n"].astype(np.int64)
+        a["asks"] = None if held.value is None else held.value[_spot(a["doc"], a["line"])].astype(bool)
+        first = np.flatnonzero(np.concatenate(([True], a["key"][1:] != a["key"][:-1]))) if len(order) else order
+        sizes = np.diff(np.append(first, len(order)))
+        for size in np.unique(sizes[sizes <= GROUP]).tolist():
             yield from small(a, first[sizes == size], size)
         for k in np.flatnonzero(sizes > GROUP).tolist():
             yield from large(a, int(first[k]), int(first[k] + sizes[k]))
 
-    names = ["key", "doc", "line", "n", "spot", "s0", "s1", "probe"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            held = now if held is None else {c: np.concatenate((held[c], now[c])) for c in names}
-            cut = int(np.searchsorted(held["key"], held["key"][-1]))  # the last group may go on
-            if cut:
-                yield from groups({c: held[c][:cut] for c in names})
-                held = {c: held[c][cut:] for c in names}
-        if held is not None:
-            yield from groups(held)
-
-    return entries.repartition("key").sortWithinPartitions("key", "doc", "line").select(*names).mapInArrow(run, PAIR)
+    return entries.repartition("key").mapInArrow(run, PAIR)
 
 
 def _spot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -307,22 +403,31 @@ def _words_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """doc, line and words of the lines in the pairs, and of the few others that share a bit with them."""
     held = docs.sparkSession.sparkContext.broadcast(_in_question(pairs))  # fixed size
 
+    def out(x: Lines) -> pa.RecordBatch:
+        at = x.chosen(least)
+        offsets = np.concatenate(([0], np.cumsum(x.sizes[at])))
+        place = np.repeat(x.first[at] - offsets[:-1], x.sizes[at]) + np.arange(offsets[-1])
+        words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.words[place].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(x.doc[at]), pa.array(x.line[at].astype(np.int32)), words], ["doc", "line", "words"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = held.value
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            for some in parts(batch.column("text").to_pylist(), ids):
-                x = Lines(some)
-                at = x.chosen(least)
-                doc = np.array([ids[i] for i in x.doc[at].tolist()], np.int64)
-                asked = np.flatnonzero(seen[_spot(doc, x.line[at])])
-                at, doc = at[asked], doc[asked]
-                if not len(at):
+            some, size = [], 0
+            for i, (text, doc) in enumerate(zip(batch.column("text").to_pylist(), batch.column("id").to_pylist())):
+                if not text or doc is None:
                     continue
-                offsets = np.concatenate(([0], np.cumsum(x.sizes[at])))
-                place = np.repeat(x.first[at] - offsets[:-1], x.sizes[at]) + np.arange(offsets[-1])
-                words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.words[place].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(x.line[at].astype(np.int32)), words], ["doc", "line", "words"])
+                n = text.count("\n") + 1
+                asked = np.flatnonzero(seen[_spot(np.full(n, doc), np.arange(n))])
+                if len(asked):
+                    whole = text.encode().split(b"\n")
+                    some += [(doc, k, whole[k]) for k in asked.tolist()]
+                    size += sum(len(whole[k]) for k in asked.tolist())
+                if size >= RUN_BYTES:
+                    yield out(Lines(some))
+                    some, size = [], 0
+            if some:
+                yield out(Lines(some))
 
     return docs.select("id", "text").mapInArrow(run, "doc long, line int, words array<long>")
 
@@ -341,27 +446,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, least: int) -> Da
 def removed_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Lines that go: doc, line (from 0), and to_doc, to_line, an earlier line that is similar."""
     docs = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    levels, counts = rarity(docs, least)
-    rows = materialize(_sets(docs, levels, counts, percent, least), "line-sets")
-    # the first line of every class; its keys are those of all its lines
-    classes = rows.groupBy("cls", "n", "s0", "s1").agg(
-        F.min(F.struct("doc", "line", "keys", "spots")).alias("x"), F.count(F.lit(1)).alias("copies")).select("cls", "n", "s0", "s1", "copies", "x.*")
-    copied = materialize(classes.where("copies > 1").select("cls", "n", "s0", "s1", F.col("doc").alias("to_doc"), F.col("line").alias("to_line")), "copied")
-    copies = rows.select("cls", "n", "s0", "s1", "doc", "line").join(copied, ["cls", "n", "s0", "s1"]).where("doc > to_doc or (doc = to_doc and line > to_line)")
-    copies = copies.select("doc", "line", "to_doc", "to_line")
-    entries = classes.select("doc", "line", "n", "s0", "s1", F.explode(F.arrays_zip("keys", "spots")).alias("x")).select(
-        F.col("x.keys").alias("key"), "doc", "line", "n", F.col("x.spots").alias("spot"), "s0", "s1")
-    pairs = _candidates(entries.withColumn("probe", F.lit(True)), percent, MOST)
-    pairs = materialize(pairs.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("more").alias("more")), "candidates")
-    similar = materialize(_verified(docs, pairs, percent, least), "similar")
+    levels, counts = rarity(docs)
+    entries = _entries(_sets(docs, levels, percent, least), counts)
+    pairs = _candidates(entries, percent, MOST)
+    pairs = materialize(pairs.groupBy("doc", "line", "to_doc", "to_line").agg(F.max("kind").alias("kind")), "candidates")
+    similar = materialize(_verified(docs, pairs.where(F.col("kind") != COPY), percent, least), "similar")
     # lines with more candidates than they were given and none among these that fits
-    rest = materialize(pairs.where("more").select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti"), "rest")
+    rest = materialize(pairs.where(F.col("kind") == MORE).select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
-        asked = entries.join(rest.withColumn("probe", F.lit(True)), ["doc", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        wanted = materialize(asked.where("probe").select("key").distinct(), "keys")
-        others = materialize(_candidates(asked.join(wanted, "key"), percent, None).drop("more").distinct(), "candidates")
-        similar = similar.union(_verified(docs, others, percent, least))
-    return copies.union(similar)
+        asking = _in_question(rest.select("doc", "line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line")))
+        others = _candidates(entries, percent, None, asking).where(F.col("kind") != COPY).drop("kind").distinct()
+        similar = similar.union(_verified(docs, materialize(others, "candidates"), percent, least))
+    copies = pairs.where(F.col("kind") == COPY).select("doc", "line", "to_doc", "to_line")
+    return copies.union(similar).groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to")).select("doc", "line", "to.*")
 
 
 def deduplicate(documents: DataFrame, percent: int = PERCENT, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

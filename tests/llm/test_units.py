@@ -46,7 +46,7 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 300, 1) if i % 50] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(400)] + [(1000, 1000)]
     links += [(2000, 2001 + i) for i in range(300)]
     df = spark.createDataFrame(links, "a long, b long")
-    want = brute.components({x for p in links for x in p if p[0] != p[1]}, links)
+    want = brute.components({x for p in links for x in p if p[0] != p[1]}, [p for p in links if p[0] != p[1]])
     assert {r.node: r.component for r in graph.components(df).collect()} == want
     assert graph.components(df.where("a < 0")).count() == 0
 
@@ -193,7 +193,7 @@ def test_marginals():
 def test_line_features_see_only_their_text():
     texts = [b"a b c d e f. \n\nx | y", b"", b"A!! B!!\nA!! B!!", b"w w w w w w w w"]
     x, size, counts = crf.line_features(texts)
-    assert counts.tolist() == [2, 1, 2, 1] and size.tolist() == [13, 1, 7, 7, 15]
+    assert counts.tolist() == [2, 1, 2, 1] and size.tolist() == [13, 5, 1, 7, 7, 15]
     at = 0
     for t, n in zip(texts, counts):
         alone, _, _ = crf.line_features([t])
