@@ -67,7 +67,8 @@ SELECT source_file, video_id, CAST(CAST(floor(coalesce(TRY_CAST(video_offset_mse
   {_sum('has_fraude', 'fraude')}, {_sum('has_polarization_signal', 'polarizacion')}, {_sum('is_spam_noise', 'spam')},
   avg(local_risk_score) AS avg_local_risk_score FROM ruled GROUP BY ALL"""))
 def f05(spark, sf):
-    return A.minute_aggregates_local(add_rules(predicted(spark, sf), rules("l")))
+    found = predicted(spark, sf)
+    return A.minute_aggregates_local(add_rules(found, rules("l")), times=found)
 
 
 def _dist(source, col):
@@ -243,8 +244,8 @@ def f21(spark, sf):
     return O.normalised_progress(*_offsets(spark, sf))
 
 
-@query("f22_actor_leaderboard", S.chain(S.COMMENTS, S.SIGNALS, final="""
-SELECT actor, count(*) AS mentions, CAST(sum(local_risk_score) AS BIGINT) AS score FROM signals WHERE actor <> '' GROUP BY actor ORDER BY mentions DESC, actor LIMIT 8"""))
+@query("f22_actor_leaderboard", S.chain(S.COMMENTS, S.SIGNALS, f"named AS (SELECT {S.CANONICAL_ACTOR} AS actor, local_risk_score FROM signals WHERE actor <> '')", final="""
+SELECT actor, count(*) AS mentions, CAST(sum(local_risk_score) AS BIGINT) AS score FROM named GROUP BY actor ORDER BY mentions DESC, actor LIMIT 8"""))
 def f22(spark, sf):
     return actor_leaderboard(add_signals(comments(spark, sf), rules("s"), TEST_ACTORS))
 

@@ -33,8 +33,8 @@ def g02(spark, sf):
     return K.examples_per_flag(ruled(spark, sf, "l"), "event_id", ["kafka_timestamp"])
 
 
-@query("g03_cumulative_actor_counts", S.chain(S.COMMENTS, S.SIGNALS, """
-points AS (SELECT actor, date_trunc('minute', kafka_timestamp) AS point, count(*) AS m FROM signals WHERE actor <> '' GROUP BY ALL),
+@query("g03_cumulative_actor_counts", S.chain(S.COMMENTS, S.SIGNALS, f"""
+points AS (SELECT {S.CANONICAL_ACTOR} AS actor, date_trunc('minute', kafka_timestamp) AS point, count(*) AS m FROM signals WHERE actor <> '' GROUP BY ALL),
 running AS (SELECT actor, point, CAST(sum(m) OVER (PARTITION BY actor ORDER BY point) AS BIGINT) AS mentions,
   row_number() OVER (PARTITION BY actor ORDER BY point DESC) AS age FROM points)""",
        final="SELECT actor, point, mentions FROM running WHERE age <= 90"))

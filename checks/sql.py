@@ -233,3 +233,13 @@ corpus AS (
     CASE WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split
   FROM documents d JOIN labels l USING (doc_id)
 )"""
+
+
+# Canonical actor of an alias, by hand: first match wins, others become lower case with underscores.
+CANONICAL_ACTOR = r"""CASE WHEN regexp_matches(lower(actor), 'keiko|fujimori') THEN 'keiko_fujimori_fp'
+  WHEN regexp_matches(lower(actor), 'onpe|jne') THEN 'onpe_jne'
+  WHEN regexp_matches(lower(actor), 'castillo|peru libre') THEN 'castillo_peru_libre'
+  WHEN regexp_matches(lower(actor), 'juntos|^jp$|jp_') THEN 'jp_juntos_por_el_peru'
+  WHEN regexp_matches(lower(actor), 'porky|aliaga|rla') THEN 'lopez_aliaga_porky'
+  WHEN contains(lower(actor), 'antauro') THEN 'antauro_humala'
+  ELSE regexp_replace(lower(actor), '\s+', '_', 'g') END"""

@@ -65,20 +65,18 @@ def minute_aggregates_hybrid(scored: DataFrame, ordered: bool = False, extra_key
     return result.orderBy(*GROUP_KEYS) if ordered else result
 
 
-def minute_aggregates_local(df: DataFrame, binary_label: str = "pred_binary_sparkml_label") -> DataFrame:
+def minute_aggregates_local(df: DataFrame, binary_label: str = "pred_binary_sparkml_label", times: DataFrame | None = None) -> DataFrame:
     """Per-minute table of the single-machine report: null groups kept, minute by best time field.
 
-    Which time field is usable is a property of the whole table; it is read as scalar subqueries
-    of one narrow aggregate. Without any, all rows form the group 'global'.
+    Which time field is usable is a property of the whole table; it is read as a scalar subquery of
+    one narrow aggregate over ``times`` (the rows before rules were added; ``df`` if not given). Without any, all rows form the group 'global'.
     """
-    usable = df.agg(
+    usable = (df if times is None else times).agg(F.struct(
         F.coalesce(F.bool_or(F.col("video_offset_msec").try_cast("double").isNotNull()), F.lit(False)).alias("offset"),
         F.coalesce(F.bool_or(clock_seconds(F.col("timestamp_text")).isNotNull()), F.lit(False)).alias("clock"),
-    )
-    minute = minute_or_fallback(
-        F.col("video_offset_msec"), F.col("timestamp_text"),
-        usable.select("offset").scalar(), usable.select("clock").scalar(),
-    )
+    ).alias("usable"))
+    found = usable.scalar()
+    minute = minute_or_fallback(F.col("video_offset_msec"), F.col("timestamp_text"), found["offset"], found["clock"])
     timed = df.withColumn("minute", minute)
     is_global = F.col("minute") == "global"
     timed = timed.withColumns(

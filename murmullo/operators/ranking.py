@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from murmullo.functions.actors import canonical_actor
 from murmullo.operators.rules import FLAG_COLUMNS
 
 # Labels that count as offensive, and the neutral one.
@@ -87,10 +88,10 @@ def top_offensive(scored: DataFrame, k: int = 250, default_author: str = "youtub
 
 
 def actor_leaderboard(signals: DataFrame, k: int = 8) -> DataFrame:
-    """Actors by mentions, with the summed risk score of their messages."""
+    """Canonical actors by mentions, with the summed risk score of their messages."""
     return (
         signals.where(F.coalesce("actor", F.lit("")) != "")
-        .groupBy("actor")
+        .groupBy(canonical_actor(F.col("actor")).alias("actor"))
         .agg(F.count(F.lit(1)).alias("mentions"), F.sum("local_risk_score").alias("score"))
         .orderBy(F.desc("mentions"), "actor")
         .limit(k)
@@ -98,7 +99,7 @@ def actor_leaderboard(signals: DataFrame, k: int = 8) -> DataFrame:
 
 
 def cumulative_actor_counts(signals: DataFrame, time: Column, last: int = 90) -> DataFrame:
-    """Running mention count per actor at each point in time, last points only.
+    """Running mention count per canonical actor at each point in time, last points only.
 
     Mentions are summed per (actor, time point) first. The newest points are then kept per task
     (top-k), and the running count is the actor's total less what came later, so no window ever
@@ -106,7 +107,7 @@ def cumulative_actor_counts(signals: DataFrame, time: Column, last: int = 90) ->
     """
     points = (
         signals.where(F.coalesce("actor", F.lit("")) != "")
-        .groupBy("actor", time.alias("point"))
+        .groupBy(canonical_actor(F.col("actor")).alias("actor"), time.alias("point"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     newest = Window.partitionBy("actor").orderBy(F.desc("point"))

@@ -1,11 +1,13 @@
 """The five stream queries. Each takes parsed events and works on static and streaming frames alike.
 
-A static frame ignores the watermark, so the same function is the batch twin of its stream.
+Windowed queries are a partial and a total half. A stream writes the partial counts of every micro-batch,
+and reading adds them up: no state is held, no event is too late, and a window that is still open shows what
+has come so far. A topic read with uneven partitions therefore gives the same windows as an even one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmullo.functions import text
 from murmullo.functions.lexicon import NOISE_SHORTCODE, RuleProfile
@@ -39,28 +41,31 @@ def normalise(events: DataFrame) -> DataFrame:
     )
 
 
-def window_metrics(events: DataFrame, duration: str = WINDOW, delay: str = WINDOW) -> DataFrame:
-    """Comments, exact number of authors, mean length, empty and noise-like comments per window.
+def window_partials(events: DataFrame, duration: str = WINDOW) -> DataFrame:
+    """Counts of the given events per window and author, to be added up by ``window_totals``.
 
-    Two stacked aggregations: per (window, author), then per window. The first spreads a busy
-    window over its authors and keeps the author count exact without collecting a set.
+    Splitting a window by author spreads a busy window over tasks and keeps the number of authors exact.
     """
-    shaped = events.withWatermark(EVENT_TIME, delay).select(
-        EVENT_TIME, F.coalesce("author", F.lit("")).alias("author"), _stream_text().alias("_t")
-    ).withColumn("_len", text.message_length(F.col("_t"), "utf16"))
+    shaped = events.select(EVENT_TIME, F.coalesce("author", F.lit("")).alias("author"), _stream_text().alias("_t"))
+    shaped = shaped.withColumn("_len", text.message_length(F.col("_t"), "utf16"))
     noisy = (F.col("_len") <= SHORT_NOISE) | F.contains("_t", F.lit(NOISE_SHORTCODE))
-    per_author = shaped.groupBy(F.window(EVENT_TIME, duration), "author").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("_len").alias("_chars"),
-        F.count_if(F.col("_len") == 0).alias("_empty"),
-        F.count_if(noisy).alias("_noise"),
+    return shaped.groupBy(F.window(EVENT_TIME, duration), "author").agg(
+        F.count(F.lit(1)).alias("comments"),
+        F.sum("_len").alias("chars"),
+        F.count_if(F.col("_len") == 0).alias("empty"),
+        F.count_if(noisy).alias("noise"),
     )
+
+
+def window_totals(partials: DataFrame) -> DataFrame:
+    """Comments, exact number of authors, mean length, empty and noise-like comments per window."""
+    per_author = partials.groupBy("window", "author").agg(*[F.sum(c).alias(c) for c in ("comments", "chars", "empty", "noise")])
     per_window = per_author.groupBy("window").agg(
-        F.sum("_n").alias("comment_count"),
+        F.sum("comments").alias("comment_count"),
         F.count_if(F.col("author") != "").alias("unique_authors"),
-        F.sum("_chars").alias("_chars"),
-        F.sum("_empty").alias("empty_count"),
-        F.sum("_noise").alias("spam_like_count"),
+        F.sum("chars").alias("_chars"),
+        F.sum("empty").alias("empty_count"),
+        F.sum("noise").alias("spam_like_count"),
     )
     return per_window.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -70,6 +75,11 @@ def window_metrics(events: DataFrame, duration: str = WINDOW, delay: str = WINDO
     )
 
 
+def window_metrics(events: DataFrame, duration: str = WINDOW) -> DataFrame:
+    """Window metrics of a batch. A stream runs its two halves: see ``runner.run_partials``."""
+    return window_totals(window_partials(events, duration))
+
+
 def signals(events: DataFrame, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
     """Rule flags, score, tags and actor of every comment."""
     return add_signals(events, rules, actors).select(
@@ -81,28 +91,34 @@ def signals(events: DataFrame, rules: str | RuleProfile = "s", actors=None) -> D
     )
 
 
-def actor_polarisation(events: DataFrame, duration: str = WINDOW, delay: str = WINDOW,
-                       rules: str | RuleProfile = "s", actors=None) -> DataFrame:
-    """Mentions and hostile signals per political actor and window; other comments are left out.
+ACTOR_COUNTS = {
+    "mention_count": None, "insult_count": "has_general_insult", "fraud_count": "has_fraude",
+    "terruqueo_count": "has_terruqueo", "discriminatory_count": "has_discriminatory_language",
+}
 
-    Partial sums per task come before the exchange, so a much-discussed actor is one row per task.
-    """
-    flagged = add_signals(events.withWatermark(EVENT_TIME, delay), rules, actors).where("actor != ''")
-    counts = {
-        "mention_count": F.count(F.lit(1)),
-        "insult_count": F.count_if("has_general_insult"),
-        "fraud_count": F.count_if("has_fraude"),
-        "terruqueo_count": F.count_if("has_terruqueo"),
-        "discriminatory_count": F.count_if("has_discriminatory_language"),
-    }
-    grouped = flagged.groupBy(F.window(EVENT_TIME, duration), "actor").agg(*[c.alias(n) for n, c in counts.items()])
+
+def actor_partials(events: DataFrame, duration: str = WINDOW, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
+    """Mentions and hostile signals of the given events per political actor and window; other comments are left out."""
+    flagged = add_signals(events, rules, actors).where("actor != ''")
+    counts = [(F.count_if(flag) if flag else F.count(F.lit(1))).alias(name) for name, flag in ACTOR_COUNTS.items()]
+    return flagged.groupBy(F.window(EVENT_TIME, duration), "actor").agg(*counts)
+
+
+def actor_totals(partials: DataFrame) -> DataFrame:
+    """Partial counts added up, with the polarisation score."""
+    grouped = partials.groupBy("window", "actor").agg(*[F.sum(c).alias(c) for c in ACTOR_COUNTS])
     hostile = F.col("insult_count") + F.col("fraud_count") + F.col("terruqueo_count") + F.col("discriminatory_count")
     return grouped.select(
         "actor", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        *counts, hostile.alias("polarization_score"),
+        *ACTOR_COUNTS, hostile.alias("polarization_score"),
     )
 
 
+def actor_polarisation(events: DataFrame, duration: str = WINDOW, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
+    """Polarisation per actor and window of a batch. A stream runs its two halves: see ``runner.run_partials``."""
+    return actor_totals(actor_partials(events, duration, rules, actors))
+
+
 def risk_alerts(events: DataFrame, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
     """Alert records of the comments that meet an alert condition."""
     return alerts(add_signals(events, rules, actors))
@@ -129,38 +145,50 @@ def envelope(results: DataFrame, job: tuple[str, str, str], with_time: bool = Tr
 # --- operational measures -------------------------------------------------------------------------
 
 
-def throughput(events: DataFrame, seconds: int, delay: str = "0 seconds", time: str = EVENT_TIME) -> DataFrame:
-    """Messages and messages per second of each window."""
-    counted = events.withWatermark(time, delay).groupBy(F.window(time, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("message_count"))
+def _timed(events: DataFrame, time: str, lateness: str | None) -> DataFrame:
+    return events if lateness is None else events.withWatermark(time, lateness)
+
+
+def throughput(events: DataFrame, seconds: int, lateness: str | None = None, time: str = EVENT_TIME) -> DataFrame:
+    """Messages and messages per second of each window. A stream must say how late events may come; later ones are lost to it."""
+    counted = _timed(events, time, lateness).groupBy(F.window(time, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("message_count"))
     return counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "message_count",
         (F.col("message_count") / seconds).alias("throughput_msg_per_sec"),
     )
 
 
-def latency_stats(events: DataFrame, ingested: str, processed: str, exact: bool = True) -> DataFrame:
+def latency_stats(events: DataFrame, ingested: str, processed: str) -> DataFrame:
     """Average, median, 95th percentile and maximum of processed minus ingested, in milliseconds.
 
-    The exact percentiles are read from (latency, count) pairs, so rows with the same latency
-    merge before they meet; ``exact=False`` uses a bounded sketch for very many distinct values.
+    The percentiles are exact and no task gathers all latencies: counts per latency are range-partitioned
+    and summed per range, the range that holds a rank is found in that small table, and only its own
+    distinct latencies are ranked.
     """
-    latency = (F.unix_millis(processed) - F.unix_millis(ingested)).alias("ms")
-    counts = events.select(latency).groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
-    p50, p95 = (
-        (F.expr(f"percentile(ms, {q}, n)") for q in (0.5, 0.95)) if exact
-        else (F.percentile_approx("ms", q, F.lit(10000)).cast("double") for q in (0.5, 0.95))
-    )
-    source = counts if exact else events.select(latency)
-    average = F.sum(F.col("ms") * F.col("n")) / F.sum("n") if exact else F.avg("ms")
-    return source.agg(
-        average.alias("avg_latency_ms"), p50.alias("p50_latency_ms"), p95.alias("p95_latency_ms"), F.max("ms").alias("max_latency_ms")
-    )
+    counts = events.select((F.unix_millis(processed) - F.unix_millis(ingested)).alias("ms")).where("ms is not null").groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.withColumn("bin", F.floor(F.log2(F.abs("ms") + 1) * 64) * F.signum(F.col("ms").cast("double")))
+    bins = ranged.groupBy("bin").agg(F.sum("n").alias("in_bin"))
+    order = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(order), F.lit(0)))  # some thousand bins at most
+    whole = counts.agg(F.sum("n").alias("total"), (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("average"), F.max("ms").alias("most"))
+    inside = Window.partitionBy("bin").orderBy("ms")
+    ranked = ranged.join(bins, "bin").withColumn("upto", F.col("before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    total = whole.select("total").scalar()
+
+    def at(q: float) -> Column:
+        """Value at a rank between two neighbours, as an exact percentile interpolates."""
+        place = (total - 1) * q
+        low, high = (F.min(F.when(F.col("upto") > f(place), F.col("ms"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    return ranked.agg(at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms")).select(
+        whole.select("average").scalar().alias("avg_latency_ms"), "p50_latency_ms", "p95_latency_ms", whole.select("most").scalar().alias("max_latency_ms"))
 
 
 def threshold_alerts(flagged: DataFrame, condition: Column, duration: str, at_least: int,
-                     delay: str = "0 seconds", time: str = EVENT_TIME) -> DataFrame:
-    """Windows in which a condition held for at least so many comments."""
-    counted = flagged.withWatermark(time, delay).groupBy(F.window(time, duration)).agg(
+                     lateness: str | None = None, time: str = EVENT_TIME) -> DataFrame:
+    """Windows in which a condition held for at least so many comments. Lateness as in ``throughput``."""
+    counted = _timed(flagged, time, lateness).groupBy(F.window(time, duration)).agg(
         F.count_if(condition).alias("hits"), F.count(F.lit(1)).alias("comments")
     )
     return counted.where(F.col("hits") >= at_least).select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+POLL_SECONDS = 1
+
 
 def start(results: DataFrame, name: str, root: str, fmt: str = "parquet", available_now: bool = False,
           every: str = "5 seconds", **options) -> StreamingQuery:
@@ -25,13 +28,48 @@ def start(results: DataFrame, name: str, root: str, fmt: str = "parquet", availa
     return writer.start(f"{root}/{name}") if fmt != "memory" else writer.start()
 
 
-def run_available(results: DataFrame, name: str, root: str, timeout: int | None = None) -> StreamingQuery:
-    """Process what the source holds now and stop: the bounded run of a stream query."""
+def run_available(results: DataFrame, name: str, root: str, timeout: int | None = None, messages: int | None = None,
+                  idle: int | None = None) -> StreamingQuery:
+    """Process what the source holds now and stop: the bounded run of a stream query.
+
+    It also ends after ``timeout`` seconds, once ``messages`` have been read (the micro-batch that reaches
+    the number is finished), or after ``idle`` seconds without a new micro-batch. What is left waits for the next run.
+    """
     query = start(results, name, root, available_now=True)
-    query.awaitTermination(timeout) if timeout else query.awaitTermination()
+    started = moved = time.time()
+    read, batch = 0, -1
+    while not query.awaitTermination(POLL_SECONDS):
+        for progress in query.recentProgress:
+            if progress["batchId"] > batch:
+                read, batch, moved = read + progress["numInputRows"], progress["batchId"], time.time()
+        late = timeout is not None and time.time() - started >= timeout
+        silent = idle is not None and time.time() - moved >= idle
+        if late or silent or (messages is not None and read >= messages):
+            query.stop()
+            query.awaitTermination()
+            break
     return query
 
 
+def run_partials(events: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str, root: str) -> DataFrame:
+    """Runs a partial aggregation over every micro-batch that the source holds now; returns all partial rows so far.
+
+    Each micro-batch writes a folder named after it and replaces it as a whole, so a repeated one adds
+    nothing twice. Any later event adds partial rows of its window, however old it is.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        partials(batch).write.mode("overwrite").parquet(f"{root}/{name}/micro_batch={batch_id}")
+
+    query = (
+        events.writeStream.foreachBatch(write).queryName(name)
+        .option("checkpointLocation", f"{root}/checkpoints/{name}")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return events.sparkSession.read.parquet(f"{root}/{name}").drop("micro_batch")
+
+
 def fan_out(events: DataFrame, queries: Mapping[str, Callable[[DataFrame], DataFrame]], root: str,
             available_now: bool = True) -> dict[str, StreamingQuery]:
     """Several consumers of one source, each with its own checkpoint and its own pace."""
