@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from murmullo.functions.lexicon import PROFILES, RuleProfile
 from murmullo.operators.hybrid import score_hybrid
 from murmullo.operators.rules import add_rules
-from murmullo.sources import tables
+from checks import tables
 
 TEST_TERMS = {
     "political_mention": ("that", "les"),

@@ -14,7 +14,7 @@ from murmullo.operators import offsets as O
 from murmullo.operators.batches import range_stats
 from murmullo.operators.ranking import actor_leaderboard
 from murmullo.operators.rules import add_rules, add_signals
-from murmullo.sources import tables
+from checks import tables
 from checks.data import TEST_ACTORS
 
 _V1 = (S.COMMENTS, S.rules_cte("v1"))

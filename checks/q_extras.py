@@ -12,7 +12,7 @@ from murmullo.functions.lexicon import fold_lexicon
 from murmullo.operators import corpus as C
 from murmullo.operators import joins as J
 from murmullo.operators.rules import add_rules
-from murmullo.sources import tables
+from checks import tables
 from murmullo.streaming import jobs
 from checks.q_text import _NOISES, _NOISY, _noisy
 

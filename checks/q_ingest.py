@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -16,7 +18,8 @@ from murmullo.operators.corpus import drop_empty, enrich_labels
 from murmullo.operators.rules import add_rules
 from murmullo.plans import batch
 from murmullo.session import scratch_path
-from murmullo.sources import files, tables, topics
+from checks import tables
+from murmullo.sources import files, topics
 
 # --- live-chat export lines --------------------------------------------------------------------------
 # Row n becomes an export line whose renderer, runs and badges depend on n; every third line has a
@@ -134,22 +137,22 @@ def b02(spark, sf):
     return rows.withColumns({"n": F.col("line_order.n"), "copy": F.col("line_order.copy")}).drop("line_order")
 
 
-@query("b03_runs_to_text", S.chain(S.COMMENTS, _EXPORT, final=f"SELECT n, {_clean('b')} AS text FROM body WHERE n % 7 > 3"))
+@query("b03_runs_to_text", S.chain(S.COMMENTS, _EXPORT, _COPIES.format("shaped"), final="SELECT n, copy, action_order, message AS text FROM copies WHERE message_type = 'text'"))
 def b03(spark, sf):
-    items = I.explode_actions(_parsed(spark, sf)).where("action_order = 0 AND line_order.copy = 0 AND item.liveChatTextMessageRenderer IS NOT NULL")
+    items = I.explode_actions(_parsed(spark, sf)).where("item.liveChatTextMessageRenderer IS NOT NULL")
     runs = F.col("item.liveChatTextMessageRenderer.message.runs")
-    return items.select(F.col("line_order.n").alias("n"), F.coalesce(chat.runs_to_text(runs), F.lit("")).alias("text"))
+    return items.select(F.col("line_order.n").alias("n"), F.col("line_order.copy").alias("copy"), "action_order", F.coalesce(chat.runs_to_text(runs), F.lit("")).alias("text"))
 
 
-@query("b04_membership_message", S.chain(S.COMMENTS, _EXPORT, final="SELECT n, message FROM shaped WHERE message_type = 'membership'"))
+@query("b04_membership_message", S.chain(S.COMMENTS, _EXPORT, _COPIES.format("shaped"), final="SELECT n, copy, message FROM copies WHERE message_type = 'membership'"))
 def b04(spark, sf):
-    rows = I.normalize_renderer(I.explode_actions(_parsed(spark, sf))).where("message_type = 'membership' AND line_order.copy = 0")
-    return rows.select(F.col("line_order.n").alias("n"), "message")
+    rows = I.normalize_renderer(I.explode_actions(_parsed(spark, sf))).where("message_type = 'membership'")
+    return rows.select(F.col("line_order.n").alias("n"), F.col("line_order.copy").alias("copy"), "message")
 
 
-@query("b05_badges", S.chain(S.COMMENTS, _EXPORT, final="SELECT badges, count(*) AS messages FROM shaped GROUP BY badges"))
+@query("b05_badges", S.chain(S.COMMENTS, _EXPORT, _COPIES.format("shaped"), final="SELECT badges, count(*) AS messages FROM copies GROUP BY badges"))
 def b05(spark, sf):
-    rows = I.normalize_renderer(I.explode_actions(_parsed(spark, sf))).where("line_order.copy = 0")
+    rows = I.normalize_renderer(I.explode_actions(_parsed(spark, sf)))
     return rows.groupBy("badges").agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -160,10 +163,10 @@ def b06(spark, sf):
         "event_id", chat.video_id_from_file(name).alias("video_id"), chat.video_id_from_file(F.concat(name, F.lit("x"))).alias("none"))
 
 
-@query("b07_keep_messages", S.chain(S.COMMENTS, _EXPORT, final="SELECT n, action_order, message_type, message FROM kept"))
+@query("b07_keep_messages", S.chain(S.COMMENTS, _EXPORT, _COPIES.format("kept"), final="SELECT n, copy, action_order, message_type, message FROM copies"))
 def b07(spark, sf):
-    rows = I.keep_messages(I.normalize_renderer(I.explode_actions(_parsed(spark, sf)))).where("line_order.copy = 0")
-    return rows.select(F.col("line_order.n").alias("n"), "action_order", "message_type", "message")
+    rows = I.keep_messages(I.normalize_renderer(I.explode_actions(_parsed(spark, sf))))
+    return rows.select(F.col("line_order.n").alias("n"), F.col("line_order.copy").alias("copy"), "action_order", "message_type", "message")
 
 
 _KEYS = "video_id, timestamp_usec, author_channel_id, message, message_type, purchase_text"
@@ -277,11 +280,19 @@ def a10(spark, sf):
 
 
 @query("a17_enriched_split", S.chain(S.CORPUS, final="""
-SELECT label, count(*) AS rows, CAST(sum(CASE WHEN label = 2 THEN 0 ELSE 1 END) AS BIGINT) AS toxic FROM corpus WHERE split = 'train' GROUP BY label"""))
+SELECT split, kind, label, count(*) AS rows, CAST(sum(CASE WHEN label = 2 THEN 0 ELSE 1 END) AS BIGINT) AS toxic, CAST(sum(length(comment)) AS BIGINT) AS chars
+FROM corpus, (VALUES ('parquet'), ('csv')) AS k(kind) GROUP BY ALL"""))
 def a17(spark, sf):
-    path = scratch_path(spark, "enriched")
-    files.write_enriched(enrich_labels(tables.splits(spark, sf)["train"]), f"{path}/train_labeled")
-    return spark.read.parquet(f"{path}/train_labeled.parquet").groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_binary").alias("toxic"))
+    path, parts = scratch_path(spark, "enriched"), []
+    for split, rows in tables.splits(spark, sf).items():
+        files.write_enriched(enrich_labels(rows), f"{path}/{split}")
+        back = spark.read.parquet(f"{path}/{split}.parquet")
+        text = spark.read.schema(back.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/{split}.csv")
+        for kind, found in (("parquet", back), ("csv", text)):
+            parts.append(found.groupBy("label").agg(
+                F.count(F.lit(1)).alias("rows"), F.sum("label_binary").cast("long").alias("toxic"), F.sum(F.length("comment")).alias("chars"),
+            ).select(F.lit(split).alias("split"), F.lit(kind).alias("kind"), "label", "rows", "toxic", "chars"))
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 @query("a18_head_json", S.chain(S.CORPUS, final="""
@@ -339,12 +350,15 @@ def b11(spark, sf):
 
 
 @query("b12_message_columns", S.chain(S.COMMENTS, final="""
-SELECT event_id, CASE WHEN n % 4 = 0 THEN '' WHEN n % 4 = 1 THEN 'm' || row_number ELSE message_raw END AS message_raw FROM comments"""))
+SELECT event_id, CASE WHEN n % 4 = 0 THEN '' WHEN n % 4 = 1 THEN 'm' || row_number ELSE message_raw END AS message_raw,
+  CASE WHEN n % 8 < 4 THEN message_clean WHEN n % 4 = 0 THEN '' WHEN n % 4 = 1 THEN 'm' || row_number ELSE message_raw END AS message_clean FROM comments"""))
 def b12(spark, sf):
     n = F.col("row_number").cast("long")
     raw = F.when(n % 4 == 1, F.lit(None).cast("string")).when(n % 4 == 0, "").otherwise(F.col("message_raw"))
     message = F.when(n % 4 == 1, F.concat(F.lit("m"), F.col("row_number")))
-    return comments(spark, sf).select("event_id", first_text(raw, message).alias("message_raw"))
+    chosen = first_text(raw, message)
+    clean = F.when(n % 8 < 4, F.col("message_clean"))  # missing for the others: the raw text takes its place
+    return comments(spark, sf).select("event_id", chosen.alias("message_raw"), first_text(clean, chosen).alias("message_clean"))
 
 
 _PARSED = """SELECT event_id, row_number, source_s3_path, source_file, video_id, video_offset_msec, author, message_raw, message_clean,

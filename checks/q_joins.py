@@ -10,7 +10,7 @@ from checks.registry import query
 from murmullo.operators import joins as J
 from murmullo.operators.ingest import row_range
 from murmullo.plans.batch import IDENTITY_COLUMNS, RULE_COLUMNS
-from murmullo.sources import tables
+from checks import tables
 
 _ML = ("pred_binary_sparkml", "pred_binary_sparkml_label", "confidence_binary_sparkml", "pred_multiclass_sparkml", "pred_multiclass_sparkml_label")
 

@@ -12,7 +12,7 @@ from murmullo.operators.batches import range_stats
 from murmullo.operators.ingest import row_range
 from murmullo.plans import batch, training
 from murmullo.session import scratch_path
-from murmullo.sources import tables
+from checks import tables
 
 _FITTED: dict = {}
 
@@ -37,27 +37,27 @@ _PREDICTION = ("pred_binary_sparkml", "pred_binary_sparkml_label", "confidence_b
 def k04(spark, sf):
     train = prepare_corpus(tables.splits(spark, sf)["train"])
     weighted = training.attach_class_weight(train, "label_binary", "weight_binary")
-    model = training.build_pipeline("label_binary", "weight_binary", training.BINARY, num_features=1 << 14, max_iter=10).fit(weighted)
+    model = training.build_pipeline("label_binary", "weight_binary", training.BINARY).fit(weighted)
     return model.transform(_test(spark, sf)).select("comment_id", training.BINARY)
 
 
 @query("k06_fit_binary")
 def k06_binary(spark, sf):
-    models = training.fit_binary(prepare_corpus(tables.splits(spark, sf)["train"]), max_iter=10)
+    models = training.fit_binary(prepare_corpus(tables.splits(spark, sf)["train"]))
     scored = training.apply_models(_test(spark, sf), models)
     return scored.groupBy("label_binary", training.BINARY).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("k06_fit_multiclass")
 def k06_multi(spark, sf):
-    models = training.fit_multiclass(prepare_corpus(tables.splits(spark, sf)["train"]), max_iter=10)
+    models = training.fit_multiclass(prepare_corpus(tables.splits(spark, sf)["train"]))
     scored = training.apply_models(_test(spark, sf), models)
     return scored.groupBy("label_original", training.MULTI).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("k07_apply_models")
 def k07(spark, sf):
-    return training.apply_models(_test(spark, sf), _models(spark, sf)).select("comment_id", *_PREDICTION)
+    return training.apply_models(prepare_corpus(tables.corpus(spark, sf)), _models(spark, sf)).select("comment_id", *_PREDICTION)
 
 
 @query("k08_evaluate")
@@ -73,7 +73,7 @@ def k08(spark, sf):
 
 @query("k09_ngram_baseline")
 def k09(spark, sf):
-    models = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]), max_iter=15)
+    models = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]))
     return training.apply_ngram_models(_test(spark, sf), models).select("comment_id", *_PREDICTION)
 
 
@@ -86,7 +86,7 @@ def k11(spark, sf):
 def a13(spark, sf):
     path = scratch_path(spark, "models")
     _models(spark, sf).save(path)
-    return training.apply_models(_test(spark, sf), training.ModelBundle.load(path)).select("comment_id", *_PREDICTION)
+    return training.apply_models(prepare_corpus(tables.corpus(spark, sf)), training.ModelBundle.load(path)).select("comment_id", *_PREDICTION)
 
 
 @query("l08_run_batch")

@@ -14,7 +14,7 @@ from murmullo.operators import offsets as O
 from murmullo.operators import ranking as K
 from murmullo.operators.rules import add_signals
 from murmullo.plans.diagnostics import samples
-from murmullo.sources import tables
+from checks import tables
 
 
 @query("g01_examples_per_group", S.chain(S.CORPUS, """
@@ -190,10 +190,16 @@ def b20(spark, sf):
 
 
 @query("b21_search", S.chain(S.COMMENTS, S.SIGNALS, _EVENTS, final=f"""
-SELECT event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, coalesce(event_type, ''), coalesce(p_actor, ''), coalesce(p_alert, ''))), 'of the')"""))
+SELECT event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, coalesce(event_type, ''), coalesce(p_actor, ''), coalesce(p_alert, ''), 'job ' || source, replace({_TAGS}, ',', ' '))), 'of the')
+UNION ALL SELECT 'tag:' || event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, 'job ' || source, replace({_TAGS}, ',', ' '))), 'job alert')
+UNION ALL SELECT 'risk:' || event_id FROM fed WHERE contains(lower(concat_ws(' ', {_TEXT}, 'job ' || source, replace({_TAGS}, ',', ' '))), 'risk:alto')"""))
 def b21(spark, sf):
-    columns = [FD.event_text(), "event_type", "payload.actor", "payload.alert_type"]
-    return FD.search(_fed(spark, sf), "  OF the ", columns).select("event_id")
+    columns = [FD.event_text(), "event_type", "payload.actor", "payload.alert_type", "job_name", F.array_join(FD.event_tags(), " ")]
+    events = _fed(spark, sf).withColumn("job_name", F.concat(F.lit("job "), "source"))
+    some = [columns[0], *columns[4:]]
+    by_tag = FD.search(events, "Job alert", some).select(F.concat(F.lit("tag:"), "event_id").alias("event_id"))
+    by_risk = FD.search(events, "RISK:alto", some).select(F.concat(F.lit("risk:"), "event_id").alias("event_id"))
+    return FD.search(events, "  OF the ", columns).select("event_id").union(by_tag).union(by_risk)
 
 
 @query("b22_event_text_tags", S.chain(S.COMMENTS, S.SIGNALS, _EVENTS, final=f"SELECT event_id, {_TEXT} AS text, {_TAGS} AS tags FROM fed"))

@@ -1,4 +1,4 @@
-"""Adapters: conversations and labelled documents in the shapes the engine works on."""
+"""Test adapters: conversations and labelled documents in the shapes the engine works on."""
 
 from __future__ import annotations
 
@@ -24,12 +24,11 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores, dealt out to all cores; any larger table as it is.
+    """The given test tables are one file with one row group, which can't be split: they are dealt out once.
 
-    Text work is heavy per row, and a small file with one row group would be a single task.
+    Tables in a lake have many splits and are not read this way; the package itself never repartitions its input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def comments_from_conversations(conversations: DataFrame) -> DataFrame:

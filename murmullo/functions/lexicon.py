@@ -168,10 +168,6 @@ def profile(name: str | RuleProfile) -> RuleProfile:
     return name if isinstance(name, RuleProfile) else PROFILES[name]
 
 
-# A lexicon is small by nature: above this many terms it is not turned into expressions
-# or broadcast, and joins by shuffle instead (see operators.terms).
-MAX_INLINE_TERMS = 20000
-
 LEXICON_SCHEMA = "profile string, category string, term string"
 
 
@@ -184,15 +180,14 @@ def lexicon_frame(spark: SparkSession, lexicon: Lexicon, name: str = "custom") -
 def load_lexicon(spark: SparkSession, path: str, profile_name: str) -> dict[str, tuple[str, ...]]:
     """One profile of a (profile, category, term) CSV file as a lexicon.
 
-    The rows become literal expressions, so their number is checked first.
+    The terms become literals of the plan, as a profile's own terms are. A term table that is data rather
+    than settings isn't loaded but joined: see operators.terms.join_lexicon.
     """
     rows = (
         spark.read.schema(LEXICON_SCHEMA).option("header", True).csv(path)
         .where(f"profile = '{profile_name}'").select("category", "term").distinct()
-        .orderBy("category", "term").limit(MAX_INLINE_TERMS + 1).collect()
+        .orderBy("category", "term").collect()
     )
-    if len(rows) > MAX_INLINE_TERMS:
-        raise ValueError(f"more than {MAX_INLINE_TERMS} terms; join the table with operators.terms.join_lexicon")
     lexicon: dict[str, list[str]] = {}
     for category, term in rows:
         lexicon.setdefault(category, []).append(term)

@@ -16,12 +16,6 @@ TEXT_CANDIDATES = (
 )
 MAX_TAGS = 4
 
-PAYLOAD_SCHEMA = (
-    "event_id string, stream_text string, message_text string, message_clean string, message_raw string, "
-    "hybrid_risk_reason string, hybrid_risk_level string, reason string, local_rule_tags string, "
-    "local_risk_score_stream int, actor string, alert_type string"
-)
-
 
 def event_text() -> Column:
     """First non-empty display text of an event with ``payload`` and ``raw`` structures."""

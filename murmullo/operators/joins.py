@@ -62,19 +62,15 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select(label, (rows / (classes * F.col("_n")).cast("double")).alias("weight"))
 
 
-# A class table beyond this size is no class table; it would not be looked up row by row.
-MAX_CLASSES = 10000
-
-
 def attach_class_weight(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """Look up each row's class weight.
 
     The weights come as one map from a scalar subquery, so the rows stay where they are: a join on
-    the label would bring all rows of a class into one task.
+    the label would bring all rows of a class into one task. The map holds an entry per class; a
+    classifier holds a row of coefficients per class on the driver in any case.
     """
     table = class_weights(df, label).agg(
-        F.when(F.count(F.lit(1)) > MAX_CLASSES, F.raise_error(F.lit("too many classes for a weight table")))
-        .otherwise(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).alias("weights")
+        F.map_from_entries(F.collect_list(F.struct(label, "weight"))).alias("weights")
     )
     return df.withColumn(weight, F.try_element_at(table.scalar(), F.col(label)))
 

@@ -73,18 +73,12 @@ def any_of(*conditions: Column) -> Column:
     return result
 
 
-# Above this many phrases one expression per phrase makes the generated code too long.
-_MAX_PHRASE_EXPRESSIONS = 250
-
-
 def _without_nulls(array: Column) -> Column:
     """Array without nulls; unlike a filter lambda this stays in generated code."""
     return F.array_except(array, F.array(F.lit(None).cast("string")))
 
 
 def _found_phrases(padded: Column, phrases: Iterable[str]) -> Column:
-    if len(phrases) <= _MAX_PHRASE_EXPRESSIONS:
-        return _without_nulls(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(p)) for p in phrases]))
     # the outer one-element transform computes the text once for all phrases
     per_text = F.transform(
         F.array(padded),

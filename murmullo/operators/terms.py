@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from murmullo.functions.lexicon import MAX_INLINE_TERMS
 from murmullo.functions.text import norm_text
 
 
@@ -27,16 +26,14 @@ def explode_words(df: DataFrame, key: str, text: Column, longest: int = 1, squee
     ) if longest > 1 else zipped.select(key, F.col("w0").alias("word"), F.concat("w0", F.lit(" ")).alias("phrase"))
 
 
-def join_lexicon(words: DataFrame, lexicon: DataFrame, key: str, lexicon_rows: int | None = None) -> DataFrame:
+def join_lexicon(words: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """Distinct (key, category, term) for the terms of a (category, term) table found in exploded words.
 
-    An equality join on a term's first word, then a check of the whole term. The lexicon is
-    broadcast only when its row count is known and small; otherwise Spark picks the join, and AQE
-    splits a frequent word.
+    An equality join on a term's first word, then a check of the whole term. Spark picks the join by
+    the lexicon's measured size, and AQE splits a frequent word.
     """
-    small = lexicon_rows is not None and lexicon_rows <= MAX_INLINE_TERMS
     table = lexicon.select("category", "term").distinct().withColumn("word", F.substring_index("term", " ", 1))
-    found = words.join(F.broadcast(table) if small else table, "word", "inner").where(
+    found = words.join(table, "word", "inner").where(
         F.startswith("phrase", F.concat("term", F.lit(" ")))
     )
     return found.select(key, "category", "term").distinct()

@@ -109,7 +109,7 @@ def write_stage(df: DataFrame, path: str, files: int = 0, partition_by=()) -> No
 def write_enriched(df: DataFrame, path: str) -> None:
     """A labelled split as parquet and as CSV side by side."""
     df.write.mode("overwrite").parquet(f"{path}.parquet")
-    df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}.csv")
 
 
 def head_json(df: DataFrame, path: str, order, n: int = 200) -> DataFrame:
@@ -117,8 +117,3 @@ def head_json(df: DataFrame, path: str, order, n: int = 200) -> DataFrame:
     sample = df.orderBy(*order).limit(n)
     sample.write.mode("overwrite").json(path)
     return sample
-
-
-def write_report(spark: SparkSession, path: str, summary: DataFrame) -> None:
-    """A small summary table as one JSON file beside the data."""
-    summary.coalesce(1).write.mode("overwrite").json(path)

@@ -128,7 +128,19 @@ def test_join_lexicon_agrees_with_inline_matching(spark):
     df = spark.createDataFrame(texts, "event_id string, message_raw string")
     inline = {tuple(r) for r in R.matched_terms(df, "v1").collect()}
     lexicon = lexicon_frame(spark, PROFILES["v1"].lexicon)
-    for rows in (lexicon.count(), None):  # broadcast and shuffled
-        joined = T.join_lexicon(T.explode_words(df, "event_id", F.col("message_raw"), 5), lexicon, "event_id", rows)
-        assert {tuple(r) for r in joined.collect()} == inline
+    joined = T.join_lexicon(T.explode_words(df, "event_id", F.col("message_raw"), 5), lexicon, "event_id")
+    assert {tuple(r) for r in joined.collect()} == inline
     assert ("a", "fraude", "robo electoral") in inline and ("c", "fraude", "actas falsas") not in inline
+
+
+def test_lexicons_have_no_largest_size(spark):
+    """30,000 terms as a table, and 400 phrases as literals, give the rows of a join."""
+    many = {"fraude": [f"term{i}" for i in range(30000)]}
+    df = spark.createDataFrame([("a", "un term29999 y term5"), ("b", "term30000")], "event_id string, message_raw string")
+    words = T.explode_words(df, "event_id", F.col("message_raw"), 1)
+    assert {tuple(r) for r in T.join_lexicon(words, lexicon_frame(spark, many), "event_id").collect()} == {("a", "fraude", "term29999"), ("a", "fraude", "term5")}
+    phrases = {"fraude": [f"head{i % 7} tail{i}" for i in range(400)]}
+    df = spark.createDataFrame([("a", "head3 tail3 y head6 tail398 tail1"), ("b", "head1 tail2")], "event_id string, message_raw string")
+    inline = {tuple(r) for r in R.matched_terms(df, PROFILES["v1"].with_lexicon(phrases)).collect()}
+    joined = T.join_lexicon(T.explode_words(df, "event_id", F.col("message_raw"), 2), lexicon_frame(spark, phrases), "event_id")
+    assert inline == {tuple(r) for r in joined.collect()} == {("a", "fraude", "head3 tail3"), ("a", "fraude", "head6 tail398")}
