@@ -1,15 +1,15 @@
-"""Model training and inference (family K, A13, L08). Fitted values depend on the solver, so these
-queries have no SQL; the tables around them (K01-K03, K05, K10, F11-F15) do."""
+"""Model training and inference (family K, A13, L08). Fitted values depend on the solver, so the queries
+that return them have no SQL; beside them, ``*_checked`` queries state what holds whatever was fitted, and
+the tables around them (K01-K03, K05, K10, F11-F15) have SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks import sql as S
 from checks.data import comments, rules, ruled
 from checks.registry import query
 from murmullo.operators.corpus import prepare_corpus
-from murmullo.operators.batches import range_stats
-from murmullo.operators.ingest import row_range
 from murmullo.plans import batch, training
 from murmullo.session import scratch_path
 from checks import tables
@@ -89,19 +89,76 @@ def a13(spark, sf):
     return training.apply_models(prepare_corpus(tables.corpus(spark, sf)), training.ModelBundle.load(path)).select("comment_id", *_PREDICTION)
 
 
-@query("l08_run_batch")
+@query("l08_run_batch", S.chain(S.COMMENTS, S.rules_cte("k"), """
+placed AS (SELECT *, 'batch_' || lpad(CAST(CAST(ceil(n / 50.0) AS BIGINT) * 50 AS VARCHAR), 7, '0') AS batch_id FROM ruled)""", final="""
+SELECT batch_id, CASE WHEN count(*) = 50 THEN 'done' ELSE 'waiting' END AS status, count(*) AS rows,
+  CAST(CASE WHEN count(*) = 50 THEN sum(local_risk_score) END AS BIGINT) AS score, CASE WHEN count(*) = 50 THEN count(*) FILTER (WHERE has_fraude) END AS fraude,
+  CAST(CASE WHEN count(*) = 50 THEN count(*) END AS BIGINT) AS in_minutes FROM placed GROUP BY batch_id"""))
 def l08(spark, sf):
-    """Every complete range of 50 rows from raw to hybrid and aggregates, then the same run again."""
-    size = 50
-    raw = comments(spark, sf)
-    full = range_stats(raw).first()["rows"] // size * size
-    root = scratch_path(spark, "curated")
-    for _ in range(2):  # the second run finds every range done
-        tables_out = batch.run_batch(row_range(raw, 1, full), _models(spark, sf), root, size, rules("k"))
-    return tables_out["hybrid"].groupBy("batch_id", "hybrid_risk_level").agg(F.count(F.lit(1)).alias("rows"))
+    """Every range of 50 rows from raw to hybrid and aggregates, the last one waiting, then the same run again."""
+    root, raw, models = scratch_path(spark, "curated"), comments(spark, sf), _models(spark, sf)
+    for _ in range(2):  # the second run finds every complete range done
+        out = batch.run_batch(raw, models, root, 50, rules("k"))
+    hybrid = out["hybrid"].groupBy("batch_id").agg(F.sum("local_risk_score").alias("score"), F.count_if("has_fraude").alias("fraude"))
+    minutes = out["aggregates"].groupBy("batch_id").agg(F.sum("comentarios").alias("in_minutes"))
+    found = out["ledger"].select("batch_id", "status", "rows").join(hybrid, "batch_id", "left").join(minutes, "batch_id", "left")
+    return found
 
 
 @query("l08_one_pass")
 def l08_one_pass(spark, sf):
     scored = batch.score_in_one_pass(comments(spark, sf), _models(spark, sf), rules("k"))
     return scored.select("event_id", "local_risk_score", "hybrid_risk_level", "hybrid_risk_reason")
+
+
+# --- what holds for any fitted model
+
+
+def _consistent(binary_probability=None):
+    """Names fit the predictions, and buckets the confidences."""
+    p, m, c = F.col("pred_binary_sparkml"), F.col("pred_multiclass_sparkml"), F.col("confidence_binary_sparkml")
+    names = F.col("pred_binary_sparkml_label") == F.when(p == 1, "ofensivo").otherwise("no_ofensivo")
+    bounds = (c >= 0.5) & (c <= 1) & (F.col("confidence_multiclass_sparkml") >= 0.25) & (F.col("confidence_multiclass_sparkml") <= 1)
+    return p.isin(0, 1) & m.isin(0, 1, 2, 3) & names & bounds & F.col("pred_multiclass_sparkml_label").isNotNull() & F.col("confidence_binary_bucket").isNotNull()
+
+
+@query("k07_apply_checked", S.chain(S.CORPUS, final="SELECT comment_id, true AS consistent FROM corpus"))
+def k07_checked(spark, sf):
+    return k07(spark, sf).select("comment_id", _consistent().alias("consistent"))
+
+
+@query("k11_infer_checked", S.chain(S.COMMENTS, S.rules_cte("k"), final="SELECT event_id, local_risk_score, true AS consistent FROM ruled"))
+def k11_checked(spark, sf):
+    return k11(spark, sf).select("event_id", "local_risk_score", _consistent().alias("consistent"))
+
+
+@query("a13_reload_checked", S.chain(S.CORPUS, final="SELECT count(*) AS rows, 0::BIGINT AS different FROM corpus"))
+def a13_checked(spark, sf):
+    before, after = k07(spark, sf), a13(spark, sf)
+    both = before.join(after.toDF("comment_id", *[f"after_{c}" for c in _PREDICTION]), "comment_id")
+    same = F.lit(True)
+    for c in _PREDICTION:
+        same = same & F.col(c).eqNullSafe(F.col(f"after_{c}"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("different"))
+
+
+@query("k08_evaluate_checked", S.chain(S.CORPUS, final="""
+SELECT 'pred_binary_sparkml' AS model, count(*) AS rows, 0::BIGINT AS wrong FROM corpus WHERE split = 'test'
+UNION ALL SELECT 'pred_multiclass_sparkml', count(*), 0 FROM corpus WHERE split = 'test'"""))
+def k08_checked(spark, sf):
+    """Cells add up to the rows of every label, and accuracy is the weighted recall."""
+    scored, parts = training.apply_models(_test(spark, sf), _models(spark, sf)), None
+    for name, (label, _, labels) in training.HEADS.items():
+        report = training.evaluate(scored, label, name, labels)
+        cells = report["confusion"].agg(F.sum("count").alias("rows"))
+        off = report["weighted"].agg(F.count_if(F.abs(F.col("accuracy") - F.col("weighted_recall")) > 1e-9).alias("wrong"))
+        row = cells.select(F.lit(name).alias("model"), "rows", off.scalar().alias("wrong"))
+        parts = row if parts is None else parts.union(row)
+    return parts
+
+
+@query("l08_one_pass_checked", S.chain(S.COMMENTS, S.rules_cte("k"), final="SELECT event_id, local_risk_score, true AS consistent FROM ruled"))
+def l08_one_pass_checked(spark, sf):
+    found = l08_one_pass(spark, sf)
+    ok = F.col("hybrid_risk_level").isin("bajo", "medio", "alto") & (F.length("hybrid_risk_reason") > 0)
+    return found.select("event_id", "local_risk_score", ok.alias("consistent"))

@@ -136,7 +136,7 @@ def b17(spark, sf):
     return I.limit_rows(read(spark, sf, "documents").select("doc_id"), 50, ["doc_id"])
 
 
-@query("b18_sample")
+@query("b18_sample", S.chain(S.COMMENTS, final="SELECT event_id, message_raw FROM comments ORDER BY md5('42:' || event_id), event_id LIMIT 50"))
 def b18(spark, sf):
     return I.sample_n(comments(spark, sf), 50, "event_id").select("event_id", "message_raw")
 

@@ -160,8 +160,9 @@ def write_batch(batched: DataFrame, path: str, force: bool = False) -> None:
     if not force and path_exists(spark, path):
         known = spark.read.parquet(path).select("batch_id").distinct()
         fresh = batched.join(known, "batch_id", "left_anti")
+    # a batch is rows of equal number in every range: clustered, it is one file rather than one per task
     (
-        fresh.write.mode("overwrite")
+        fresh.repartition("batch_id").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
         .parquet(path)

@@ -159,7 +159,7 @@ def limit_rows(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly n pseudo-random rows, the same for the same seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def union_all(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmullo.operators.aggregates import minute_aggregates_hybrid
-from murmullo.operators.batches import append_status, assign_batch, ledger_latest, path_exists, require_complete, write_batch
+from murmullo.operators.batches import append_status, assign_batch, ledger_latest, path_exists, write_batch
 from murmullo.operators.hybrid import score_hybrid
 from murmullo.operators.joins import join_rules_ml
 from murmullo.operators.rules import FLAG_COLUMNS, add_rules
@@ -59,30 +59,42 @@ def _status(spark: SparkSession, batches: DataFrame, job: str, status: str, size
     )
 
 
-def pending_batches(batched: DataFrame, ledger_path: str, force: bool) -> DataFrame:
-    """(batch_id, range_start, range_end, rows) of the ranges this run has to do."""
-    spark = batched.sparkSession
-    ranges = batched.groupBy("batch_id").agg(
-        F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"), F.count(F.lit(1)).alias("rows")
+def done_batches(spark: SparkSession, ledger_path: str) -> DataFrame | None:
+    """Ids of the batches that the ledger has as done."""
+    if not path_exists(spark, ledger_path):
+        return None
+    return ledger_latest(spark.read.parquet(ledger_path)).where("status = 'done'").select("batch_id")
+
+
+def landed_ranges(landed: DataFrame, size: int) -> DataFrame:
+    """(batch_id, range_start, range_end, rows, complete) of landed batches."""
+    ranges = landed.groupBy("batch_id").agg(
+        F.max("range_start").alias("range_start"), F.max("range_end").alias("range_end"), F.count(F.lit(1)).alias("rows")
     )
-    if not force and path_exists(spark, ledger_path):
-        done = ledger_latest(spark.read.parquet(ledger_path)).where("status = 'done'").select("batch_id")
-        ranges = ranges.join(done, "batch_id", "left_anti")
-    return materialize(ranges, "pending")
+    return materialize(ranges.withColumn("complete", F.col("rows") == size), "ranges")
 
 
 def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="k", force: bool = False) -> dict[str, DataFrame]:
-    """Raw rows of one or many complete ranges to curated tables below ``root``.
+    """Raw rows of one or many ranges to curated tables below ``root``.
 
-    Each stage is a table partitioned by batch_id and every write replaces whole batches, so a run
-    that was cut short can simply be started again. A batch the ledger has as done is skipped
-    unless forced. Many ranges go through one Spark job: the topic is read once, not once a range.
+    The raw rows of every batch that isn't done (of all, if forced) are landed first, in the only read
+    of ``raw``. Complete batches go on; each of the others is noted as waiting with its number of rows
+    and keeps no other batch back. Each stage is a table partitioned by batch_id and every write
+    replaces whole batches, so a run that was cut short can simply be started again. Many ranges go
+    through one Spark job.
     """
     spark = raw.sparkSession
     ledger_path, extra = f"{root}/ledger", ("batch_id",)
     batched = assign_batch(raw, size)
-    require_complete(batched, size)
-    todo = pending_batches(batched, ledger_path, force)
+    done = None if force else done_batches(spark, ledger_path)
+    if done is not None:
+        done = materialize(done, "done")
+        batched = batched.join(done, "batch_id", "left_anti")
+    write_batch(batched, f"{root}/raw", force=True)
+    landed = spark.read.parquet(f"{root}/raw")
+    ranges = landed_ranges(landed if done is None else landed.join(done, "batch_id", "left_anti"), size)
+    todo = ranges.where("complete")
+    append_status(spark, ledger_path, _status(spark, ranges.where("not complete"), "raw", "waiting", size, "incomplete"))
 
     def stage(name: str) -> DataFrame:
         """Rows of this run in a stage table; the batch folders prune the scan."""
@@ -93,7 +105,8 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
         append_status(spark, ledger_path, _status(spark, todo, name, "running", size, name))
         return stage(name)
 
-    landed = land("raw", batched.join(todo.select("batch_id"), "batch_id", "left_semi"))
+    append_status(spark, ledger_path, _status(spark, todo, "raw", "running", size, "raw"))
+    landed = stage("raw")
     ruled = land("rules", rules_stage(landed, rules, extra))
     predicted = land("ml", ml_stage(landed, models, extra))
     hybrid = land("hybrid", score_hybrid(join_rules_ml(ruled, predicted.drop("batch_id")), "k"))
