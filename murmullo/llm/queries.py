@@ -28,6 +28,27 @@ def op2_secret_scan(spark, sf):
     return secrets.find_secrets(table(spark, sf, "documents"))
 
 
+def _secret_sql() -> str:
+    """Places of all matches from the pieces between them: a match starts after all pieces and matches before it."""
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.base} AS base, m[i] AS found,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents))
+  WHERE length(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH f AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(found) AS BIGINT) AS span FROM f),
+g AS (SELECT doc_id, {counts}, count(*) AS n_spans, string_agg(span, ',' ORDER BY s, k) FILTER (WHERE base) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM t GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)}, coalesce(n_spans, 0) AS n_spans,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES["op2_secret_scan"] = _secret_sql()
+
+
 # Target weights of the mix: by level and name; what is not named weighs 1.
 MIX_WEIGHTS = {
     "domain": {"d0": 3, "d1": 2, "d2": 2, "d3": 1},
@@ -41,6 +62,45 @@ def op7_source_mix(spark, sf):
     return mixing.select_mix(table(spark, sf, "documents"), MIX_WEIGHTS, share=1.0, epochs=2)
 
 
+def _mix_split(name: str, parent: str, source: str) -> str:
+    """Budgets of the children of each parent in a table with budget, weight and capacity."""
+    over = f"PARTITION BY {parent} ORDER BY ratio, {name}"
+    return f"""
+{name}_1 AS (SELECT *, capacity / weight AS ratio FROM {source}),
+{name}_2 AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / sum(weight) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_1),
+{name}_3 AS (SELECT *, row_number() OVER (PARTITION BY {parent}, level <= ratio ORDER BY ratio, {name}) AS place FROM {name}_2),
+{name}_4 AS (SELECT * EXCLUDE (level), max(CASE WHEN level <= ratio AND place = 1 THEN level END) OVER (PARTITION BY {parent}) AS level FROM {name}_3),
+{name}_b AS (SELECT * EXCLUDE (budget), CASE WHEN level IS NULL THEN capacity::DOUBLE ELSE least(capacity::DOUBLE, level * weight) END AS budget FROM {name}_4)"""
+
+
+def _mix_weight(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1.0 END::DOUBLE AS weight"
+
+
+ORACLES["op7_source_mix"] = rf"""
+WITH d AS (SELECT doc_id, 'd' || coalesce(CAST(TRY_CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang,
+  coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, substr(md5('7:' || doc_id), 1, 3) AS bin FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS capacity FROM d GROUP BY ALL),
+top AS (SELECT domain, sum(capacity) AS capacity, {_mix_weight("domain")}, (SELECT sum(tokens) FROM leaf)::DOUBLE AS budget FROM leaf GROUP BY domain),
+{_mix_split("domain", "1", "top")},
+mid AS (SELECT l.domain, lang, sum(l.capacity) AS capacity, {_mix_weight("lang")}, any_value(b.budget) AS budget FROM leaf l JOIN domain_b b USING (domain) GROUP BY l.domain, lang),
+{_mix_split("lang", "domain", "mid")},
+low AS (SELECT l.domain, l.lang, source, tokens, l.capacity, {_mix_weight("source")}, b.budget FROM leaf l JOIN lang_b b ON l.domain = b.domain AND l.lang = b.lang),
+{_mix_split("source", "domain, lang", "low")},
+plan AS (SELECT domain, lang, source, budget, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens) AS BIGINT) ELSE 0 END AS whole, tokens FROM source_b),
+bins AS (SELECT domain, lang, source, bin, sum(n_tokens) AS n, any_value(whole) AS whole FROM d JOIN plan USING (domain, lang, source) GROUP BY ALL),
+starts AS (SELECT domain, lang, source, bin, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || whole || ':' || bin), bin
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM bins),
+rows AS (SELECT d.*, whole, budget, budget - whole * tokens AS rest, start + coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source, d.bin
+  ORDER BY md5('7:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN plan USING (domain, lang, source) JOIN starts USING (domain, lang, source, bin)),
+taken AS (SELECT *, n_tokens > 0 AND before < rest AS last_epoch FROM rows)
+SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, CAST(CASE WHEN n_tokens > 0 THEN whole ELSE 0 END + last_epoch::BIGINT AS BIGINT) AS copies, last_epoch
+FROM taken WHERE CASE WHEN n_tokens > 0 THEN whole ELSE 0 END + last_epoch::BIGINT > 0
+""".replace("\\", "\\"[:1])
+
+
 @query
 def op6_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
