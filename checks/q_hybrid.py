@@ -10,6 +10,7 @@ from checks.registry import query
 from murmullo.operators import hybrid as H
 from murmullo.operators.rules import add_rules
 from murmullo.plans.diagnostics import diagnostics
+from murmullo.session import materialize
 
 # Inputs as files may hold them: flags as words, a missing flag, scores and predictions as text.
 _LOOSE = """
@@ -88,8 +89,8 @@ _BUNDLE = {
     [f"SELECT '{t}' AS part, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM scored GROUP BY {c}" for t, c in _BUNDLE.items()]
     + ["SELECT 'prediction_by_score', pred_binary_sparkml_label || ' ' || local_risk_score, count(*) FROM scored GROUP BY ALL"])))
 def l07(spark, sf):
-    frame = scored(spark, sf, "v1").persist()
-    bundle = diagnostics(frame)
+    # written once for its many tables, and left to no later query of the session
+    bundle = diagnostics(materialize(scored(spark, sf, "v1"), "scored"))
     parts = [bundle[t].select(F.lit(t).alias("part"), "value", "count") for t in _BUNDLE]
     label = F.concat_ws(" ", "pred_binary_sparkml_label", F.col("local_risk_score").cast("string"))
     parts.append(bundle["prediction_by_score"].select(F.lit("prediction_by_score").alias("part"), label.alias("value"), "count"))

@@ -139,13 +139,12 @@ def _normalize(source: Column, rules: RuleProfile) -> Column:
     return text.norm_text(source, rules.squeeze)
 
 
-def _category_matches(df: DataFrame, rules: RuleProfile) -> DataFrame:
-    """One boolean ``_<category>`` per lexicon category from ``text_norm``."""
+def _category_matches(df: DataFrame, rules: RuleProfile, categories: Iterable[str]) -> DataFrame:
+    """One boolean ``_<category>`` per wanted lexicon category from ``text_norm``."""
+    lexicon = {c: terms for c, terms in rules.lexicon.items() if c in categories}
     if rules.match == "substring":
-        return df.withColumns(
-            {f"_{c}": text.contains_any(F.col("text_norm"), terms) for c, terms in rules.lexicon.items()}
-        )
-    folded = fold_lexicon(rules.lexicon, rules.squeeze)
+        return df.withColumns({f"_{c}": text.contains_any(F.col("text_norm"), terms) for c, terms in lexicon.items()})
+    folded = fold_lexicon(lexicon, rules.squeeze)
     every_term = [term for terms in folded.values() for term in terms]
     df = df.withColumn("_hits", find_terms(F.col("text_norm"), every_term))
     return df.withColumns(
@@ -199,32 +198,70 @@ def rule_tags() -> Column:
     return F.concat_ws("|", *[F.when(F.col(flag), tag) for flag, tag in TAGS.items()])
 
 
-def add_rules(df: DataFrame, rules: str | RuleProfile = "v1", with_terms: bool = False) -> DataFrame:
+_IMPLIED = ("terruqueo", "fraude", "general_insult", "ethnic_racial_slur", "homophobic_slur")
+
+
+def _needed(columns: Iterable[str], rules: RuleProfile) -> tuple[set[str], set[str]]:
+    """(rule columns, lexicon categories) that the wanted rule columns are made of."""
+    wanted = set(columns)
+    if "local_rule_tags" in wanted:
+        wanted |= set(TAGS)
+    if "local_risk_score" in wanted:
+        wanted |= set(SCORE_POINTS)
+        if rules.insult_weight:
+            wanted.add("has_general_insult")
+        if rules.noise_penalty:
+            wanted |= {"is_spam_noise", *STRONG_SCORE_FLAGS}
+    categories = {c for c, flag in _CATEGORY_FLAGS.items() if flag in wanted}
+    if "has_discriminatory_language" in wanted:
+        categories |= {"ethnic_racial_slur", "homophobic_slur"}
+    if "has_polarization_signal" in wanted:
+        categories |= {"political_mention", "polarization", *(_IMPLIED if rules.implied_polarization else ())}
+    return wanted, categories
+
+
+RULE_OUTPUT = ("text_norm", *FLAG_COLUMNS, "local_risk_score", "local_rule_tags")
+
+
+def add_rules(df: DataFrame, rules: str | RuleProfile = "v1", with_terms: bool = False, columns: Iterable[str] = RULE_OUTPUT) -> DataFrame:
     """Add text_norm, the ten flags, local_risk_score, local_rule_tags and minute.
 
     A narrow transformation: no shuffle, no Python, rows in equal rows out. The same function
     serves static and streaming frames. ``with_terms`` keeps the matched terms as a column.
+    ``columns`` names the rule columns that are wanted: only what they need is computed.
     """
-    rules = profile(rules)
+    rules, columns = profile(rules), list(columns)
+    wanted, categories = _needed(columns, rules)
+    with_terms = with_terms and rules.match == "term"
+    if with_terms:
+        categories |= set(rules.lexicon)
     df, source = _with_text(df, rules)
-    df = _category_matches(df.withColumn("text_norm", _normalize(source, rules)), rules)
-    df = df.withColumn("is_spam_noise", _noise_flag(source, rules))
-    costly = ["text_norm", "is_spam_noise", *[f"_{c}" for c in rules.lexicon]]
-    if with_terms and rules.match == "term":
+    costly = [f"_{c}" for c in rules.lexicon if c in categories]
+    if costly or "is_spam_noise" in wanted or "text_norm" in wanted:
+        df = df.withColumn("text_norm", _normalize(source, rules))
+        costly.append("text_norm")
+    if categories:
+        df = _category_matches(df, rules, categories)
+    if "is_spam_noise" in wanted:
+        df = df.withColumn("is_spam_noise", _noise_flag(source, rules))
+        costly.append("is_spam_noise")
+    if with_terms:
         df = df.withColumn("matched_terms", F.sort_array("_hits"))
         costly.append("matched_terms")
-    df = compute_once(df.drop("_hits"), costly)
-    df = df.withColumns(
-        {
-            **{flag: F.col(f"_{category}") for category, flag in _CATEGORY_FLAGS.items()},
-            "has_discriminatory_language": F.col("_ethnic_racial_slur") | F.col("_homophobic_slur"),
-        }
-    )
-    charged = [F.col("_polarization")]
-    if rules.implied_polarization:
-        charged += [F.col(f"_{c}") for c in ("terruqueo", "fraude", "general_insult", "ethnic_racial_slur", "homophobic_slur")]
-    df = df.withColumn("has_polarization_signal", F.col("_political_mention") & any_of(*charged))
-    df = df.withColumns({"local_risk_score": risk_score(rules), "local_rule_tags": rule_tags()})
+    if costly:
+        df = compute_once(df.drop("_hits"), costly)
+    flags = {flag: F.col(f"_{category}") for category, flag in _CATEGORY_FLAGS.items() if flag in wanted}
+    if "has_discriminatory_language" in wanted:
+        flags["has_discriminatory_language"] = F.col("_ethnic_racial_slur") | F.col("_homophobic_slur")
+    if "has_polarization_signal" in wanted:
+        charged = [F.col(f"_{c}") for c in ("polarization", *(_IMPLIED if rules.implied_polarization else ()))]
+        flags["has_polarization_signal"] = F.col("_political_mention") & any_of(*charged)
+    df = df.withColumns(flags) if flags else df
+    if "local_risk_score" in wanted:
+        df = df.withColumn("local_risk_score", risk_score(rules))
+    if "local_rule_tags" in wanted:
+        df = df.withColumn("local_rule_tags", rule_tags())
+    df = df.drop(*[c for c in RULE_OUTPUT if c not in columns])
     if "video_offset_msec" in df.columns:
         df = df.withColumn("minute", minute_bucket(F.col("video_offset_msec")))
     return df.drop("_text", *[f"_{category}" for category in CATEGORIES])
@@ -304,10 +341,10 @@ def alerts(signals: DataFrame) -> DataFrame:
     )
 
 
-def add_signals(events: DataFrame, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
-    """Rules of the streaming profile plus the message text and its political actor."""
+def add_signals(events: DataFrame, rules: str | RuleProfile = "s", actors=None, columns: Iterable[str] = RULE_OUTPUT) -> DataFrame:
+    """Rules of the streaming profile (the wanted columns) plus the message text and its political actor."""
     rules = profile(rules)
     df = events.withColumn("message_text", text.main_text(F.col("message_clean"), F.col("message_raw")))
-    df = add_rules(df, rules)
+    df = add_rules(df, rules, columns=[*columns, "text_norm"])
     actor = resolve_actor(F.col("text_norm")) if actors is None else resolve_actor(F.col("text_norm"), actors)
     return compute_once(df.withColumn("actor", actor), ["actor"])

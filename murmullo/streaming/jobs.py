@@ -99,7 +99,8 @@ ACTOR_COUNTS = {
 
 def actor_partials(events: DataFrame, duration: str = WINDOW, rules: str | RuleProfile = "s", actors=None) -> DataFrame:
     """Mentions and hostile signals of the given events per political actor and window; other comments are left out."""
-    flagged = add_signals(events, rules, actors).where("actor != ''")
+    needed = [flag for flag in ACTOR_COUNTS.values() if flag]
+    flagged = add_signals(events, rules, actors, needed).where("actor != ''")
     counts = [(F.count_if(flag) if flag else F.count(F.lit(1))).alias(name) for name, flag in ACTOR_COUNTS.items()]
     return flagged.groupBy(F.window(EVENT_TIME, duration), "actor").agg(*counts)
 

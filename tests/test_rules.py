@@ -144,3 +144,22 @@ def test_lexicons_have_no_largest_size(spark):
     inline = {tuple(r) for r in R.matched_terms(df, PROFILES["v1"].with_lexicon(phrases)).collect()}
     joined = T.join_lexicon(T.explode_words(df, "event_id", F.col("message_raw"), 2), lexicon_frame(spark, phrases), "event_id")
     assert inline == {tuple(r) for r in joined.collect()} == {("a", "fraude", "head3 tail3"), ("a", "fraude", "head6 tail398")}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_wanted_rule_columns_are_computed(spark):
+    df = spark.createDataFrame([("a", "robo electoral y actas falsas"), ("b", "terruco de mierda"), ("c", "")], "event_id string, message_raw string")
+    for name in ("v1", "k", "l"):
+        given = df.withColumn("message_clean", F.col("message_raw"))
+        full = R.add_rules(given, name)
+        for wanted in (["has_fraude"], ["local_risk_score"], ["has_polarization_signal", "is_spam_noise"], ["local_rule_tags"]):
+            some = R.add_rules(given, name, columns=wanted)
+            assert [c for c in some.columns if c in R.RULE_OUTPUT] == [c for c in full.columns if c in wanted]
+            assert sorted(map(tuple, some.select("event_id", *wanted).collect())) == sorted(map(tuple, full.select("event_id", *wanted).collect()))
+    one = _plan(R.add_rules(df, "v1", columns=["has_fraude"]).select("event_id", "has_fraude"))
+    assert one.count("arrays_overlap") <= 2 and "terruco" not in one
+    none = _plan(R.add_rules(df, "v1", columns=[]).select("event_id"))
+    assert "regexp" not in none and "Generate" not in none
