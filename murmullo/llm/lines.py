@@ -15,7 +15,7 @@ has a Jaccard similarity of at least ``percent`` / 100. Steps:
 * verification: candidates' words are read again from the documents that a fixed-size bitmap of the
   lines in question lets through, and the Jaccard similarity is computed on the sets.
 
-A large group gives each line its ``MOST`` earliest candidates at first; lines that none of these removes
+A large group gives each line its ``MOST`` closest candidates at first; lines that none of these removes
 and that have more are joined again with all of theirs, so nothing is lost.
 
 Words are compared by 64-bit hashes. Defined cases: lines of fewer than ``least`` distinct words stay and
@@ -40,7 +40,7 @@ BUCKET_BITS, CHUNK_BITS = 20, 12
 SEEN_BITS = 24
 RUN_BYTES = 2 << 20
 GROUP = 64  # groups up to this size give all candidates at once
-MOST = 16
+MOST, SURE = 16, 4
 BLOCK_ENTRIES = 500_000  # entries of a word from which its group is split
 _W = np.random.default_rng(20).integers(0, 2**63, 4096, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -297,8 +297,8 @@ def _near(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
 def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.ndarray | None = None) -> DataFrame:
     """Lines and earlier ones that may be similar, with the kind of the pair; copies are passed on.
 
-    With ``most``, lines of large groups get that many of their earliest candidates, and those that can
-    have more say so. asking: table of the lines that ask (others are only asked); None: all ask.
+    With ``most``, lines of large groups get that many candidates, those with the fewest differing bits, and
+    lines that can have more say so. asking: table of the lines that ask (others are only asked); None: all ask.
     """
     held = entries.sparkSession.sparkContext.broadcast(asking)  # fixed size
 
@@ -320,15 +320,29 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
             if len(ok):
                 yield emit(a, i[ok], j[ok], np.full(len(ok), CANDIDATE))
 
+    def closest(a, i, j, more, base):
+        """The ``most`` pairs of each line with the fewest differing bits; ``more`` (from ``base``) marks lines that lose some."""
+        apart = sum(np.bitwise_count((a[s][i] ^ a[s][j]).view(np.uint64)).astype(np.int64) for s in ("s0", "s1"))
+        order = np.lexsort((i, apart, j))
+        i, j = i[order], j[order]
+        rank = np.arange(len(j)) - np.searchsorted(j, j)
+        more[j[rank >= most] - base] = True
+        return i[rank < most], j[rank < most]
+
     def large(a, start, end):
-        """Entries of one group in order of place, against all earlier ones, block by block."""
+        """Entries of one group in order of place, against all earlier ones, block by block.
+
+        A line with ``SURE`` candidates that differ in few bits asks no further: one of these will do.
+        """
         probes = np.arange(start, end) if a["asks"] is None else start + np.flatnonzero(a["asks"][start:end])
         for at in range(0, len(probes), 1024):
             j = probes[at:at + 1024]
-            found = np.zeros(len(j), np.int64)
+            base = int(j[0])
+            more, sure = np.zeros(int(j[-1]) - base + 1, bool), np.zeros(len(j), np.int64)
+            left, right = np.empty(0, np.int64), np.empty(0, np.int64)
             for b in range(start, int(j[-1]), 1024):
                 block = np.arange(b, min(b + 1024, int(j[-1])))
-                open_ = np.flatnonzero((found < most) if most else np.ones(len(j), bool))
+                open_ = np.flatnonzero(sure < SURE) if most else np.arange(len(j))
                 if not len(open_):
                     break
                 jj, ii = np.repeat(open_, len(block)), np.tile(block, len(open_))
@@ -336,13 +350,19 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
                 jj, ii = jj[before], ii[before]
                 ok = _near(a, ii, j[jj], percent)
                 jj, ii = jj[ok], ii[ok]
-                if most:
-                    rank = np.arange(len(jj)) - np.searchsorted(jj, jj) + found[jj]
-                    found += np.bincount(jj, minlength=len(j))
-                    jj, ii = jj[rank < most], ii[rank < most]
-                if len(jj):
-                    # a line with as many as it may have can have more
-                    yield emit(a, ii, j[jj], np.where(found[jj] >= most, MORE, CANDIDATE) if most else np.full(len(jj), CANDIDATE))
+                if most and len(jj):
+                    n, m = a["n"][ii], a["n"][j[jj]]
+                    room = n + m - 2 * ((percent * (n + m) + 99 + percent) // (100 + percent))
+                    apart = sum(np.bitwise_count((a[s][ii] ^ a[s][j[jj]]).view(np.uint64)).astype(np.int64) for s in ("s0", "s1"))
+                    sure += np.bincount(jj[2 * apart <= room], minlength=len(j))
+                left, right = np.concatenate((left, ii)), np.concatenate((right, j[jj]))
+                if most and len(left) > 200_000:
+                    left, right = closest(a, left, right, more, base)
+            if most:
+                left, right = closest(a, left, right, more, base)
+                more[j[sure >= SURE] - base] = True  # not all earlier ones were looked at
+            if len(left):
+                yield emit(a, left, right, np.where(more[right - base], MORE, CANDIDATE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gathered(batches)

@@ -155,7 +155,7 @@ def test_large_groups_and_frequent_words_lose_nothing(spark, monkeypatch):
         texts.append((d, "\n".join(" ".join(x) for x in some)))
     want = brute.line_dedup(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for changed in ({}, {"GROUP": 2, "MOST": 1}, {"BLOCK_ENTRIES": 40}):
+    for changed in ({}, {"GROUP": 2, "MOST": 1}, {"GROUP": 2, "MOST": 1, "SURE": 1}, {"BLOCK_ENTRIES": 40}):
         with monkeypatch.context() as m:
             for k, v in changed.items():
                 m.setattr(lines, k, v)
