@@ -180,7 +180,7 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int) ->
     """Classes of lines by task: class (cls, n, s0, s1), first place (doc, line) and prefix words, rare first.
 
     Copies of a line within a run of texts are settled at once, so a line found everywhere is a row per run
-    at most; they are passed on as rows with n = 0 and the place of the earlier line in s0 and s1.
+    at most; they are passed on, dealt by their own place, as rows with n = 0 and the place of the earlier line in s0 and s1.
     """
     held = documents.sparkSession.sparkContext.broadcast(levels)  # fixed size
 
@@ -209,8 +209,10 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int) ->
                 place = np.repeat(x.first[at][own] - offsets[:-1], length) + np.arange(offsets[-1])
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, np.full(len(copy), offsets[-1]))), pa.int32()), pa.array(x.words[place].astype(np.int64)))
                 both = np.concatenate((own, copy))
+                # a settled copy needs no meeting with its class: it is dealt by its own place
+                dealt = np.concatenate((cls[own], _mix(doc[copy].view(np.uint64) * _K + line[copy].astype(np.uint64)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[both]), pa.array(np.concatenate((n[own], np.zeros(len(copy), np.int64))), pa.int32()),
+                    [pa.array(dealt), pa.array(np.concatenate((n[own], np.zeros(len(copy), np.int64))), pa.int32()),
                      pa.array(np.concatenate((s0[own], doc[to]))), pa.array(np.concatenate((s1[own], line[to]))),
                      pa.array(doc[both]), pa.array(line[both], pa.int32()), keys], ["cls", "n", "s0", "s1", "doc", "line", "keys"])
 
@@ -249,7 +251,8 @@ def _entries(sets: DataFrame, counts: np.ndarray) -> DataFrame:
         copy = (first != order) & ((doc[first] != doc[order]) | (line[first] != line[order]))
         if copy.any():
             c, to = order[copy], first[copy]
-            yield out(cls[c], doc[c], line[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int32), doc[to], line[to].astype(np.int64))
+            spread = _mix(doc[c].view(np.uint64) * _K + line[c].astype(np.uint64)).view(np.int64)
+            yield out(spread, doc[c], line[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int32), doc[to], line[to].astype(np.int64))
         own = order[first == order]
         splits = held.value
         for at in range(0, len(own), 20_000):
