@@ -176,21 +176,23 @@ def _firsts(order: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
 SET = "cls long, n int, s0 long, s1 long, doc long, line int, keys array<long>"
 
 
-def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int) -> DataFrame:
+def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, sizes: np.ndarray | None = None) -> DataFrame:
     """Classes of lines by task: class (cls, n, s0, s1), first place (doc, line) and prefix words, rare first.
 
     Copies of a line within a run of texts are settled at once, so a line found everywhere is a row per run
     at most; they are passed on, dealt by their own place, as rows with n = 0 and the place of the earlier line in s0 and s1.
     """
-    held = documents.sparkSession.sparkContext.broadcast(levels)  # fixed size
+    held = documents.sparkSession.sparkContext.broadcast((levels, sizes))  # fixed size, and a flag for each number of words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held.value
+        levels, sizes = held.value
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for some in parts(batch.column("text").to_pylist(), ids):
                 x = Lines(some, levels)
                 at = x.chosen(least)
+                if sizes is not None:
+                    at = at[sizes[np.minimum(x.sizes[at], len(sizes) - 1)]]
                 if not len(at):
                     continue
                 half = (x.words >> np.uint64(12)) & np.uint64(1) == 1  # a word's bit lies in one of the two longs
@@ -455,6 +457,15 @@ def _words_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "doc long, line int, words array<long>")
 
 
+def _close_sizes(docs: DataFrame, asked: DataFrame, percent: int, least: int) -> np.ndarray:
+    """A flag for each number of words (the last one for all above): a set of that size can be similar to a line asked about."""
+    found = [r["n"] for r in _words_of(docs, asked, least).select(F.size("words").alias("n")).distinct().collect()]  # numbers of words
+    flags = np.zeros(max(found, default=0) * 100 // percent + 2, bool)
+    for n in found:
+        flags[(percent * n + 99) // 100:n * 100 // percent + 1] = True
+    return flags
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
     """Pairs whose sets are similar, the earliest partner of each line."""
     words = materialize(_words_of(docs, pairs, least), "words")
@@ -477,8 +488,9 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEA
     # lines with more candidates than they were given and none among these that fits
     rest = materialize(pairs.where(F.col("kind") == MORE).select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
-        asking = _in_question(rest.select("doc", "line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line")))
-        others = _candidates(entries, percent, None, asking).where(F.col("kind") != COPY).drop("kind").distinct()
+        asked = rest.select("doc", "line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line"))
+        few = _entries(_sets(docs, levels, percent, least, _close_sizes(docs, asked, percent, least)), counts)
+        others = _candidates(few, percent, None, _in_question(asked)).where(F.col("kind") != COPY).drop("kind").distinct()
         similar = similar.union(_verified(docs, materialize(others, "candidates"), percent, least))
     copies = pairs.where(F.col("kind") == COPY).select("doc", "line", "to_doc", "to_line")
     return copies.union(similar).groupBy("doc", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to")).select("doc", "line", "to.*")
