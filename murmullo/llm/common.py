@@ -33,7 +33,3 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
-
-
-def lowest(spark: SparkSession, key: str, value: str) -> str | None:
-    return spark.conf.get(key, value)

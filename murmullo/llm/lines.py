@@ -176,23 +176,26 @@ def _firsts(order: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
 SET = "cls long, n int, s0 long, s1 long, doc long, line int, keys array<long>"
 
 
-def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, sizes: np.ndarray | None = None) -> DataFrame:
+def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, wanted: np.ndarray | None = None) -> DataFrame:
     """Classes of lines by task: class (cls, n, s0, s1), first place (doc, line) and prefix words, rare first.
 
     Copies of a line within a run of texts are settled at once, so a line found everywhere is a row per run
     at most; they are passed on, dealt by their own place, as rows with n = 0 and the place of the earlier line in s0 and s1.
     """
-    held = documents.sparkSession.sparkContext.broadcast((levels, sizes))  # fixed size, and a flag for each number of words
+    held = documents.sparkSession.sparkContext.broadcast((levels, wanted))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, sizes = held.value
+        levels, wanted = held.value
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for some in parts(batch.column("text").to_pylist(), ids):
                 x = Lines(some, levels)
                 at = x.chosen(least)
-                if sizes is not None:
-                    at = at[sizes[np.minimum(x.sizes[at], len(sizes) - 1)]]
+                if wanted is not None:  # lines with a wanted word among those that make their keys
+                    length = x.sizes - (percent * x.sizes + 99) // 100 + 1
+                    early = np.arange(len(x.words)) < np.repeat(x.first + length, x.sizes)
+                    hit = early & wanted[(x.words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    at = at[np.logical_or.reduceat(hit, x.first)[at]] if len(x.first) else at
                 if not len(at):
                     continue
                 half = (x.words >> np.uint64(12)) & np.uint64(1) == 1  # a word's bit lies in one of the two longs
@@ -224,14 +227,14 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, si
 ENTRY = "key long, doc long, at long, n int, s0 long, s1 long"
 
 
-def _entries(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+def _entries(sets: DataFrame, counts: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """An entry for each prefix word of each class: key, first place (doc; line and place of the word in at), n, s0, s1.
 
     A word counted more than BLOCK_ENTRIES times has a key for each pair of blocks of lines. Copies, found
     here or before, are entries with n = 0 and the place of the earlier line in s0 and s1.
     """
     splits = np.maximum(1, -(-counts // BLOCK_ENTRIES)).astype(np.int64)
-    held = sets.sparkSession.sparkContext.broadcast(splits if splits.max() > 1 else None)  # fixed size
+    held = sets.sparkSession.sparkContext.broadcast((splits if splits.max() > 1 else None, wanted))  # fixed size
 
     def out(key, doc, line, spot, n, s0, s1):
         at = line.astype(np.int64) << 32 | spot
@@ -256,13 +259,16 @@ def _entries(sets: DataFrame, counts: np.ndarray) -> DataFrame:
             spread = _mix(doc[c].view(np.uint64) * _K + line[c].astype(np.uint64)).view(np.int64)
             yield out(spread, doc[c], line[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int32), doc[to], line[to].astype(np.int64))
         own = order[first == order]
-        splits = held.value
+        splits, wanted = held.value
         for at in range(0, len(own), 20_000):
             o = own[at:at + 20_000]
             length = ends[o + 1] - ends[o]
             row = np.repeat(o, length)
             spot = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
             word = words[ends[row] + spot]
+            if wanted is not None:
+                hit = wanted[(word.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                row, spot, word = row[hit], spot[hit], word[hit]
             if splits is not None:
                 many = splits[(word.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 again = np.repeat(np.arange(len(row)), many)
@@ -457,12 +463,13 @@ def _words_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "doc long, line int, words array<long>")
 
 
-def _close_sizes(docs: DataFrame, asked: DataFrame, percent: int, least: int) -> np.ndarray:
-    """A flag for each number of words (the last one for all above): a set of that size can be similar to a line asked about."""
-    found = [r["n"] for r in _words_of(docs, asked, least).select(F.size("words").alias("n")).distinct().collect()]  # numbers of words
-    flags = np.zeros(max(found, default=0) * 100 // percent + 2, bool)
-    for n in found:
-        flags[(percent * n + 99) // 100:n * 100 // percent + 1] = True
+def _words_wanted(docs: DataFrame, asked: DataFrame, least: int) -> np.ndarray:
+    """A flag for each word bucket: some line asked about has a word in it. Only such words can be shared with it."""
+    words = _words_of(docs, asked, least).select(F.explode("words").alias("word"))
+    bucket = F.shiftrightunsigned("word", 64 - BUCKET_BITS).alias("bucket")
+    flags = np.zeros(1 << BUCKET_BITS, bool)
+    for r in words.select(bucket).distinct().collect():  # at most 2^BUCKET_BITS numbers
+        flags[r["bucket"]] = True
     return flags
 
 
@@ -489,7 +496,8 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEA
     rest = materialize(pairs.where(F.col("kind") == MORE).select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
         asked = rest.select("doc", "line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line"))
-        few = _entries(_sets(docs, levels, percent, least, _close_sizes(docs, asked, percent, least)), counts)
+        wanted = _words_wanted(docs, asked, least)
+        few = _entries(_sets(docs, levels, percent, least, wanted), counts, wanted)
         others = _candidates(few, percent, None, _in_question(asked)).where(F.col("kind") != COPY).drop("kind").distinct()
         similar = similar.union(_verified(docs, materialize(others, "candidates"), percent, least))
     copies = pairs.where(F.col("kind") == COPY).select("doc", "line", "to_doc", "to_line")
