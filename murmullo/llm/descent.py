@@ -3,14 +3,17 @@
 Equal vectors are one entry with a count. The neighbour graph starts from groups of entries on the same
 side of random hyperplanes; a round then joins every entry's neighbours (both ways) with each other and
 keeps the best found for each. A list whose neighbours all reach the threshold is saturated and is
-doubled, up to ``MOST``. Rounds end when few neighbours change. An audit searches a bounded sample of
+doubled, up to ``MOST``. Rounds end when few neighbours change. Every pair at the threshold that any
+round compares counts as a link, also one that finds no place in a list. Links give components; an entry
+has a list of its own for entries outside its component, which neighbours inside can't fill, and rounds
+start anew with the components found until they add no link. An audit searches a bounded sample of
 entries against all entries by brute force; if too many of its links are missing, lists are doubled and
-rounds go on. Edges at the threshold give components, and inside each component all pairs of entries are
-compared in blocks, in double precision, so the links of groups larger than any list are counted in full
-and only a link between two components can be missed.
+rounds go on. Inside each component all pairs of entries are compared in blocks, in double precision, so
+the links of groups larger than any list are counted in full and only a link between two components can
+be missed, if no round compares a pair of theirs.
 
 Groups of any size are dealt by range of (group, hash of the entry), so a hub or a dense side of the
-planes spans tasks, and are joined in runs of RUN members. Navigation uses half precision, which is
+planes spans tasks, and are joined in runs of RUN members, in another order for each group and round. Navigation uses half precision, which is
 exact to NEAR in cosine; edges closer to the threshold than that are computed anew in double precision.
 
 Defined cases: a vector that is null, empty or zero or has null or non-finite components links with
@@ -39,7 +42,9 @@ RUN = 48
 ROUNDS, CHANGED = 8, 0.002
 AUDIT, RECALL = 128, 0.97
 BLOCK = 1024
-EDGE_COLUMNS = "u long, v long, sim float"
+EDGE_COLUMNS = "u long, v long, sim float, kind int"
+OWN, OUTSIDE, LINK = 0, 1, 2  # kinds of edges: of the list inside the component, of that outside, between components
+SURE = 2.0  # similarity given to links that need no check
 
 
 def _usable(vec_id: str, embedding: str):
@@ -82,23 +87,54 @@ def _start(entries: DataFrame, width: int, n: int, seed: int) -> DataFrame:
     return entries.select("id", "embedding").mapInArrow(run, "side long, id long, half binary")
 
 
-def _joined(members: DataFrame, keep: int) -> DataFrame:
-    """Best pairs (u, v, sim) within runs of members (side, id, half, floor) of a group; sim exceeds the floor of u."""
+def _links(ids, sim, comps, threshold: float):
+    """Links between components in runs (runs, size, ...): members reached over sure links with the first of them, pairs that need a check."""
+    size = sim.shape[1]
+    same = comps[:, :, None] == comps[:, None, :]
+    near = (sim >= threshold - NEAR) & ~same
+    some = near.any((1, 2))
+    ids, sim, comps, near = ids[some], sim[some], comps[some], near[some]
+    met = same[some] | (sim >= threshold + NEAR)
+    first = np.broadcast_to(np.arange(size), ids.shape)
+    while True:
+        least = np.where(met, first[:, None, :], size).min(2)
+        if (least == first).all():
+            break
+        first = least
+    root = np.take_along_axis(comps, first, 1)
+    r, i = np.nonzero(root != comps)
+    yield ids[r, first[r, i]], ids[r, i], np.full(len(r), SURE)
+    r, i, k = np.nonzero(near & (first[:, :, None] < first[:, None, :]))
+    yield ids[r, i], ids[r, k], sim[r, i, k]
+
+
+def _joined(members: DataFrame, keep: int, threshold: float, turn: int) -> DataFrame:
+    """Best pairs (u, v, sim) inside and outside the component of u within runs of members of a group, and all links between components.
 
-    def pairs(ids, half, floors):
+    members: side (group), id, half, component, own and outside (similarities that pairs of u must exceed). turn: changes the runs.
+    """
+
+    def pairs(ids, half, comps, own, outside):
         """All runs of one size at once: arrays (runs, size, ...)."""
         x = half.astype(np.float32)
         sim = x @ x.transpose(0, 2, 1)
-        sim[(sim <= floors[:, :, None]) | (ids[:, :, None] == ids[:, None, :])] = -2
-        if sim.shape[2] > keep:
-            best = np.argpartition(-sim, keep - 1, axis=2)[:, :, :keep]
-            values = np.take_along_axis(sim, best, 2)
-        else:
-            best, values = np.broadcast_to(np.arange(sim.shape[2]), sim.shape), sim
-        r, i, k = np.nonzero(values > -2)
-        return ids[r, i], ids[r, best[r, i, k]], values[r, i, k]
-
-    def out(side, ids, half, floors):
+        for u, v, s in _links(ids, sim, comps, threshold):
+            yield u, v, s, LINK
+        same = comps[:, :, None] == comps[:, None, :]
+        other = ids[:, :, None] != ids[:, None, :]
+        for kind, floors, asked in ((OWN, own, same & other), (OUTSIDE, outside, ~same)):
+            if not asked.any():
+                continue
+            some = np.where(asked & (sim > floors[:, :, None]), sim, np.float32(-2))
+            if some.shape[2] > keep:
+                best = np.argpartition(-some, keep - 1, axis=2)[:, :, :keep]
+                values = np.take_along_axis(some, best, 2)
+            else:
+                best, values = np.broadcast_to(np.arange(some.shape[2]), some.shape), some
+            r, i, k = np.nonzero(values > -2)
+            yield ids[r, i], ids[r, best[r, i, k]], values[r, i, k], kind
+
+    def out(side, ids, *columns):
         first = np.concatenate(([True], side[1:] != side[:-1]))
         within = np.arange(len(side)) - np.maximum.accumulate(np.where(first, np.arange(len(side)), 0))
         starts = np.flatnonzero(within % RUN == 0)
@@ -108,9 +144,10 @@ def _joined(members: DataFrame, keep: int) -> DataFrame:
             step = max(1, 2_000_000 // (size * size))
             for at in range(0, len(chosen), step):
                 index = chosen[at:at + step, None] + np.arange(size)
-                u, v, s = pairs(ids[index], half[index], floors[index])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s, pa.float32())], ["u", "v", "sim"])
+                for u, v, s, kind in pairs(ids[index], *(x[index] for x in columns)):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(u), pa.array(v), pa.array(s, pa.float32()), pa.array(np.full(len(u), kind, np.int32))], ["u", "v", "sim", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -118,7 +155,8 @@ def _joined(members: DataFrame, keep: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             half = np.frombuffer(b"".join(batch.column("half").to_pylist()), np.float16).reshape(batch.num_rows, -1)
-            now = [batch.column("side").to_numpy(), batch.column("id").to_numpy(), half, batch.column("floor").to_numpy()]
+            side, ids, *rest = (batch.column(c).to_numpy() for c in ("side", "id", "component", "own", "outside"))
+            now = [side, ids, half, *rest]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
             cut += (len(held[0]) - cut) // RUN * RUN
@@ -127,29 +165,47 @@ def _joined(members: DataFrame, keep: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from out(*held)
 
-    dealt = members.withColumn("mixed", F.xxhash64("id")).repartitionByRange("side", "mixed").sortWithinPartitions("side", "mixed")
-    return dealt.select("side", "id", "half", "floor").mapInArrow(run, EDGE_COLUMNS)
+    mixed = members.withColumn("mixed", F.xxhash64("id", "side", F.lit(turn)))
+    dealt = mixed.repartitionByRange("side", "mixed").sortWithinPartitions("side", "mixed")
+    return dealt.select("side", "id", "half", "component", "own", "outside").mapInArrow(run, EDGE_COLUMNS)
 
 
 def _best(graph: DataFrame | None, found: DataFrame, base: int, most: int) -> DataFrame:
-    """The lists u, v, sim, size (of the list of u), fresh: old ones with what a round has found."""
-    found = found.select("u", "v", "sim", F.lit(None).cast("int").alias("size"), F.lit(1).alias("fresh"))
-    every = found if graph is None else graph.select("u", "v", "sim", "size", F.lit(0).alias("fresh")).unionByName(found)
-    every = every.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("size").alias("size"), F.min("fresh").alias("fresh"))
-    own = Window.partitionBy("u")
+    """The lists u, v, sim, kind, size (of the list), fresh: old ones with what a round has found, and all links."""
+    found = found.select("u", "v", "sim", "kind", F.lit(None).cast("int").alias("size"), F.lit(1).alias("fresh"))
+    every = found if graph is None else graph.select("u", "v", "sim", "kind", "size", F.lit(0).alias("fresh")).unionByName(found)
+    every = every.groupBy("u", "v", "kind").agg(F.max("sim").alias("sim"), F.max("size").alias("size"), F.min("fresh").alias("fresh"))
+    own = Window.partitionBy("u", "kind")
     every = every.withColumn("size", F.greatest(F.coalesce(F.max("size").over(own), F.lit(base)), F.lit(base)))
-    every = every.withColumn("place", F.row_number().over(own.orderBy(F.desc("sim"), "v"))).where("place <= size")
+    every = every.withColumn("place", F.row_number().over(own.orderBy(F.desc("sim"), "v"))).where((F.col("kind") == LINK) | (F.col("place") <= F.col("size")))
     full = F.count(F.when(F.col("sim") >= THRESHOLD, 1)).over(own) >= F.col("size")
     return every.withColumn("size", F.when(full, F.least(2 * F.col("size"), F.lit(most))).otherwise(F.col("size"))).drop("place")
 
 
 def _neighbours(graph: DataFrame, halves: DataFrame) -> DataFrame:
     """Members of the group of each entry: its neighbours and those that have it as a neighbour."""
-    both = graph.select(F.col("u").alias("side"), F.col("v").alias("id")).union(graph.select("v", "u")).distinct()
-    floor = graph.groupBy(F.col("u").alias("id")).agg(
-        F.when(F.count(F.lit(1)) >= F.max("size"), F.min("sim")).otherwise(F.lit(-1.0)).cast("float").alias("floor"))
-    known = halves.join(floor, "id", "left").select("id", "half", F.coalesce("floor", F.lit(-1.0)).cast("float").alias("floor"))
-    return both.join(materialize(known, "halves"), "id")
+    lists = graph.where(F.col("kind") != LINK)
+    both = lists.select(F.col("u").alias("side"), F.col("v").alias("id")).union(lists.select("v", "u")).distinct()
+
+    def floor(kind):
+        size, sim = (F.when(F.col("kind") == kind, F.col(c)) for c in ("size", "sim"))
+        return F.when(F.count(sim) >= F.max(size), F.min(sim)).otherwise(F.lit(-1.0)).cast("float")
+
+    floors = lists.groupBy(F.col("u").alias("id")).agg(floor(OWN).alias("own"), floor(OUTSIDE).alias("outside"))
+    floors = halves.join(floors, "id", "left").select("id", "half", "component", *[F.coalesce(c, F.lit(-1.0)).cast("float").alias(c) for c in ("own", "outside")])
+    return both.join(materialize(floors, "halves"), "id")
+
+
+def _labelled(table: DataFrame, group: DataFrame, node: str, component: str) -> DataFrame:
+    """The table with the component of a node, which is the node itself if it has no links."""
+    named = group.select(F.col("node").alias(node), F.col("component").alias(component))
+    return table.join(named, node, "left").withColumn(component, F.coalesce(component, node))
+
+
+def _sorted_out(graph: DataFrame, group: DataFrame) -> DataFrame:
+    """The lists by the components that are known now; links are part of these."""
+    lists = _labelled(_labelled(graph.where(F.col("kind") != LINK), group, "u", "cu"), group, "v", "cv")
+    return lists.withColumn("kind", F.when(F.col("cu") == F.col("cv"), OWN).otherwise(OUTSIDE)).drop("cu", "cv")
 
 
 def _certain(edges: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
@@ -220,25 +276,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     entries = materialize(entries, "entries")
     n, width = entries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     start = materialize(_start(entries, width, n, seed), "sides")
-    halves = start.where(F.col("side") % TABLES == 0).select("id", "half")
-    found = _joined(start.withColumn("floor", F.lit(-1.0).cast("float")), LIST)
-    graph = materialize(_best(None, found, LIST, MOST), "graph")
     queries = [(r["id"], r["embedding"]) for r in entries.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "embedding").collect()]
     truth = materialize(brute_force(entries, queries, width, threshold), "truth")
     n_truth, base, most = truth.count(), LIST, MOST
-    for attempt in range(3):
-        for _ in range(ROUNDS):
-            found = _joined(_neighbours(graph, halves), base)
+    graph, group, attempt, turn = None, None, 0, 0
+    while True:
+        known = spark.createDataFrame([], "node long, component long") if group is None else group
+        lowest = F.lit(-1.0).cast("float")
+        members = materialize(_labelled(start, known, "id", "component"), "members")
+        found = _joined(members.withColumn("own", lowest).withColumn("outside", lowest), base, threshold, turn)
+        graph = materialize(_best(None if graph is None else _sorted_out(graph, known), found, base, most), "graph")
+        turn += 1
+        halves = members.where(F.col("side") % TABLES == 0).select("id", "half", "component")
+        for _ in range(0 if group is None else ROUNDS):
+            found = _joined(_neighbours(graph, halves), base, threshold, turn)
             graph = materialize(_best(graph, found, base, most), "graph")
-            if graph.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0] <= CHANGED * base * n:
+            turn += 1
+            if graph.agg(F.coalesce(F.sum(F.when(F.col("kind") != LINK, F.col("fresh"))), F.lit(0))).first()[0] <= CHANGED * base * n:
                 break
-        links = _certain(graph, entries, threshold)
-        group = materialize(components(links), "components")
+        links = materialize(_certain(graph.where(F.col("kind") == LINK), entries, threshold), "links")
+        if group is None or not links.isEmpty():
+            group = materialize(components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).union(links)), "components")
+            continue
         if not n_truth:
             break
         side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias("c" + x))
         met = truth.join(side("q"), "q").join(side("v"), "v").where("cq = cv").count()
-        if met >= RECALL * n_truth:
+        attempt += 1
+        if met >= RECALL * n_truth or attempt == 3:
             break
         base, most = 2 * base, 2 * most
     counted = materialize(_counted(entries, group, width, threshold), "counts")

@@ -242,3 +242,16 @@ def test_descent_finds_the_links(spark, monkeypatch):
     np.fill_diagonal(near, False)
     want = brute.components(range(len(x)), zip(*(k.tolist() for k in np.nonzero(near))))
     assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
+
+
+def test_descent_links_groups_that_fill_their_lists(spark, monkeypatch):
+    monkeypatch.setattr(descent, "MOST", 12)  # much less than the groups hold
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, b = unit(rng.normal(size=(2, 32)))
+    b = unit(b - (a @ b) * a)
+    centres = a, 0.958 * a + np.sqrt(1 - 0.958 ** 2) * b  # the cosines of the two groups are 0.95 to 0.97, those inside 0.99
+    x = np.vstack([rng.normal(size=(200, 32)), *(c + 0.001 * rng.normal(size=(150, 32)) for c in centres)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_duplicates(df).collect()}
+    assert got == {i: (0, i) if i < 200 else (299, 200) for i in range(500)}
