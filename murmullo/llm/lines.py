@@ -18,8 +18,8 @@ has a Jaccard similarity of at least ``percent`` / 100. Steps:
 A large group gives each line its ``MOST`` closest candidates at first; lines that none of these removes
 and that have more are joined again with all of theirs, so nothing is lost.
 
-Words are compared by 64-bit hashes. Defined cases: lines of fewer than ``least`` distinct words stay and
-match nothing (so do blank lines); null texts have no lines; documents without id stay as they are; ids
+Words are compared by 64-bit hashes. Defined cases: blank lines stay and match nothing (so do
+lines of fewer than ``least`` distinct words, if more than one is asked for); null texts have no lines; documents without id stay as they are; ids
 are taken as unique: rows that repeat a document share its decisions; ties don't arise, as places
 differ; an empty table gives an empty result; other columns are ignored or carried.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from murmullo.llm.common import fresh, quoted
 from murmullo.session import materialize
 
-PERCENT, LEAST = 80, 5
+PERCENT, LEAST = 80, 1
 BUCKET_BITS, CHUNK_BITS = 20, 12
 SEEN_BITS = 24
 RUN_BYTES = 2 << 20

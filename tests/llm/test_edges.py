@@ -162,6 +162,16 @@ def test_large_groups_and_frequent_words_lose_nothing(spark, monkeypatch):
             assert {r.doc_id: set(r.removed_lines) for r in lines.report(df).collect() if r.n_removed} == want
 
 
+def test_short_lines_go_like_long_ones(spark):
+    from . import brute
+
+    texts = [(1, "All rights reserved.\nhome\n\nshare this page now"), (2, "home\nother words here\nAll rights reserved.\nnow share this page today"), (3, "\nHome\nhome")]
+    want = {2: {0, 2, 3}, 3: {2}}
+    assert brute.line_dedup(texts, least=1) == want
+    rows = lines.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: set(r.removed_lines) for r in rows if r.n_removed} == want
+
+
 def test_pieces(docs):
     rows = pieces.encode_documents(docs, keep=["a.b"]).collect()
     assert _ids(rows) == ALL and all(r.lossless and r["a.b"] == "xa.b" for r in rows)
