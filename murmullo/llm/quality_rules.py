@@ -2,7 +2,7 @@
 
 N-grams are pairs of neighbouring words, each by its last three characters (which carry inflection,
 punctuation and mark-up), hashed into ``buckets``. One pass over all documents counts the buckets of the
-raw corpus and, of a bounded set of trusted documents, those of the target. Both are smoothed to
+raw corpus and, of all trusted documents (labelled good), those of the target. Both are smoothed to
 multinomials; a document's score is the sum of log(target / raw) over its n-grams, divided by their number, and a document is kept when no base rule rejects it and its score reaches ``threshold``.
 
 The counts shrink to one row per bucket and task before they are shuffled. The weights come back as one
@@ -37,18 +37,16 @@ def bucket_ids(codes: str, buckets: int) -> Column:
     return F.transform(codes, lambda c, i: F.pmod(F.xxhash64(ending(c), ending(F.get(codes, i + 1))), F.lit(buckets)).cast("int"))
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """Ids of at most ``most`` documents labelled good, the first in hash order."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def bucket_weights(documents: DataFrame, labels: DataFrame, buckets: int, most_trusted: int, smoothing: float) -> DataFrame:
+def bucket_weights(documents: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """One row with ``weights``: log ratio of target and raw probability of each bucket, in order."""
-    trusted = trusted_ids(labels, most_trusted).select(F.col("doc_id").alias("trusted_id"))
+    trusted = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))
     counts = (
-        # at most most_trusted ids: their size is bounded by the parameter
-        documents.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
+        documents.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
         .select(F.col("trusted_id").isNotNull().cast("long").alias("good"), word_codes(words(F.col("text"))).alias("h"))
         .select("good", F.explode(bucket_ids("h", buckets)).alias("bucket"))
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
@@ -95,19 +93,18 @@ def judge(
     documents: DataFrame,
     labels: DataFrame,
     buckets: int = 1 << 14,
-    most_trusted: int = 20_000,
     smoothing: float = 1.0,
     threshold: float = -0.12,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Every document with its counts, ``n_grams``, ``llr`` (per n-gram), ``base_failed`` and ``kept``.
 
-    labels: doc_id and quality; at most ``most_trusted`` good ones make the target. keep: columns of the
+    labels: doc_id and quality; all good ones make the target. keep: columns of the
     documents to carry along.
     """
     carried = {c: f"kept_{i}" for i, c in enumerate(keep or [])}
     narrow = documents.select("doc_id", "text", *[quoted(c).alias(v) for c, v in carried.items()])
-    weights = bucket_weights(documents.select("doc_id", "text"), labels, buckets, most_trusted, smoothing)
+    weights = bucket_weights(documents.select("doc_id", "text"), labels, buckets, smoothing)
     counted = base_counts(narrow).withColumn("b", bucket_ids("h", buckets)).withColumn("weights", weights.scalar())
     scored = counted.withColumn("n_grams", F.size("b").cast("long")).withColumn(
         "llr", F.coalesce(F.aggregate("b", F.lit(0.0), lambda a, x: a + F.get("weights", x)) / F.nullif(F.col("n_grams"), F.lit(0)), F.lit(0.0)))

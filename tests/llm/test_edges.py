@@ -46,6 +46,12 @@ def test_quality_rules(docs, labels):
     assert kept.where("not kept").count() == sum(not r.kept for r in rows) and kept.columns[:4] == ["doc_id", "text", "a.b", "h"]
 
 
+def test_quality_rules_count_all_trusted_documents(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat_ws(' ', 'word', id % 97, 'of', id % 89, 'and', id) AS text")
+    judged = quality_rules.judge(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert judged.where("llr <> 0").count() == 0  # all are good, so target and raw counts are the same
+
+
 def test_secrets(docs):
     rows = secrets.find_secrets(docs).collect()
     assert _ids(rows) == ALL
