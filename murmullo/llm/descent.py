@@ -7,8 +7,8 @@ doubled, up to ``MOST``. Rounds end when few neighbours change. Every pair at th
 round compares counts as a link, also one that finds no place in a list. Links give components; an entry
 has a list of its own for entries outside its component, which neighbours inside can't fill, and rounds
 start anew with the components found until they add no link. An audit searches a bounded sample of
-entries against all entries by brute force; if too many of its links are missing, lists are doubled and
-rounds go on. Inside each component all pairs of entries are compared in blocks, in double precision, so
+entries, larger where links are rare, against all entries by brute force; if too many of its links are missing, lists are
+doubled and rounds go on, and the third failure is an error. A sample without links is a warning. Inside each component all pairs of entries are compared in blocks, in double precision, so
 the links of groups larger than any list are counted in full and only a link between two components can
 be missed, if no round compares a pair of theirs.
 
@@ -25,6 +25,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ TABLES, GROUP = 6, 12  # sets of hyperplanes, and entries wanted on one side of
 RUN = 48
 ROUNDS, CHANGED = 8, 0.002
 AUDIT, RECALL = 128, 0.97
+AUDIT_MOST, AUDIT_LINKS = 2048, 32  # entries drawn at most, until so many links are among theirs
 BLOCK = 1024
 EDGE_COLUMNS = "u long, v long, sim float, kind int"
 OWN, OUTSIDE, LINK = 0, 1, 2  # kinds of edges: of the list inside the component, of that outside, between components
@@ -276,9 +278,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     entries = materialize(entries, "entries")
     n, width = entries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     start = materialize(_start(entries, width, n, seed), "sides")
-    queries = [(r["id"], r["embedding"]) for r in entries.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "embedding").collect()]
-    truth = materialize(brute_force(entries, queries, width, threshold), "truth")
-    n_truth, base, most = truth.count(), LIST, MOST
+    drawn, base, most = AUDIT, LIST, MOST
+    while True:
+        queries = [(r["id"], r["embedding"]) for r in entries.orderBy(F.xxhash64("id"), "id").limit(drawn).select("id", "embedding").collect()]
+        truth = materialize(brute_force(entries, queries, width, threshold), "truth")
+        n_truth = truth.count()
+        if n_truth >= AUDIT_LINKS or drawn >= min(n, AUDIT_MOST):
+            break
+        drawn = 4 * drawn
+    if n and not n_truth:
+        warnings.warn(f"no links among the {len(queries)} entries of the audit: its recall is not measured")
     graph, group, attempt, turn = None, None, 0, 0
     while True:
         known = spark.createDataFrame([], "node long, component long") if group is None else group
@@ -303,8 +312,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
         side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias("c" + x))
         met = truth.join(side("q"), "q").join(side("v"), "v").where("cq = cv").count()
         attempt += 1
-        if met >= RECALL * n_truth or attempt == 3:
+        if met >= RECALL * n_truth:
             break
+        if attempt == 3:
+            raise RuntimeError(f"the audit found {met} of {n_truth} links, less than a share of {RECALL}")
         base, most = 2 * base, 2 * most
     counted = materialize(_counted(entries, group, width, threshold), "counts")
     entry = entries.join(group, entries["id"] == group["node"], "left").join(counted, "id", "left").select(

@@ -255,3 +255,12 @@ def test_descent_links_groups_that_fill_their_lists(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in descent.near_duplicates(df).collect()}
     assert got == {i: (0, i) if i < 200 else (299, 200) for i in range(500)}
+
+
+def test_descent_says_when_the_audit_fails(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(20)], "vec_id long, embedding array<float>")
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="of 380 links"):
+        m.setattr(descent, "RECALL", 1.1)
+        descent.near_duplicates(df)
+    with pytest.warns(UserWarning, match="not measured"):
+        descent.near_duplicates(df.where("vec_id = 1"))
