@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from murmullo.llm import crf, descent, fim, lines, mixing, packing, pieces, quality_rules, secrets, simhash, token_counts, warc
+from murmullo.llm import crf, descent, fim, lines, mixing, packing, pieces, prefix_trie, quality_rules, secrets, simhash, token_counts, warc
 from murmullo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,29 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
   sha256(text) AS restored_sha256 FROM p
 """
+
+
+@query
+def op12_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+# Every node by its prefix, every subtree by the prefixes of its nodes; the checksum is stated bit by bit.
+ORACLES["op12_prefix_trie"] = r"""
+WITH o AS (SELECT conv_id, list(sha256(length(r) || ':' || r || t) ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)) AS own,
+  list(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h], h.own[h + 1:len(h.own)]) AS path, list_concat(coalesce(b.words, [])[1:h], h.words[h + 1:len(h.words)]) AS words
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, len(path) AS size, sha256(array_to_string(path[1:d], ',')) AS prefix, CASE WHEN d > 0 THEN sha256(array_to_string(path[1:d - 1], ',')) END AS above,
+  CASE WHEN d > 0 THEN words[d] ELSE 0 END AS last_words FROM r, unnest(range(0, len(path) + 1)) AS u(d)),
+n AS (SELECT d, prefix, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(last_words) AS own_saved,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends FROM p GROUP BY d, prefix),
+k AS (SELECT a.d, a.prefix, count(b.prefix) AS n_children FROM n a LEFT JOIN n b ON b.d = a.d + 1 AND b.above = a.prefix GROUP BY a.d, a.prefix),
+s AS (SELECT p.d, p.prefix, sum(n.own_saved) AS saved_tokens, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves
+  FROM n JOIN k USING (d, prefix) JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.d, p.prefix)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN k USING (d, prefix) JOIN s USING (d, prefix) LEFT JOIN n m ON m.d = n.d - 1 AND m.prefix = n.above
+"""

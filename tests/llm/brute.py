@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 
 import xxhash
 
@@ -53,7 +54,7 @@ def quality_rules(docs, good, buckets=1 << 14, smoothing=1.0, threshold=-0.12):
     return out
 
 
-def line_dedup(docs, percent=80, least=5):
+def line_dedup(docs, percent=80, least=1):
     """doc -> line numbers that go; docs: (id, text)."""
     seen, gone = [], {}
     for d, t in sorted((x for x in docs if x[0] is not None and x[1]), key=lambda x: x[0]):
@@ -156,3 +157,44 @@ def mix(docs, weights, share=1.0, epochs=2, seed=7):
                 out[r[0]] = (whole + last, last)
             before += r[2]
     return out
+
+
+def prefix_trie(rows):
+    """Nodes (conv_id, depth, parent, n_convs, n_children, n_leaves, saved, sha of ends) of rows (conv_id, turn, role, text)."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    own = {c: [x[-1] for x in sorted(v)] for c, v in own.items()}
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        built = tuple(own.get(c - c % 20, [])[:h] + turns[h:])
+        ends[built].append(c)
+        for d in range(len(built) + 1):
+            members[built[:d]].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    saved, leaves = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(m) - 1) * len(words(p[-1][1])) if p else 0
+            leaves[p[:d]] += not children[p]
+    sha = lambda p: hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest()
+    return sorted((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], sha(p)) for p, m in members.items())
+
+
+def fill_in_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text = text or ""
+    tokens = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+    n = len(tokens)
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 50:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if h[3] % 100 < 80:
+        return n, "spm", len(prefix), len(middle), "<S>" + suffix + "<P>" + prefix + "<M>" + middle
+    return n, "psm", len(prefix), len(middle), "<P>" + prefix + "<S>" + suffix + "<M>" + middle

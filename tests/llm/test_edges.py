@@ -173,7 +173,7 @@ def test_short_lines_go_like_long_ones(spark):
 
     texts = [(1, "All rights reserved.\nhome\n\nshare this page now"), (2, "home\nother words here\nAll rights reserved.\nnow share this page today"), (3, "\nHome\nhome")]
     want = {2: {0, 2, 3}, 3: {2}}
-    assert brute.line_dedup(texts, least=1) == want
+    assert brute.line_dedup(texts) == want
     rows = lines.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r.doc_id: set(r.removed_lines) for r in rows if r.n_removed} == want
 
