@@ -197,7 +197,7 @@ SELECT a.flag, a.percentage AS current_pct, b.percentage AS base_pct, round(a.pe
 
 def _compare(spark, sf, **settings):
     every = ruled(spark, sf, "v1")
-    return A.compare_flag_runs(every, every.where(F.col("video_offset_msec").try_cast("long") < 40000), **settings)
+    return A.compare_flags_with_part(every, F.col("video_offset_msec").try_cast("long") < 40000, **settings)
 
 
 @query("f17_compare_flag_runs", _compare_sql(2.0, 40.0))

@@ -10,7 +10,7 @@ from checks.registry import query
 from murmullo.operators import batches as B
 from murmullo.operators import feed as FD
 from murmullo.operators.ingest import row_range
-from murmullo.operators.rules import add_signals, alerts
+from murmullo.operators.rules import add_signals, is_alert
 from checks.data import TEST_ACTORS, rules
 from murmullo.session import scratch_path
 from murmullo.sources.profile import profile_table, schema_rows
@@ -170,14 +170,14 @@ def i02_overlap(spark, sf):
 @query("i03_unified_feed", S.chain(S.COMMENTS, S.SIGNALS, _BATCHED, _LEDGER, """
 flagged AS (SELECT * FROM signals WHERE has_ethnic_racial_slur OR has_homophobic_slur OR (has_terruqueo AND has_general_insult)
   OR (has_fraude AND has_electoral_institution) OR local_risk_score >= 4)""", final=f"""
-SELECT 'stream' AS source, 'political_signals' AS event_type, NULL AS job_name, message_text AS text, event_id FROM signals UNION ALL
-SELECT 'alert', 'risk_alert', NULL, message_text, event_id FROM flagged UNION ALL
-SELECT 'spark', 'spark_batch_output', batch_id, status || ': {SIZE} filas escritas', NULL FROM ledger"""))
+SELECT 'stream' AS source, 'political_signals' AS event_type, NULL AS job_name, message_text AS text, event_id, kafka_partition AS source_partition,
+  CAST(kafka_offset AS BIGINT) AS source_offset, NULL AS output_path FROM signals UNION ALL
+SELECT 'alert', 'risk_alert', NULL, message_text, event_id, kafka_partition, kafka_offset, NULL FROM flagged UNION ALL
+SELECT 'spark', 'spark_batch_output', batch_id, status || ': {SIZE} filas escritas', NULL, 0, target_count, 'out/hybrid/batch_id=' || batch_id FROM ledger"""))
 def i03(spark, sf):
-    found = add_signals(comments(spark, sf), rules("s"), TEST_ACTORS)
-    stream = found.select(F.lit("stream").alias("source"), F.lit("political_signals").alias("event_type"), F.col("message_text").alias("text"), "event_id")
-    alert = alerts(found).select(F.lit("alert").alias("source"), F.lit("risk_alert").alias("event_type"), F.col("message_text").alias("text"), "event_id")
-    return FD.unified_feed(stream, alert, B.ledger_latest(_log(spark, sf))).select("source", "event_type", "job_name", "text", "event_id")
+    found = FD.signal_feed(add_signals(comments(spark, sf), rules("s"), TEST_ACTORS), is_alert())
+    return FD.unified_feed(found, B.ledger_latest(_log(spark, sf)), "out/hybrid").select(
+        "source", "event_type", "job_name", "text", "event_id", "source_partition", "source_offset", "output_path")
 
 
 @query("f24_profile_table", """

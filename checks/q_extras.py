@@ -13,7 +13,10 @@ from murmullo.operators import corpus as C
 from murmullo.operators import joins as J
 from murmullo.operators.rules import add_rules
 from checks import tables
-from murmullo.streaming import jobs
+from murmullo.session import scratch_path
+from murmullo.sources import topics
+from murmullo.streaming import jobs, runner
+from checks.q_streams import topic_stream
 from checks.q_text import _NOISES, _NOISY, _noisy
 
 _PREPARED = f"""
@@ -107,25 +110,84 @@ def n02(spark, sf):
     return _noisy(spark, sf).select("event_id", noise.emoji_count(t).alias("emoji_count"), noise.is_emoji_only(t).alias("is_emoji_only"), noise.is_single_emoji(t).alias("is_single_emoji"))
 
 
-@query("n03_throughput", """
+def _event_stream(spark, sf):
+    """The event table as a stream of six files, one a micro-batch, each with events of all times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _EVENT_FILES:
+        path = scratch_path(spark, "events")
+        events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        events.withColumn("part", F.col("event_id") % 6).repartition("part").write.partitionBy("part").parquet(path)
+        _EVENT_FILES[key] = path
+    path = _EVENT_FILES[key]
+    return topics.stream_table(spark, path, spark.read.parquet(path).schema, 1).drop("part")
+
+
+_EVENT_FILES: dict = {}
+_THROUGHPUT_SQL = """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS message_count,
-  count(*) / 3600.0::DOUBLE AS throughput_msg_per_sec FROM events GROUP BY ALL""")
+  count(*) / 3600.0::DOUBLE AS throughput_msg_per_sec FROM events GROUP BY ALL"""
+
+
+@query("n03_throughput", _THROUGHPUT_SQL)
 def n03(spark, sf):
     return jobs.throughput(read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), 3600, time="ts")
 
 
-@query("n04_latency_stats", """
+@query("n03_throughput_stream", _THROUGHPUT_SQL)
+def n03_stream(spark, sf):
+    found = runner.run_partials(_event_stream(spark, sf), lambda e: jobs.throughput_partials(e, 3600, "ts"), "throughput", scratch_path(spark, "stream"), jobs.throughput_merge)
+    return jobs.throughput_totals(found, 3600)
+
+
+_LATENCY_SQL = """
 WITH l AS (SELECT CAST(floor(value * 10) AS BIGINT) AS ms FROM events)
-SELECT avg(ms) AS avg_latency_ms, quantile_cont(ms, 0.5) AS p50_latency_ms, quantile_cont(ms, 0.95) AS p95_latency_ms, max(ms) AS max_latency_ms FROM l""")
-def n04(spark, sf):
+SELECT avg(ms) AS avg_latency_ms, quantile_cont(ms, 0.5) AS p50_latency_ms, quantile_cont(ms, 0.95) AS p95_latency_ms, max(ms) AS max_latency_ms FROM l"""
+
+
+def _stamped(events):
     base = F.timestamp_millis(F.lit(1704067200000))
     later = F.timestamp_millis(F.lit(1704067200000) + F.floor(F.col("value") * 10).cast("long"))
-    return jobs.latency_stats(read(spark, sf, "events").select(base.alias("a"), later.alias("b")), "a", "b")
+    return events.select(base.alias("a"), later.alias("b"))
 
 
-@query("n05_threshold_alerts", S.chain(S.COMMENTS, S.rules_cte("v1"), """
+@query("n04_latency_stats", _LATENCY_SQL)
+def n04(spark, sf):
+    return jobs.latency_stats(_stamped(read(spark, sf, "events")), "a", "b")
+
+
+@query("n04_latency_stats_stream", _LATENCY_SQL)
+def n04_stream(spark, sf):
+    stream = _event_stream(spark, sf)
+    found = runner.run_partials(jobs.latencies(_stamped(stream), "a", "b"), jobs.latency_partials, "latency", scratch_path(spark, "stream"), jobs.latency_merge)
+    # the percentiles' bins are read again from the files the stream has read
+    files = spark.read.parquet(_EVENT_FILES[spark.sparkContext.applicationId, sf])
+    return jobs.exact_latency_stats(found, jobs.latencies(_stamped(files), "a", "b"))
+
+
+@query("n04_latency_bins", """
+WITH l AS (SELECT CAST(floor(value * 10) AS BIGINT) AS ms FROM events),
+b AS (SELECT *, CAST(floor(log2(abs(ms) + 1) * 64) * sign(ms) AS INTEGER) AS bin FROM l)
+SELECT bin, count(*) AS n, CAST(sum(ms) AS BIGINT) AS total, min(ms) AS least, max(ms) AS most FROM b GROUP BY bin""")
+def n04_bins(spark, sf):
+    found = runner.run_partials(jobs.latencies(_stamped(_event_stream(spark, sf)), "a", "b"), jobs.latency_partials, "latency", scratch_path(spark, "stream"), jobs.latency_merge)
+    return jobs.latency_merge(found).drop("sketch")
+
+
+_THRESHOLD_SQL = S.chain(S.COMMENTS, S.rules_cte("v1"), """
 w AS (SELECT time_bucket(INTERVAL 10 SECOND, kafka_timestamp) AS window_start, count(*) FILTER (WHERE has_fraude) AS hits, count(*) AS comments FROM ruled GROUP BY 1)""",
-       final="SELECT window_start, window_start + INTERVAL 10 SECOND AS window_end, hits, comments FROM w WHERE hits >= 3"))
+                         final="SELECT window_start, window_start + INTERVAL 10 SECOND AS window_end, hits, comments FROM w WHERE hits >= 3")
+
+
+@query("n05_threshold_alerts", _THRESHOLD_SQL)
 def n05(spark, sf):
-    flagged = add_rules(comments(spark, sf), rules("v1"))
+    flagged = add_rules(comments(spark, sf), rules("v1"), columns=["has_fraude"])
     return jobs.threshold_alerts(flagged, F.col("has_fraude"), "10 seconds", 3)
+
+
+@query("n05_threshold_alerts_stream", _THRESHOLD_SQL)
+def n05_stream(spark, sf):
+    def hits(events):
+        return jobs.threshold_partials(add_rules(events, rules("v1"), columns=["has_fraude"]), F.col("has_fraude"), "10 seconds")
+
+    found = runner.run_partials(topic_stream(spark, sf, 1), hits, "threshold", scratch_path(spark, "stream"), jobs.threshold_merge)
+    return jobs.threshold_totals(found, 3)

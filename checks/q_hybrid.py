@@ -10,7 +10,6 @@ from checks.registry import query
 from murmullo.operators import hybrid as H
 from murmullo.operators.rules import add_rules
 from murmullo.plans.diagnostics import diagnostics
-from murmullo.session import materialize
 
 # Inputs as files may hold them: flags as words, a missing flag, scores and predictions as text.
 _LOOSE = """
@@ -85,15 +84,36 @@ _BUNDLE = {
 }
 
 
+_FLAG_PAIRS = ("has_terruqueo", "has_fraude", "has_polarization_signal", "has_discriminatory_language", "has_general_insult")
+_COUNTS = {
+    "total_rows": "true", "offensive_no_rules": "pred_binary_sparkml = 1 AND NOT has_any_local_rule",
+    "offensive_no_strong_rules": "pred_binary_sparkml = 1 AND NOT has_strong_local_rule", "high_confidence": "ml_offensive_high_confidence",
+}
+_LISTS = {
+    "confident_with_rules": ("pred_binary_sparkml = 1 AND confidence_binary_sparkml >= 0.8 AND has_strong_local_rule", "local_risk_score DESC, confidence_binary_sparkml DESC"),
+    "confident_without_rules": ("pred_binary_sparkml = 1 AND confidence_binary_sparkml >= 0.8 AND NOT has_any_local_rule", "confidence_binary_sparkml DESC"),
+    "unsure_without_rules": ("pred_binary_sparkml = 1 AND confidence_binary_sparkml < 0.6 AND NOT has_any_local_rule", "confidence_binary_sparkml"),
+    "not_offensive_high_score": ("pred_binary_sparkml = 0 AND local_risk_score >= 4", "local_risk_score DESC"),
+}
+
+
 @query("l07_diagnostics", S.chain(*S.scored("v1"), final=" UNION ALL ".join(
     [f"SELECT '{t}' AS part, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM scored GROUP BY {c}" for t, c in _BUNDLE.items()]
-    + ["SELECT 'prediction_by_score', pred_binary_sparkml_label || ' ' || local_risk_score, count(*) FROM scored GROUP BY ALL"])))
+    + ["SELECT 'prediction_by_score', pred_binary_sparkml_label || ' ' || local_risk_score, count(*) FROM scored GROUP BY ALL"]
+    + [f"SELECT 'prediction_by_flag', pred_binary_sparkml_label || ' {f} ' || CAST({f} AS VARCHAR), count(*) FROM scored GROUP BY ALL" for f in _FLAG_PAIRS]
+    + [f"SELECT 'counts', '{name}', count(*) FILTER (WHERE {where}) FROM scored" for name, where in _COUNTS.items()]
+    + [f"SELECT '{name}', event_id, place FROM (SELECT event_id, row_number() OVER (ORDER BY {order}, event_id) AS place FROM scored WHERE {where}) WHERE place <= 10"
+       for name, (where, order) in _LISTS.items()])))
 def l07(spark, sf):
-    # written once for its many tables, and left to no later query of the session
-    bundle = diagnostics(materialize(scored(spark, sf, "v1"), "scored"))
+    # all eleven tables of the report
+    bundle = diagnostics(scored(spark, sf, "v1"))
     parts = [bundle[t].select(F.lit(t).alias("part"), "value", "count") for t in _BUNDLE]
-    label = F.concat_ws(" ", "pred_binary_sparkml_label", F.col("local_risk_score").cast("string"))
+    label = F.concat(F.col("pred_binary_sparkml_label"), F.lit(" "), F.col("local_risk_score").cast("string"))
     parts.append(bundle["prediction_by_score"].select(F.lit("prediction_by_score").alias("part"), label.alias("value"), "count"))
+    label = F.concat(F.col("pred_binary_sparkml_label"), F.lit(" "), F.col("column"), F.lit(" "), F.col("value"))
+    parts.append(bundle["prediction_by_flag"].select(F.lit("prediction_by_flag").alias("part"), label.alias("value"), "count"))
+    parts.append(bundle["counts"].unpivot([], list(_COUNTS), "value", "count").select(F.lit("counts").alias("part"), "value", "count"))
+    parts += [bundle[name].select(F.lit(name).alias("part"), F.col("event_id").alias("value"), F.col("place").cast("long").alias("count")) for name in _LISTS]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

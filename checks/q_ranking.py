@@ -83,11 +83,8 @@ _SAMPLES = {
     f"(SELECT '{name}' AS sample, event_id, confidence_binary_sparkml, local_risk_score, hybrid_risk_reason FROM scored WHERE {where} ORDER BY {order}, event_id LIMIT 10)"
     for name, (where, order) in _SAMPLES.items())))
 def h02(spark, sf):
-    parts = None
-    for name, df in samples(scored(spark, sf, "v1"), "event_id").items():
-        part = df.select(F.lit(name).alias("sample"), "event_id", "confidence_binary_sparkml", "local_risk_score", "hybrid_risk_reason")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    found = samples(scored(spark, sf, "v1"), "event_id")
+    return found.select("sample", "event_id", "confidence_binary_sparkml", "local_risk_score", "hybrid_risk_reason")
 
 
 @query("h03_first_by_offset", S.chain(S.COMMENTS, final="""

@@ -56,7 +56,7 @@ SELECT lexicon.category, lexicon.term, count(doc_id) AS documents FROM lexicon L
 def d01(spark, sf):
     lexicon = lexicon_frame(spark, rules("v1").lexicon, "v1")
     docs = read(spark, sf, "documents")
-    hits = T.term_counts(T.join_lexicon(T.explode_words(docs, "doc_id", F.col("text"), 5), lexicon, "doc_id"))
+    hits = T.term_counts(T.match_lexicon(docs, "doc_id", F.col("text"), lexicon))
     joined = lexicon.drop("profile").distinct().join(hits, ["category", "term"], "left")
     return joined.select("category", "term", F.coalesce("messages", F.lit(0)).alias("documents"))
 
@@ -136,8 +136,7 @@ def d14(spark, sf):
 @query("e08_join_lexicon", S.chain(S.COMMENTS, _lexicon_values("v1"), _matched_sql("v1"), final="SELECT event_id, category, term FROM matched"))
 def e08(spark, sf):
     lexicon = lexicon_frame(spark, rules("v1").lexicon, "v1")
-    words = T.explode_words(comments(spark, sf), "event_id", F.col("message_raw"), 5)
-    return T.join_lexicon(words, lexicon, "event_id")
+    return T.match_lexicon(comments(spark, sf), "event_id", F.col("message_raw"), lexicon)
 
 
 @query("f16_top_terms", S.chain(_lexicon_values("l"), _DOCS, _matched_sql("l", "docs", "doc_id"), """

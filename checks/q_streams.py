@@ -31,7 +31,7 @@ def _topic(spark, sf) -> str:
     return _LANDED[key]
 
 
-def _stream(spark, sf, files_per_batch=None):
+def topic_stream(spark, sf, files_per_batch=None):
     path = _topic(spark, sf)
     return topics.parse_events(topics.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch).drop("part"))
 
@@ -50,7 +50,7 @@ _POSITION = "kafka_topic, kafka_partition, kafka_offset, kafka_timestamp"
 @query("j01_normalise", S.chain(S.COMMENTS, _NORMAL, final=f"""
 SELECT event_id, stream_text, {S.utf16_length('stream_text')} AS message_length, stream_text = '' AS is_empty_message, {_POSITION} FROM normal"""))
 def j01(spark, sf):
-    return _run(spark, jobs.normalise(_stream(spark, sf, 1)), "normalise")
+    return _run(spark, jobs.normalise(topic_stream(spark, sf, 1)), "normalise")
 
 
 _METRICS = f"""
@@ -70,13 +70,13 @@ def j02(spark, sf):
 @query("j02_window_metrics_stream", S.chain(S.COMMENTS, _NORMAL, _METRICS, final=f"SELECT {_WINDOW_OUT}, {_METRIC_COLUMNS} FROM metrics"))
 def j02_stream(spark, sf):
     root = scratch_path(spark, "stream")
-    return jobs.window_totals(runner.run_partials(_stream(spark, sf, 1), lambda e: jobs.window_partials(e, WINDOW), "window_metrics", root))
+    return jobs.window_totals(runner.run_partials(topic_stream(spark, sf, 1), lambda e: jobs.window_partials(e, WINDOW), "window_metrics", root, jobs.window_merge))
 
 
 @query("j03_signals", S.chain(S.COMMENTS, S.SIGNALS, final=f"""
 SELECT event_id, {', '.join(S.FLAGS)}, local_risk_score AS local_risk_score_stream, local_rule_tags, actor, {_POSITION} FROM signals"""))
 def j03(spark, sf):
-    return _run(spark, jobs.signals(_stream(spark, sf, 1), rules("s"), TEST_ACTORS), "signals")
+    return _run(spark, jobs.signals(topic_stream(spark, sf, 1), rules("s"), TEST_ACTORS), "signals")
 
 
 _ACTORS = """
@@ -96,13 +96,13 @@ def j04(spark, sf):
 @query("j04_actor_polarisation_stream", S.chain(S.COMMENTS, S.SIGNALS, _ACTORS, final=_ACTOR_OUT))
 def j04_stream(spark, sf):
     root = scratch_path(spark, "stream")
-    found = runner.run_partials(_stream(spark, sf, 1), lambda e: jobs.actor_partials(e, WINDOW, rules("s"), TEST_ACTORS), "actors", root)
+    found = runner.run_partials(topic_stream(spark, sf, 1), lambda e: jobs.actor_partials(e, WINDOW, rules("s"), TEST_ACTORS), "actors", root, jobs.actor_merge)
     return jobs.actor_totals(found)
 
 
 @query("j05_risk_alerts", S.chain(S.COMMENTS, S.SIGNALS, ALERTS_SQL, final="SELECT * FROM alerts"))
 def j05(spark, sf):
-    return _run(spark, jobs.risk_alerts(_stream(spark, sf), rules("s"), TEST_ACTORS), "alerts")
+    return _run(spark, jobs.risk_alerts(topic_stream(spark, sf), rules("s"), TEST_ACTORS), "alerts")
 
 
 _SPLIT_SQL = S.chain(S.COMMENTS, final="SELECT kafka_partition, count(*) AS rows, count(*) AS ids FROM comments GROUP BY 1")
@@ -130,8 +130,8 @@ def j06(spark, sf):
 def j07(spark, sf):
     root = scratch_path(spark, "stream")
     # stops at the first micro-batch that reaches the number of messages; the next run reads the rest
-    runner.run_available(jobs.normalise(_stream(spark, sf, 1)), "bounded", root, timeout=600, messages=1, idle=300)
-    runner.run_available(jobs.normalise(_stream(spark, sf, 1)), "bounded", root, timeout=600)
+    runner.run_available(jobs.normalise(topic_stream(spark, sf, 1)), "bounded", root, timeout=600, messages=1, idle=300)
+    runner.run_available(jobs.normalise(topic_stream(spark, sf, 1)), "bounded", root, timeout=600)
     return spark.read.parquet(f"{root}/bounded").groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -158,7 +158,7 @@ def _fan_counts(spark, root):
 @query("j08_fan_out", _FAN_SQL)
 def j08(spark, sf):
     root = scratch_path(spark, "fan")
-    for q in runner.fan_out(_stream(spark, sf), _fan_queries(), root).values():
+    for q in runner.fan_out(topic_stream(spark, sf), _fan_queries(), root).values():
         q.awaitTermination()
     return _fan_counts(spark, root)
 
@@ -166,7 +166,7 @@ def j08(spark, sf):
 @query("j08_fan_out_shared", _FAN_SQL)
 def j08_shared(spark, sf):
     root = scratch_path(spark, "fan")
-    runner.fan_out_shared(_stream(spark, sf, 2), _fan_queries(), root)
+    runner.fan_out_shared(topic_stream(spark, sf, 2), _fan_queries(), root)
     return _fan_counts(spark, root)
 
 
@@ -181,15 +181,89 @@ def j09(spark, sf):
 
 @query("a06_stream_topic", _SPLIT_SQL)
 def a06(spark, sf):
-    events = _stream(spark, sf, 1).select("kafka_partition", "event_id")
+    events = topic_stream(spark, sf, 1).select("kafka_partition", "event_id")
     return _run(spark, events, "topic").groupBy("kafka_partition").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("ids"))
 
 
 @query("a11_envelope_sink", S.chain(S.COMMENTS, S.SIGNALS, ALERTS_SQL, final="""
 SELECT alert_id, alert_type, 'risk_alert' AS event_type, CAST(kafka_offset AS BIGINT) AS source_offset FROM alerts"""))
 def a11(spark, sf):
-    out = jobs.envelope(jobs.risk_alerts(_stream(spark, sf), rules("s"), TEST_ACTORS), jobs.ALERTS)
+    out = jobs.envelope(jobs.risk_alerts(topic_stream(spark, sf), rules("s"), TEST_ACTORS), jobs.ALERTS)
     v = F.col("value")
     return _run(spark, out, "alert_topic").select(
         F.get_json_object(v, "$.payload.alert_id").alias("alert_id"), F.get_json_object(v, "$.payload.alert_type").alias("alert_type"),
         F.get_json_object(v, "$.event_type").alias("event_type"), F.get_json_object(v, "$.source_offset").cast("long").alias("source_offset"))
+
+
+# --- sessions by event time ---
+
+GAP, LATENESS = "10 seconds", "20 seconds"
+_SESSIONS = """
+placed AS (SELECT *, kafka_timestamp - lag(kafka_timestamp) OVER (PARTITION BY who ORDER BY kafka_timestamp) AS since FROM {source}),
+islands AS (SELECT *, sum(CASE WHEN since IS NULL OR since >= INTERVAL 10 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY kafka_timestamp ROWS UNBOUNDED PRECEDING) AS island FROM placed),
+sessions AS (SELECT who AS author, min(kafka_timestamp) AS session_start, max(kafka_timestamp) + INTERVAL 10 SECOND AS session_end, count(*) AS comments, avg(len) AS avg_message_length FROM islands GROUP BY who, island)"""
+_TIMED = f"timed AS (SELECT *, coalesce(author, '') AS who, {S.utf16_length('stream_text')} AS len, kafka_partition * 2 + kafka_offset % 2 AS batch FROM normal)"
+_SESSION_SQL = S.chain(S.COMMENTS, _NORMAL, _TIMED, _SESSIONS.format(source="timed"), final="SELECT * FROM sessions")
+
+
+@query("j10_sessions", _SESSION_SQL)
+def j10(spark, sf):
+    return jobs.author_sessions(comments(spark, sf), GAP)
+
+
+@query("j10_sessions_native", _SESSION_SQL)
+def j10_native(spark, sf):
+    return jobs.native_sessions(comments(spark, sf), GAP)
+
+
+@query("j10_sessions_stream", _SESSION_SQL)
+def j10_stream(spark, sf):
+    # topic partitions advance unevenly; nothing is late without a watermark
+    root = scratch_path(spark, "stream")
+    found = runner.run_partials(topic_stream(spark, sf, 1), lambda e: jobs.session_partials(e, GAP), "sessions", root, jobs.session_merge)
+    return jobs.session_totals(found, GAP)
+
+
+_RUNS: dict = {}
+
+
+def _event_time(spark, sf):
+    """Sessions with a watermark over six slices of the topic, one a micro-batch: each topic partition after the other, in two halves."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        topic, root = scratch_path(spark, "slices"), scratch_path(spark, "stream")
+        landed = spark.read.parquet(_topic(spark, sf)).drop("part")
+        for batch in range(6):  # one file after the other: the source goes by their age
+            landed.where((F.col("partition") * 2 + F.col("offset") % 2) == batch).coalesce(1).write.mode("append").parquet(topic)
+        events = topics.parse_events(topics.stream_table(spark, topic, landed.schema, 1))
+        _RUNS[key] = runner.run_event_time(events, lambda e: jobs.session_partials(e, GAP), "sessions", root, LATENESS, jobs.session_merge, jobs.EVENT_TIME, "last")
+    return _RUNS[key]
+
+
+_WATERMARKS = """
+tops AS (SELECT batch, max(kafka_timestamp) AS top FROM timed GROUP BY batch),
+marks AS (SELECT batch, (SELECT max(top) FROM tops t WHERE t.batch < tops.batch) - INTERVAL 20 SECOND AS mark FROM tops),
+marked AS (SELECT timed.*, coalesce(kafka_timestamp < mark, false) AS late FROM timed JOIN marks USING (batch)),
+taken AS (SELECT * FROM marked WHERE NOT late)"""
+
+
+@query("j10_sessions_event_time", S.chain(S.COMMENTS, _NORMAL, _TIMED, _WATERMARKS, _SESSIONS.format(source="taken"), final="""
+SELECT *, session_end <= (SELECT max(top) FROM tops) - INTERVAL 20 SECOND AS is_closed FROM sessions"""))
+def j10_event_time(spark, sf):
+    found, _, watermark = _event_time(spark, sf)
+    return jobs.session_totals(found, GAP, watermark)
+
+
+@query("j10_late_events", S.chain(S.COMMENTS, _NORMAL, _TIMED, _WATERMARKS, final=f"SELECT event_id, {_POSITION} FROM marked WHERE late"))
+def j10_late(spark, sf):
+    _, late, _ = _event_time(spark, sf)
+    return late.select("event_id", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp")
+
+
+@query("j10_balance", S.chain(S.COMMENTS, _NORMAL, _TIMED, _WATERMARKS, final="""
+SELECT count(*) FILTER (WHERE NOT late) AS taken, count(*) FILTER (WHERE late) AS late, count(*) AS events FROM marked"""))
+def j10_balance(spark, sf):
+    found, late, _ = _event_time(spark, sf)
+    taken = jobs.session_totals(found, GAP).select(F.col("comments").alias("taken"), F.lit(0).cast("long").alias("late"))
+    return taken.union(late.select(F.lit(0).cast("long"), F.lit(1).cast("long"))).agg(
+        F.sum("taken").alias("taken"), F.sum("late").alias("late"), F.sum(F.col("taken") + F.col("late")).alias("events"))

@@ -129,12 +129,48 @@ def is_empty(col: Column) -> Column:
     return F.length(text_or_empty(col)) == 0
 
 
+# Up to so many substrings, a search for each is faster than one pattern for all.
+FEW_SUBSTRINGS = 24
+
+
+def any_pattern(terms) -> str:
+    """One pattern that finds any of the terms: their common beginnings are followed once, as in a tree of characters."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for char in term:
+            if "" in node:
+                break  # a shorter term ends here
+            node = node.setdefault(char, {})
+        else:
+            node.clear()
+            node[""] = {}
+
+    def written(node: dict) -> str:
+        if "" in node:
+            return ""
+        leaves = [c for c, below in node.items() if "" in below]
+        branches = [_escaped(c) + written(below) for c, below in sorted(node.items()) if "" not in below]
+        if leaves:
+            ends = "".join(map(_escaped, sorted(leaves)))
+            branches.insert(0, f"[{ends}]" if len(leaves) > 1 else ends)
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return written(tree)
+
+
+def _escaped(char: str) -> str:
+    return char if char.isalnum() or char in " _" else "\\" + char
+
+
 def contains_any(col: Column, terms) -> Column:
     """Whether the normalised text has any term as a substring.
 
     Terms are normalised as the text is, so blanks around a term are lost.
     """
-    needles = dict.fromkeys(" ".join(term.lower().split()) for term in terms)
+    needles = list(dict.fromkeys(" ".join(term.lower().split()) for term in terms))
+    if len(needles) > FEW_SUBSTRINGS:
+        return col.rlike(any_pattern(needles))
     found = F.lit(False)
     for needle in needles:
         found = found | F.contains(col, F.lit(needle))

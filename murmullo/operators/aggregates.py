@@ -9,9 +9,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from murmullo.functions.scalars import CONFIDENCE_EDGES, minute_or_fallback, clock_seconds, pct
 from murmullo.operators.rules import FLAG_COLUMNS
 
+# The keys here, and the column names given by ``alias`` in the minute tables and summaries of this module.
 GROUP_KEYS = ("source_file", "video_id", "minute")
 
 
+def _rows(weight: str | None) -> Column:
+    """Number of rows, where each row stands for ``weight`` rows."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def _rows_if(condition: Column, weight: str | None) -> Column:
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long"))
+
+
 def _flags_wide(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f)).alias(f) for f in FLAG_COLUMNS])
 
@@ -93,9 +103,17 @@ def minute_aggregates_local(df: DataFrame, binary_label: str = "pred_binary_spar
     )
 
 
-def distribution(df: DataFrame, col: str, order: str | None = None) -> DataFrame:
+def combined_counts(df: DataFrame, columns: Sequence[str], weight: str = "n") -> DataFrame:
+    """Rows of every combination of columns of few values: one pass, from which any of their count tables follows.
+
+    The functions below that take a ``weight`` count such combinations as the rows they stand for.
+    """
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(weight))
+
+
+def distribution(df: DataFrame, col: str, order: str | None = None, weight: str | None = None) -> DataFrame:
     """(value, count, percentage) of a column; order 'count' (descending) or 'label' on request."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.groupBy(F.col(col).alias("value")).agg(_rows(weight).alias("count"))
     total = counts.agg(F.sum("count").alias("n")).scalar()
     result = counts.select("value", "count", pct(F.col("count"), total).alias("percentage"))
     if order == "label":
@@ -103,29 +121,29 @@ def distribution(df: DataFrame, col: str, order: str | None = None) -> DataFrame
     return result.orderBy(F.desc("count"), "value") if order == "count" else result
 
 
-def cross_counts(df: DataFrame, first: str, second: str) -> DataFrame:
-    return df.groupBy(first, second).agg(F.count(F.lit(1)).alias("count"))
+def cross_counts(df: DataFrame, first: str, second: str, weight: str | None = None) -> DataFrame:
+    return df.groupBy(first, second).agg(_rows(weight).alias("count"))
 
 
-def cross_counts_many(df: DataFrame, first: str, others: Sequence[str]) -> DataFrame:
+def cross_counts_many(df: DataFrame, first: str, others: Sequence[str], weight: str | None = None) -> DataFrame:
     """(first, column, value, count) for several two-way tables in one pass.
 
     The combination of all columns is counted first; only those few rows are unfolded.
     """
-    combined = df.groupBy(first, *others).agg(F.count(F.lit(1)).alias("_n"))
+    combined = df.groupBy(first, *others).agg(_rows(weight).alias("_n"))
     text = combined.select(first, "_n", *[F.col(c).cast("string").alias(c) for c in others])
     long = text.unpivot([first, "_n"], list(others), "column", "value")
     return long.groupBy(first, "column", "value").agg(F.sum("_n").alias("count"))
 
 
-def hybrid_counts(scored: DataFrame) -> DataFrame:
+def hybrid_counts(scored: DataFrame, weight: str | None = None) -> DataFrame:
     """Offensive rows without any / any strong rule, and high-confidence rows, in one pass."""
     offensive = F.col("pred_binary_sparkml") == 1
     return scored.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(offensive & ~F.col("has_any_local_rule")).alias("offensive_no_rules"),
-        F.count_if(offensive & ~F.col("has_strong_local_rule")).alias("offensive_no_strong_rules"),
-        F.count_if(F.col("ml_offensive_high_confidence")).alias("high_confidence"),
+        F.coalesce(_rows(weight), F.lit(0).cast("long")).alias("total_rows"),
+        _rows_if(offensive & ~F.col("has_any_local_rule"), weight).alias("offensive_no_rules"),
+        _rows_if(offensive & ~F.col("has_strong_local_rule"), weight).alias("offensive_no_strong_rules"),
+        _rows_if(F.col("ml_offensive_high_confidence"), weight).alias("high_confidence"),
     )
 
 
@@ -148,9 +166,26 @@ def compare_flag_runs(current: DataFrame, base: DataFrame, tolerance: float = 2.
     """
     now = flag_summary(current).select("flag", F.col("percentage").alias("current_pct"))
     then = flag_summary(base).select("flag", F.col("percentage").alias("base_pct"))
+    return _compared(now.join(then, "flag"), tolerance, unusual_above)
+
+
+def compare_flags_with_part(rules: DataFrame, is_base: Column, tolerance: float = 2.0, unusual_above: float = 40.0) -> DataFrame:
+    """As ``compare_flag_runs`` of a table with a part of itself, from one pass over the table."""
+    base = F.coalesce(is_base, F.lit(False))
+    named = rules.select(base.alias("_base"), *FLAG_COLUMNS)
+    wide = named.agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if("_base").alias("_base_rows"),
+        F.map_from_arrays(F.array(*[F.lit(f) for f in FLAG_COLUMNS]), F.array(*[
+            F.struct(F.count_if(F.col(f)).alias("now"), F.count_if(F.col(f) & F.col("_base")).alias("then")) for f in FLAG_COLUMNS])).alias("_counts"))
+    long = wide.select("_rows", "_base_rows", F.explode("_counts").alias("flag", "c"))
+    sides = long.select("flag", pct(F.col("c.now"), F.col("_rows"), 4).alias("current_pct"), pct(F.col("c.then"), F.col("_base_rows"), 4).alias("base_pct"))
+    return _compared(sides, tolerance, unusual_above)
+
+
+def _compared(sides: DataFrame, tolerance: float, unusual_above: float) -> DataFrame:
     diff = F.round(F.col("current_pct") - F.col("base_pct"), 4)
     trend = F.when(F.abs(diff) <= tolerance, "estable").when(diff > 0, "sube").otherwise("baja")
-    return now.join(then, "flag").select(
+    return sides.select(
         "flag", "current_pct", "base_pct", diff.alias("delta_pp"), trend.alias("trend"),
         ((F.col("current_pct") > unusual_above) & (F.col("flag") != "has_political_mention")).alias("unusual"),
     )

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from murmullo.operators.joins import id_overlap
-
 # Ledger states and retry bound.
 ACTIVE_STATES = ("launching", "queued", "running")
 MAX_ATTEMPTS = 3
@@ -187,15 +185,22 @@ def range_stats(batch: DataFrame) -> DataFrame:
     return batch.agg(F.count(F.lit(1)).alias("rows"), F.min(number).alias("min_row"), F.max(number).alias("max_row"))
 
 
-def validate_disjoint(first: DataFrame, second: DataFrame, expected: int = 0) -> DataFrame:
-    """One-row verdict: no shared id, first range before second, and the expected counts."""
-    a, b = range_stats(first), range_stats(second)
-    overlap = id_overlap(first, second).select("overlap").scalar()
-    facts = a.select(
-        F.col("rows").alias("a_rows"), F.col("min_row").alias("a_min"), F.col("max_row").alias("a_max"),
-        b.select("rows").scalar().alias("b_rows"), b.select("min_row").scalar().alias("b_min"),
-        b.select("max_row").scalar().alias("b_max"), overlap.alias("overlap"),
-    )
+def validate_disjoint(first: DataFrame, second: DataFrame, expected: int = 0, key: str = "event_id") -> DataFrame:
+    """One-row verdict: no shared id, first range before second, and the expected counts.
+
+    ``overlap`` is the number of matching pairs of non-null ids. Each batch is read once: both, tagged, are counted per id and then added up.
+    """
+    number = F.col("row_number").try_cast("long").alias("_number")
+    tagged = first.select(F.lit(True).alias("_a"), F.col(key).alias("_id"), number).union(second.select(F.lit(False), F.col(key), number))
+    a, b = F.col("_a"), ~F.col("_a")
+    per_id = tagged.groupBy("_id").agg(
+        F.count_if(a).alias("a_rows"), F.count_if(b).alias("b_rows"), F.min(F.when(a, F.col("_number"))).alias("a_min"), F.max(F.when(a, F.col("_number"))).alias("a_max"),
+        F.min(F.when(b, F.col("_number"))).alias("b_min"), F.max(F.when(b, F.col("_number"))).alias("b_max"))
+    pairs = F.when(F.col("_id").isNotNull(), F.col("a_rows") * F.col("b_rows"))
+    facts = per_id.agg(
+        F.coalesce(F.sum("a_rows"), F.lit(0)).alias("a_rows"), F.min("a_min").alias("a_min"), F.max("a_max").alias("a_max"),
+        F.coalesce(F.sum("b_rows"), F.lit(0)).alias("b_rows"), F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"),
+        F.coalesce(F.sum(pairs), F.lit(0)).alias("overlap"))
     valid = (F.col("overlap") == 0) & (F.col("a_max") < F.col("b_min"))
     if expected:
         valid = valid & (F.col("a_rows") == expected) & (F.col("b_rows") == expected)

@@ -58,12 +58,30 @@ def search(df: DataFrame, query: str, columns: Sequence[str | Column]) -> DataFr
     return df.where(matches_query(query, columns))
 
 
-def unified_feed(stream: DataFrame, alerts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Stream events, alerts and batch status in one frame; columns a side lacks are null."""
+# Source names and event types of the feed's three kinds of rows.
+STREAM_ROW = ("stream", "political_signals")
+ALERT_ROW = ("alert", "risk_alert")
+BATCH_ROW = ("spark", "spark_batch_output")
+
+
+def signal_feed(signals: DataFrame, is_alert: Column) -> DataFrame:
+    """Feed rows of signals, each comment once and once more if it is an alert: one pass over the rules."""
+    rows = F.array_compact(F.array(
+        F.struct(F.lit(STREAM_ROW[0]).alias("source"), F.lit(STREAM_ROW[1]).alias("event_type")),
+        F.when(is_alert, F.struct(F.lit(ALERT_ROW[0]).alias("source"), F.lit(ALERT_ROW[1]).alias("event_type")))))
+    return signals.select(
+        F.inline(rows), F.col("message_text").alias("text"), "event_id",
+        F.col("kafka_partition").alias("source_partition"), F.col("kafka_offset").cast("long").alias("source_offset"))
+
+
+def unified_feed(events: DataFrame, ledger: DataFrame, output_root: str | None = None) -> DataFrame:
+    """Events and batch status in one frame; columns a side lacks are null.
+
+    A batch row carries the end of its range as offset, partition 0 and, with ``output_root``, the folder of its rows.
+    """
+    folder = F.lit(None).cast("string") if output_root is None else F.concat(F.lit(f"{output_root}/batch_id="), "batch_id")
     status = ledger.select(
-        F.lit("spark").alias("source"),
-        F.lit("spark_batch_output").alias("event_type"),
-        F.col("batch_id").alias("job_name"),
+        F.lit(BATCH_ROW[0]).alias("source"), F.lit(BATCH_ROW[1]).alias("event_type"), F.col("batch_id").alias("job_name"),
         F.concat_ws(" ", F.concat("status", F.lit(":")), F.col("rows").cast("string"), F.lit("filas escritas")).alias("text"),
-    )
-    return stream.unionByName(alerts, allowMissingColumns=True).unionByName(status, allowMissingColumns=True)
+        F.lit(0).alias("source_partition"), F.col("range_end").cast("long").alias("source_offset"), folder.alias("output_path"))
+    return events.unionByName(status, allowMissingColumns=True)

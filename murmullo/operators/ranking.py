@@ -42,6 +42,20 @@ def sample_where(df: DataFrame, condition: Column, order: Sequence[Column], key:
     return df.where(condition).orderBy(*order, key).limit(n)
 
 
+def samples_where(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[Column]]], key: str, n: int = 10) -> DataFrame:
+    """First n rows of each of several conditions, each by its own numbers (ascending), in one pass: columns ``sample`` and ``place`` are added.
+
+    Every condition names equally many numbers, so that rows of all samples compare alike.
+    """
+    met = F.array_compact(F.array(*[
+        F.when(condition, F.struct(F.lit(name).alias("sample"), *[o.cast("double").alias(f"_o{i}") for i, o in enumerate(order)]))
+        for name, (condition, order) in wanted.items()]))
+    numbers = [f"_o{i}" for i in range(len(next(iter(wanted.values()))[1]))]
+    rows = df.select("*", F.inline(met))
+    place = F.row_number().over(Window.partitionBy("sample").orderBy(*numbers, key))
+    return rows.withColumn("place", place).where(F.col("place") <= n).drop(*numbers)
+
+
 def first_by_offset(raw: DataFrame, n: int = 5) -> DataFrame:
     return raw.orderBy("kafka_partition", "kafka_offset").limit(n)
 

@@ -1,8 +1,9 @@
 """The multi-label rule engine: flags, risk score, tags, matched terms and alerts.
 
-Whole terms are found by intersecting the message's words with the lexicon once (a hash probe per
-word); the category flags are then tests on that small hit list. No regex alternation runs over
-the text, so the cost does not grow with the number of terms.
+Whole terms are found by one pass over a message's words, a hash probe for each; where a word starts
+phrases of the lexicon, the word sequences of their lengths are probed too. The category flags are tests on that small
+hit list. Long lists of substrings are one pattern that follows their common beginnings. So the cost
+does not grow with the number of terms.
 """
 
 from __future__ import annotations
@@ -78,13 +79,41 @@ def _without_nulls(array: Column) -> Column:
     return F.array_except(array, F.array(F.lit(None).cast("string")))
 
 
-def _found_phrases(padded: Column, phrases: Iterable[str]) -> Column:
-    # the outer one-element transform computes the text once for all phrases
-    per_text = F.transform(
-        F.array(padded),
-        lambda t: F.filter(_strings(phrases), lambda p: F.contains(t, F.concat(F.lit(" "), p, F.lit(" ")))),
-    )
-    return F.get(per_text, F.lit(0))
+# Up to so many words, intersecting arrays is faster than a probe of a constant hash set for each word; beyond, it builds
+# a larger set for every message.
+FEW = 256
+
+
+def _among(value: Column, terms: list[str]) -> Column:
+    """A probe of a constant hash set."""
+    return value.isin(terms) if terms else F.lit(False)
+
+
+def _common(array: Column, terms: list[str]) -> Column:
+    """Distinct elements of an array that are in a list of terms."""
+    if len(terms) <= FEW:
+        return F.array_intersect(array, _strings(terms))
+    return F.array_distinct(F.filter(array, lambda x: _among(x, terms)))
+
+
+def _overlaps(array: Column, terms: list[str]) -> Column:
+    """Whether a short array has an element in a list of terms."""
+    if not terms:
+        return F.lit(False)
+    return F.arrays_overlap(array, _strings(terms)) if len(terms) <= FEW else F.exists(array, lambda x: _among(x, terms))
+
+
+def _found_phrases(tokens: Column, phrases: list[str], heads: list[str]) -> Column:
+    """Distinct phrases among the words: only places of a first word are looked at, once for each length of a phrase."""
+    lengths = sorted({p.count(" ") + 1 for p in phrases})
+
+    def search(words: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _among(F.get(words, i), heads))
+        runs = F.flatten(F.transform(places, lambda i: F.array(*[F.array_join(F.slice(words, i + 1, F.lit(n)), " ") for n in lengths])))
+        return F.array_distinct(F.filter(runs, lambda run: _among(run, phrases)))
+
+    # the outer one-element transform makes the words once for all places
+    return F.get(F.transform(F.array(tokens), search), F.lit(0))
 
 
 def find_terms(normalized: Column, terms: Iterable[str]) -> Column:
@@ -94,14 +123,17 @@ def find_terms(normalized: Column, terms: Iterable[str]) -> Column:
     phrases = [t for t in terms if " " in t and ":" not in t]
     marked = [t for t in terms if ":" in t]
     # ':' bounds a word but does not join the words of a phrase: it becomes a word of its own
-    spaced = F.replace(normalized, F.lit(":"), F.lit(" : "))
-    tokens = F.split(spaced, " ")
-    hits = F.array_intersect(tokens, _strings(words))
-    if phrases:
-        padded = F.concat(F.lit(" "), spaced, F.lit(" "))
-        heads = _strings(sorted({p.split(" ")[0] for p in phrases}))
-        found = _found_phrases(padded, phrases)
-        hits = F.when(F.arrays_overlap(tokens, heads), F.concat(hits, found)).otherwise(hits)
+    tokens = F.split(F.replace(normalized, F.lit(":"), F.lit(" : ")), " ")
+    heads = sorted({p.split(" ")[0] for p in phrases})
+    if phrases and len(words) + len(heads) > FEW:
+        # one pass for words and first words together
+        found = F.array_distinct(F.filter(tokens, lambda x: _among(x, list(dict.fromkeys(words + heads)))))
+        hits = F.get(F.transform(F.array(found), lambda t: F.when(
+            F.exists(t, lambda x: _among(x, heads)), F.concat(_common(t, words), _found_phrases(tokens, phrases, heads))).otherwise(_common(t, words))), F.lit(0))
+    else:
+        hits = _common(tokens, words)
+        if phrases:
+            hits = F.when(_overlaps(tokens, heads), F.concat(hits, _found_phrases(tokens, phrases, heads))).otherwise(hits)
     if marked:
         found = [F.when(normalized.rlike(rf"(?<!\w){term}(?!\w)"), F.lit(term)) for term in marked]
         hits = F.concat(hits, _without_nulls(F.array(*found)))
@@ -149,7 +181,7 @@ def _category_matches(df: DataFrame, rules: RuleProfile, categories: Iterable[st
     df = df.withColumn("_hits", find_terms(F.col("text_norm"), every_term))
     return df.withColumns(
         {
-            f"_{c}": F.arrays_overlap("_hits", _strings(terms)) if terms else F.lit(False)
+            f"_{c}": _overlaps(F.col("_hits"), list(terms))
             for c, terms in folded.items()
         }
     )
@@ -278,7 +310,7 @@ def matched_terms(df: DataFrame, rules: str | RuleProfile = "l", key: str = "eve
     hits = compute_once(normal.select(key, find_terms(F.col("_norm"), every_term).alias("_hits")), ["_hits"])
     per_category = F.array(
         *[
-            F.struct(F.lit(c).alias("category"), F.array_intersect("_hits", _strings(terms)).alias("terms"))
+            F.struct(F.lit(c).alias("category"), _common(F.col("_hits"), list(terms)).alias("terms"))
             for c, terms in folded.items()
         ]
     )

@@ -7,6 +7,8 @@ has come so far. A topic read with uneven partitions therefore gives the same wi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from murmullo.functions import text
@@ -57,10 +59,14 @@ def window_partials(events: DataFrame, duration: str = WINDOW) -> DataFrame:
     )
 
 
+def window_merge(partials: DataFrame) -> DataFrame:
+    """Partial counts of several micro-batches added up."""
+    return partials.groupBy("window", "author").agg(*[F.sum(c).alias(c) for c in ("comments", "chars", "empty", "noise")])
+
+
 def window_totals(partials: DataFrame) -> DataFrame:
     """Comments, exact number of authors, mean length, empty and noise-like comments per window."""
-    per_author = partials.groupBy("window", "author").agg(*[F.sum(c).alias(c) for c in ("comments", "chars", "empty", "noise")])
-    per_window = per_author.groupBy("window").agg(
+    per_window = window_merge(partials).groupBy("window").agg(
         F.sum("comments").alias("comment_count"),
         F.count_if(F.col("author") != "").alias("unique_authors"),
         F.sum("chars").alias("_chars"),
@@ -105,9 +111,14 @@ def actor_partials(events: DataFrame, duration: str = WINDOW, rules: str | RuleP
     return flagged.groupBy(F.window(EVENT_TIME, duration), "actor").agg(*counts)
 
 
+def actor_merge(partials: DataFrame) -> DataFrame:
+    """Partial counts of several micro-batches added up."""
+    return partials.groupBy("window", "actor").agg(*[F.sum(c).alias(c) for c in ACTOR_COUNTS])
+
+
 def actor_totals(partials: DataFrame) -> DataFrame:
     """Partial counts added up, with the polarisation score."""
-    grouped = partials.groupBy("window", "actor").agg(*[F.sum(c).alias(c) for c in ACTOR_COUNTS])
+    grouped = actor_merge(partials)
     hostile = F.col("insult_count") + F.col("fraud_count") + F.col("terruqueo_count") + F.col("discriminatory_count")
     return grouped.select(
         "actor", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
@@ -143,55 +154,177 @@ def envelope(results: DataFrame, job: tuple[str, str, str], with_time: bool = Tr
     return results.select(F.to_json(frame).alias("value"))
 
 
+# --- sessions -------------------------------------------------------------------------------------
+
+
+def native_sessions(events: DataFrame, gap: str, lateness: str | None = None, time: str = EVENT_TIME) -> DataFrame:
+    """Sessions per author by Spark's session windows, for batches and for streams.
+
+    As a stream it holds state until the watermark has passed a session, and Spark drops what comes later than ``lateness``
+    without a trace; ``runner.run_event_time`` over the halves below keeps late events.
+    """
+    timed = events if lateness is None else events.withWatermark(time, lateness)
+    length = text.message_length(_stream_text(), "utf16")
+    shaped = timed.select(time, F.coalesce("author", F.lit("")).alias("author"), length.alias("_len"))
+    return shaped.groupBy("author", F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("comments"), F.avg("_len").alias("avg_message_length")).select(
+        "author", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "comments", "avg_message_length")
+
+
+def _micros(gap: str) -> Column:
+    return F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {gap})")
+
+
+def session_partials(events: DataFrame, gap: str, time: str = EVENT_TIME) -> DataFrame:
+    """Events per author and slot of time as wide as the gap: first, last, comments, chars.
+
+    Events of one slot are closer than the gap, so they belong to one session whatever else comes, and a busy author
+    is down to one row a slot before any shuffle.
+    """
+    shaped = events.where(F.col(time).isNotNull()).select(
+        F.coalesce("author", F.lit("")).alias("author"), F.floor(F.unix_micros(time) / _micros(gap)).alias("slot"), F.col(time).alias("_at"),
+        text.message_length(_stream_text(), "utf16").alias("_len"))
+    return shaped.groupBy("author", "slot").agg(
+        F.min("_at").alias("first"), F.max("_at").alias("last"), F.count(F.lit(1)).alias("comments"), F.sum("_len").alias("chars"))
+
+
+def session_merge(partials: DataFrame) -> DataFrame:
+    """Partial rows of several micro-batches added up."""
+    return partials.groupBy("author", "slot").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("comments").alias("comments"), F.sum("chars").alias("chars"))
+
+
+def session_totals(partials: DataFrame, gap: str, watermark: Column | None = None) -> DataFrame:
+    """Sessions of every author: slots run together while the next event comes before the gap is over.
+
+    A session ends a gap after its last event. With a watermark, ``is_closed`` tells the sessions no later event can reach.
+    """
+    order = Window.partitionBy("author").orderBy("slot")
+    before = F.unix_micros(F.lag("last").over(order))
+    slots = session_merge(partials).withColumn("_opens", F.coalesce((F.unix_micros("first") - before >= _micros(gap)).cast("int"), F.lit(1)))
+    slots = slots.withColumn("_session", F.sum("_opens").over(order))
+    end = F.col("_last") + F.expr(f"INTERVAL {gap}")
+    sessions = slots.groupBy("author", "_session").agg(
+        F.min("first").alias("session_start"), F.max("last").alias("_last"), F.sum("comments").alias("comments"), F.sum("chars").alias("_chars"))
+    closed = [] if watermark is None else [(end <= watermark).alias("is_closed")]
+    return sessions.select("author", "session_start", end.alias("session_end"), "comments", (F.col("_chars") / F.col("comments")).alias("avg_message_length"), *closed)
+
+
+def author_sessions(events: DataFrame, gap: str, time: str = EVENT_TIME) -> DataFrame:
+    """Sessions per author of a batch. A stream runs the halves: see ``runner.run_partials`` and ``runner.run_event_time``."""
+    return session_totals(session_partials(events, gap, time), gap)
+
+
 # --- operational measures -------------------------------------------------------------------------
 
 
-def _timed(events: DataFrame, time: str, lateness: str | None) -> DataFrame:
-    return events if lateness is None else events.withWatermark(time, lateness)
+def throughput_partials(events: DataFrame, seconds: int, time: str = EVENT_TIME) -> DataFrame:
+    """Messages per window of the given events."""
+    return events.groupBy(F.window(time, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("message_count"))
+
 
+def throughput_merge(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("window").agg(F.sum("message_count").alias("message_count"))
 
-def throughput(events: DataFrame, seconds: int, lateness: str | None = None, time: str = EVENT_TIME) -> DataFrame:
-    """Messages and messages per second of each window. A stream must say how late events may come; later ones are lost to it."""
-    counted = _timed(events, time, lateness).groupBy(F.window(time, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("message_count"))
-    return counted.select(
+
+def throughput_totals(partials: DataFrame, seconds: int) -> DataFrame:
+    return throughput_merge(partials).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "message_count",
         (F.col("message_count") / seconds).alias("throughput_msg_per_sec"),
     )
 
 
-def latency_stats(events: DataFrame, ingested: str, processed: str) -> DataFrame:
-    """Average, median, 95th percentile and maximum of processed minus ingested, in milliseconds.
+def throughput(events: DataFrame, seconds: int, time: str = EVENT_TIME) -> DataFrame:
+    """Messages and messages per second of each window of a batch. A stream runs the halves and loses no late event."""
+    return throughput_totals(throughput_partials(events, seconds, time), seconds)
+
+
+BINS_PER_DOUBLING = 64  # neighbouring bins of latencies differ by 1.1 %
+RANK_ERROR = 0.0133  # of a bin's latencies: the sketch's normalised error at its default size, with 99 % confidence
+
+
+def latencies(events: DataFrame, ingested: str, processed: str) -> DataFrame:
+    """Processed minus ingested in milliseconds, with its bin (logarithmic, some thousand at most); rows without both times are left out."""
+    ms = F.unix_millis(processed) - F.unix_millis(ingested)
+    rows = events.select(ms.alias("ms")).where("ms is not null")
+    return rows.withColumn("bin", (F.floor(F.log2(F.abs("ms") + 1) * BINS_PER_DOUBLING) * F.signum(F.col("ms").cast("double"))).cast("int"))
+
 
-    The percentiles are exact and no task gathers all latencies: counts per latency are range-partitioned
-    and summed per range, the range that holds a rank is found in that small table, and only its own
-    distinct latencies are ranked.
+def latency_partials(rows: DataFrame) -> DataFrame:
+    """Latencies (ms, bin) per bin: number, sum, least, most, and a mergeable quantile sketch."""
+    return rows.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total"), F.min("ms").alias("least"), F.max("ms").alias("most"), F.kll_sketch_agg_bigint("ms").alias("sketch"))
+
+
+def latency_merge(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("bin").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def latency_totals(partials: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """From partial rows alone, one row for each quantile: latency_ms, and least_ms and most_ms of its bin, which hold the true one.
+
+    The bin is exact. Inside it the sketch errs by at most ``RANK_ERROR`` of the bin's latencies.
     """
-    counts = events.select((F.unix_millis(processed) - F.unix_millis(ingested)).alias("ms")).where("ms is not null").groupBy("ms").agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.withColumn("bin", F.floor(F.log2(F.abs("ms") + 1) * 64) * F.signum(F.col("ms").cast("double")))
-    bins = ranged.groupBy("bin").agg(F.sum("n").alias("in_bin"))
-    order = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(order), F.lit(0)))  # some thousand bins at most
-    whole = counts.agg(F.sum("n").alias("total"), (F.sum(F.col("ms") * F.col("n")) / F.sum("n")).alias("average"), F.max("ms").alias("most"))
-    inside = Window.partitionBy("bin").orderBy("ms")
-    ranked = ranged.join(bins, "bin").withColumn("upto", F.col("before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    total = whole.select("total").scalar()
+    merged = latency_merge(partials)
+    order = Window.orderBy("bin")  # some thousand rows at most
+    ranked = merged.withColumns({"_upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(Window.partitionBy())})
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile")
+    at = ranked.select("*", wanted).withColumn("_rank", F.greatest(F.ceil(F.col("quantile") * F.col("_all")), F.lit(1)))
+    at = at.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("n")))
+    inside = (F.col("_rank") - (F.col("_upto") - F.col("n"))) / F.col("n")
+    return at.select("quantile", F.kll_sketch_get_quantile_bigint("sketch", inside.cast("double")).alias("latency_ms"), F.col("least").alias("least_ms"), F.col("most").alias("most_ms"))
+
+
+def exact_latency_stats(partials: DataFrame, rows: DataFrame) -> DataFrame:
+    """Average, median, 95th percentile and maximum, all exact: partial rows say which bins hold the wanted
+    ranks, and only the latencies of those (at most four) bins are read again from ``rows``."""
+    bins = latency_merge(partials).select("bin", "n", "total", "most").orderBy("bin").collect()  # some thousand at most
+    total = sum(b.n for b in bins)
+    starts, before = {}, 0
+    for b in bins:
+        starts[b.bin], before = before, before + b.n
+    places = {q: (total - 1) * q for q in (0.5, 0.95)}
+    ranks = sorted({rank(p) for p in places.values() for rank in (math.floor, math.ceil)}) if total else []
+    wanted = sorted({b.bin for b in bins for r in ranks if starts[b.bin] <= r < starts[b.bin] + b.n})
+    start = F.create_map(*[x for b in wanted for x in (F.lit(b), F.lit(starts[b]))])[F.col("bin")] if wanted else F.lit(0)
+    inside = Window.partitionBy("bin").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.where(F.col("bin").isin(wanted)).groupBy("bin", "ms").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("upto", start + F.sum("n").over(inside))
 
     def at(q: float) -> Column:
         """Value at a rank between two neighbours, as an exact percentile interpolates."""
-        place = (total - 1) * q
-        low, high = (F.min(F.when(F.col("upto") > f(place), F.col("ms"))) for f in (F.floor, F.ceil))
-        return low + (high - low) * (place - F.floor(place))
+        low, high = (F.min(F.when(F.col("upto") > rank(places[q]), F.col("ms"))) for rank in (math.floor, math.ceil))
+        return low + (high - low) * F.lit(places[q] - math.floor(places[q]))
 
-    return ranked.agg(at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms")).select(
-        whole.select("average").scalar().alias("avg_latency_ms"), "p50_latency_ms", "p95_latency_ms", whole.select("most").scalar().alias("max_latency_ms"))
+    average = sum(b.total for b in bins) / total if total else None
+    return ranked.agg(
+        F.lit(average).cast("double").alias("avg_latency_ms"), at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"),
+        F.lit(max((b.most for b in bins), default=None)).cast("long").alias("max_latency_ms"))
 
 
-def threshold_alerts(flagged: DataFrame, condition: Column, duration: str, at_least: int,
-                     lateness: str | None = None, time: str = EVENT_TIME) -> DataFrame:
-    """Windows in which a condition held for at least so many comments. Lateness as in ``throughput``."""
-    counted = _timed(flagged, time, lateness).groupBy(F.window(time, duration)).agg(
-        F.count_if(condition).alias("hits"), F.count(F.lit(1)).alias("comments")
-    )
-    return counted.where(F.col("hits") >= at_least).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "hits", "comments"
-    )
+def latency_stats(events: DataFrame, ingested: str, processed: str) -> DataFrame:
+    """Average, median, 95th percentile and maximum of processed minus ingested in milliseconds, exact, in two reads of a batch.
+
+    A stream keeps ``latency_partials`` and reads one bin again only if it wants exact percentiles.
+    """
+    rows = latencies(events, ingested, processed)
+    return exact_latency_stats(latency_partials(rows), rows)
+
+
+def threshold_partials(flagged: DataFrame, condition: Column, duration: str, time: str = EVENT_TIME) -> DataFrame:
+    """Hits of a condition and comments per window of the given events."""
+    return flagged.groupBy(F.window(time, duration)).agg(F.count_if(condition).alias("hits"), F.count(F.lit(1)).alias("comments"))
+
+
+def threshold_merge(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("window").agg(F.sum("hits").alias("hits"), F.sum("comments").alias("comments"))
+
+
+def threshold_totals(partials: DataFrame, at_least: int) -> DataFrame:
+    return threshold_merge(partials).where(F.col("hits") >= at_least).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "hits", "comments")
+
+
+def threshold_alerts(flagged: DataFrame, condition: Column, duration: str, at_least: int, time: str = EVENT_TIME) -> DataFrame:
+    """Windows of a batch in which a condition held for at least so many comments. A stream runs the halves and loses no late event."""
+    return threshold_totals(threshold_partials(flagged, condition, duration, time), at_least)

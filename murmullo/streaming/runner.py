@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from murmullo.streaming.partials import PartialTable
+
 POLL_SECONDS = 1
 
 
@@ -51,23 +53,53 @@ def run_available(results: DataFrame, name: str, root: str, timeout: int | None
     return query
 
 
-def run_partials(events: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str, root: str) -> DataFrame:
+def run_partials(events: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str, root: str,
+                 merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Runs a partial aggregation over every micro-batch that the source holds now; returns all partial rows so far.
 
-    Each micro-batch writes a folder named after it and replaces it as a whole, so a repeated one adds
-    nothing twice. Any later event adds partial rows of its window, however old it is.
+    A repeated micro-batch adds nothing twice. Any later event adds partial rows of its window, however old it is.
+    ``merge`` adds up partial rows; folders of older micro-batches are merged as new ones come (see ``partials``).
+    """
+    table = PartialTable(events.sparkSession, f"{root}/{name}", partials(events).schema, merge)
+    _run_batches(events, lambda batch, batch_id: table.write(batch_id, partials(batch)), name, root)
+    return table.read()
+
+
+def run_event_time(events: DataFrame, partials: Callable[[DataFrame], DataFrame], name: str, root: str, lateness: str,
+                   merge: Callable[[DataFrame], DataFrame], time: str, latest: str) -> tuple[DataFrame, DataFrame, Column]:
+    """As ``run_partials``, with late events set aside: (partial rows, late events, watermark so far).
+
+    A micro-batch's watermark is the latest time of all events taken before it, less ``lateness``. Events before
+    it, and events without a time, go to the table ``name-late`` as they are; all others are taken. The two hold every event
+    once. ``latest`` is the partial column with the latest event time of its rows.
     """
+    spark = events.sparkSession
+    table = PartialTable(spark, f"{root}/{name}", partials(events).schema, merge)
+    aside = PartialTable(spark, f"{root}/{name}-late", events.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partials(batch).write.mode("overwrite").parquet(f"{root}/{name}/micro_batch={batch_id}")
+        mark = table.read(batch_id - 1).agg((F.max(latest) - F.expr(f"INTERVAL {lateness}")).alias("mark")).first()["mark"]
+        late = F.col(time).isNull() if mark is None else F.col(time).isNull() | (F.col(time) < F.lit(mark))
+        batch.persist()
+        try:
+            aside.write(batch_id, batch.where(late))
+            table.write(batch_id, partials(batch.where(~late)))
+        finally:
+            batch.unpersist()
+
+    _run_batches(events, write, name, root)
+    taken = table.read()
+    watermark = taken.agg((F.max(latest) - F.expr(f"INTERVAL {lateness}")).alias("mark")).scalar()
+    return taken, aside.read(), watermark
+
 
+def _run_batches(events: DataFrame, write: Callable[[DataFrame, int], None], name: str, root: str) -> None:
     query = (
         events.writeStream.foreachBatch(write).queryName(name)
         .option("checkpointLocation", f"{root}/checkpoints/{name}")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return events.sparkSession.read.parquet(f"{root}/{name}").drop("micro_batch")
 
 
 def fan_out(events: DataFrame, queries: Mapping[str, Callable[[DataFrame], DataFrame]], root: str,
