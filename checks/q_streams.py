@@ -200,7 +200,7 @@ def a11(spark, sf):
 GAP, LATENESS = "10 seconds", "20 seconds"
 _SESSIONS = """
 placed AS (SELECT *, kafka_timestamp - lag(kafka_timestamp) OVER (PARTITION BY who ORDER BY kafka_timestamp) AS since FROM {source}),
-islands AS (SELECT *, sum(CASE WHEN since IS NULL OR since >= INTERVAL 10 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY kafka_timestamp ROWS UNBOUNDED PRECEDING) AS island FROM placed),
+islands AS (SELECT *, sum(CASE WHEN since IS NULL OR since > INTERVAL 10 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY kafka_timestamp ROWS UNBOUNDED PRECEDING) AS island FROM placed),
 sessions AS (SELECT who AS author, min(kafka_timestamp) AS session_start, max(kafka_timestamp) + INTERVAL 10 SECOND AS session_end, count(*) AS comments, avg(len) AS avg_message_length FROM islands GROUP BY who, island)"""
 _TIMED = f"timed AS (SELECT *, coalesce(author, '') AS who, {S.utf16_length('stream_text')} AS len, kafka_partition * 2 + kafka_offset % 2 AS batch FROM normal)"
 _SESSION_SQL = S.chain(S.COMMENTS, _NORMAL, _TIMED, _SESSIONS.format(source="timed"), final="SELECT * FROM sessions")
@@ -248,7 +248,7 @@ taken AS (SELECT * FROM marked WHERE NOT late)"""
 
 
 @query("j10_sessions_event_time", S.chain(S.COMMENTS, _NORMAL, _TIMED, _WATERMARKS, _SESSIONS.format(source="taken"), final="""
-SELECT *, session_end <= (SELECT max(top) FROM tops) - INTERVAL 20 SECOND AS is_closed FROM sessions"""))
+SELECT *, session_end < (SELECT max(top) FROM tops) - INTERVAL 20 SECOND AS is_closed FROM sessions"""))
 def j10_event_time(spark, sf):
     found, _, watermark = _event_time(spark, sf)
     return jobs.session_totals(found, GAP, watermark)

@@ -133,30 +133,37 @@ def is_empty(col: Column) -> Column:
 FEW_SUBSTRINGS = 24
 
 
-def any_pattern(terms) -> str:
-    """One pattern that finds any of the terms: their common beginnings are followed once, as in a tree of characters."""
+def _tree(terms) -> dict:
+    """Terms by their characters; the empty key marks the end of a term."""
     tree: dict = {}
     for term in terms:
         node = tree
         for char in term:
-            if "" in node:
-                break  # a shorter term ends here
             node = node.setdefault(char, {})
-        else:
-            node.clear()
-            node[""] = {}
-
-    def written(node: dict) -> str:
-        if "" in node:
-            return ""
-        leaves = [c for c, below in node.items() if "" in below]
-        branches = [_escaped(c) + written(below) for c, below in sorted(node.items()) if "" not in below]
-        if leaves:
-            ends = "".join(map(_escaped, sorted(leaves)))
-            branches.insert(0, f"[{ends}]" if len(leaves) > 1 else ends)
-        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-
-    return written(tree)
+        node[""] = {}
+    return tree
+
+
+def _written(node: dict, shortest: bool) -> str:
+    """A pattern of a tree: a common beginning is written, and later tried, once."""
+    if "" in node and (shortest or len(node) == 1):
+        return ""
+    below = {c: _written(n, shortest) for c, n in sorted(node.items()) if c}
+    single = [c for c, rest in below.items() if not rest]
+    branches = [_escaped(c) + rest for c, rest in below.items() if rest]
+    if single:
+        branches.append(_escaped(single[0]) if len(single) == 1 else "[" + "".join(map(_escaped, single)) + "]")
+    return (branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")") + ("?" if "" in node else "")
+
+
+def any_pattern(terms) -> str:
+    """One pattern that is found wherever any of the terms is."""
+    return _written(_tree(terms), shortest=True)
+
+
+def whole_pattern(terms) -> str:
+    """One pattern of exactly the given terms; of two that begin alike it prefers the longer."""
+    return _written(_tree(terms), shortest=False)
 
 
 def _escaped(char: str) -> str:

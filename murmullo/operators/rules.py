@@ -1,9 +1,8 @@
 """The multi-label rule engine: flags, risk score, tags, matched terms and alerts.
 
-Whole terms are found by one pass over a message's words, a hash probe for each; where a word starts
-phrases of the lexicon, the word sequences of their lengths are probed too. The category flags are tests on that small
-hit list. Long lists of substrings are one pattern that follows their common beginnings. So the cost
-does not grow with the number of terms.
+A short lexicon is intersected with a message's words once, and phrases are looked for only where their first words
+stand. A long one is a pattern that follows the terms' common beginnings, of whole terms or of substrings,
+so the cost per message hardly grows with the number of terms. The category flags are tests on the short hit list.
 """
 
 from __future__ import annotations
@@ -79,28 +78,25 @@ def _without_nulls(array: Column) -> Column:
     return F.array_except(array, F.array(F.lit(None).cast("string")))
 
 
-# Up to so many words, intersecting arrays is faster than a probe of a constant hash set for each word; beyond, it builds
-# a larger set for every message.
+# Lists of up to so many terms are probed as sets; a longer one is a pattern that follows common beginnings once, whose cost
+# hardly grows with the list.
 FEW = 256
 
 
-def _among(value: Column, terms: list[str]) -> Column:
-    """A probe of a constant hash set."""
-    return value.isin(terms) if terms else F.lit(False)
-
-
 def _common(array: Column, terms: list[str]) -> Column:
-    """Distinct elements of an array that are in a list of terms."""
+    """Distinct elements of a short array that are in a list of terms."""
     if len(terms) <= FEW:
         return F.array_intersect(array, _strings(terms))
-    return F.array_distinct(F.filter(array, lambda x: _among(x, terms)))
+    return F.array_distinct(F.filter(array, lambda x: x.rlike(f"^{text.whole_pattern(terms)}$")))
 
 
 def _overlaps(array: Column, terms: list[str]) -> Column:
     """Whether a short array has an element in a list of terms."""
     if not terms:
         return F.lit(False)
-    return F.arrays_overlap(array, _strings(terms)) if len(terms) <= FEW else F.exists(array, lambda x: _among(x, terms))
+    if len(terms) <= FEW:
+        return F.arrays_overlap(array, _strings(terms))
+    return F.exists(array, lambda x: x.rlike(f"^{text.whole_pattern(terms)}$"))
 
 
 def _found_phrases(tokens: Column, phrases: list[str], heads: list[str]) -> Column:
@@ -108,32 +104,39 @@ def _found_phrases(tokens: Column, phrases: list[str], heads: list[str]) -> Colu
     lengths = sorted({p.count(" ") + 1 for p in phrases})
 
     def search(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _among(F.get(words, i), heads))
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(heads))
         runs = F.flatten(F.transform(places, lambda i: F.array(*[F.array_join(F.slice(words, i + 1, F.lit(n)), " ") for n in lengths])))
-        return F.array_distinct(F.filter(runs, lambda run: _among(run, phrases)))
+        return F.array_distinct(F.filter(runs, lambda run: run.isin(phrases)))
 
     # the outer one-element transform makes the words once for all places
     return F.get(F.transform(F.array(tokens), search), F.lit(0))
 
 
+def _layers(terms: Iterable[str]) -> list[list[str]]:
+    """Terms in as few lists as it takes that no list has a term that another of its terms begins with, at a word's end."""
+    known, depth = set(terms), {}
+    for term in sorted(known, key=len):
+        begins = [term[:i] for i in range(1, len(term)) if not (term[i].isalnum() or term[i] == "_") and term[:i] in known]
+        depth[term] = 1 + max((depth[b] for b in begins), default=-1)
+    return [sorted(t for t in known if depth[t] == d) for d in range(max(depth.values(), default=-1) + 1)]
+
+
 def find_terms(normalized: Column, terms: Iterable[str]) -> Column:
     """Distinct whole terms of a folded term list that occur in a normalised text."""
     terms = tuple(dict.fromkeys(terms))
+    if len(terms) > FEW:
+        # in a layer at most one term starts at a place, so a look ahead from every place finds them all
+        found = [F.regexp_extract_all(normalized, F.lit(rf"(?<!\w)(?=({text.whole_pattern(layer)})(?!\w))"), F.lit(1)) for layer in _layers(terms)]
+        return F.array_distinct(F.concat(*found))
     words = [t for t in terms if " " not in t and ":" not in t]
     phrases = [t for t in terms if " " in t and ":" not in t]
     marked = [t for t in terms if ":" in t]
     # ':' bounds a word but does not join the words of a phrase: it becomes a word of its own
     tokens = F.split(F.replace(normalized, F.lit(":"), F.lit(" : ")), " ")
-    heads = sorted({p.split(" ")[0] for p in phrases})
-    if phrases and len(words) + len(heads) > FEW:
-        # one pass for words and first words together
-        found = F.array_distinct(F.filter(tokens, lambda x: _among(x, list(dict.fromkeys(words + heads)))))
-        hits = F.get(F.transform(F.array(found), lambda t: F.when(
-            F.exists(t, lambda x: _among(x, heads)), F.concat(_common(t, words), _found_phrases(tokens, phrases, heads))).otherwise(_common(t, words))), F.lit(0))
-    else:
-        hits = _common(tokens, words)
-        if phrases:
-            hits = F.when(_overlaps(tokens, heads), F.concat(hits, _found_phrases(tokens, phrases, heads))).otherwise(hits)
+    hits = F.array_intersect(tokens, _strings(words))
+    if phrases:
+        heads = sorted({p.split(" ")[0] for p in phrases})
+        hits = F.when(_overlaps(tokens, heads), F.concat(hits, _found_phrases(tokens, phrases, heads))).otherwise(hits)
     if marked:
         found = [F.when(normalized.rlike(rf"(?<!\w){term}(?!\w)"), F.lit(term)) for term in marked]
         hits = F.concat(hits, _without_nulls(F.array(*found)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from murmullo.functions import text
 from murmullo.functions.lexicon import NOISE_SHORTCODE, RuleProfile
 from murmullo.operators.rules import FLAG_COLUMNS, add_signals, alerts
+from murmullo.session import materialize
 from murmullo.sources.topics import ALERTS_TOPIC, RAW_TOPIC, RESULTS_TOPIC
 
 # Job name, event type and target topic of each query.
@@ -194,18 +195,18 @@ def session_merge(partials: DataFrame) -> DataFrame:
 
 
 def session_totals(partials: DataFrame, gap: str, watermark: Column | None = None) -> DataFrame:
-    """Sessions of every author: slots run together while the next event comes before the gap is over.
+    """Sessions of every author: slots run together while the next event comes no later than the gap after the last.
 
-    A session ends a gap after its last event. With a watermark, ``is_closed`` tells the sessions no later event can reach.
+    A session ends a gap after its last event, as Spark's session windows do. With a watermark, ``is_closed`` tells the sessions no later event can reach.
     """
     order = Window.partitionBy("author").orderBy("slot")
     before = F.unix_micros(F.lag("last").over(order))
-    slots = session_merge(partials).withColumn("_opens", F.coalesce((F.unix_micros("first") - before >= _micros(gap)).cast("int"), F.lit(1)))
+    slots = session_merge(partials).withColumn("_opens", F.coalesce((F.unix_micros("first") - before > _micros(gap)).cast("int"), F.lit(1)))
     slots = slots.withColumn("_session", F.sum("_opens").over(order))
     end = F.col("_last") + F.expr(f"INTERVAL {gap}")
     sessions = slots.groupBy("author", "_session").agg(
         F.min("first").alias("session_start"), F.max("last").alias("_last"), F.sum("comments").alias("comments"), F.sum("chars").alias("_chars"))
-    closed = [] if watermark is None else [(end <= watermark).alias("is_closed")]
+    closed = [] if watermark is None else [(end < watermark).alias("is_closed")]
     return sessions.select("author", "session_start", end.alias("session_end"), "comments", (F.col("_chars") / F.col("comments")).alias("avg_message_length"), *closed)
 
 
@@ -266,27 +267,38 @@ def latency_totals(partials: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9
     The bin is exact. Inside it the sketch errs by at most ``RANK_ERROR`` of the bin's latencies.
     """
     merged = latency_merge(partials)
-    order = Window.orderBy("bin")  # some thousand rows at most
-    ranked = merged.withColumns({"_upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(Window.partitionBy())})
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile")
-    at = ranked.select("*", wanted).withColumn("_rank", F.greatest(F.ceil(F.col("quantile") * F.col("_all")), F.lit(1)))
-    at = at.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("n")))
-    inside = (F.col("_rank") - (F.col("_upto") - F.col("n"))) / F.col("n")
-    return at.select("quantile", F.kll_sketch_get_quantile_bigint("sketch", inside.cast("double")).alias("latency_ms"), F.col("least").alias("least_ms"), F.col("most").alias("most_ms"))
+    starts, total = _bin_starts(merged)
+    found = None
+    for q in quantiles:
+        rank = max(math.ceil(q * total), 1)
+        for bin_, (start, n) in starts.items():
+            if start < rank <= start + n:
+                one = merged.where(F.col("bin") == bin_).select(
+                    F.lit(float(q)).alias("quantile"), F.kll_sketch_get_quantile_bigint("sketch", F.lit((rank - start) / n)).alias("latency_ms"),
+                    F.col("least").alias("least_ms"), F.col("most").alias("most_ms"))
+                found = one if found is None else found.union(one)
+    if found is None:
+        return merged.sparkSession.createDataFrame([], "quantile double, latency_ms bigint, least_ms bigint, most_ms bigint")
+    return found
+
+
+def _bin_starts(merged: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
+    """Latencies before each bin and in it, and in all; there are some thousand bins at most."""
+    starts, before = {}, 0
+    for b in merged.select("bin", "n").orderBy("bin").collect():
+        starts[b.bin], before = (before, b.n), before + b.n
+    return starts, before
 
 
 def exact_latency_stats(partials: DataFrame, rows: DataFrame) -> DataFrame:
     """Average, median, 95th percentile and maximum, all exact: partial rows say which bins hold the wanted
     ranks, and only the latencies of those (at most four) bins are read again from ``rows``."""
-    bins = latency_merge(partials).select("bin", "n", "total", "most").orderBy("bin").collect()  # some thousand at most
-    total = sum(b.n for b in bins)
-    starts, before = {}, 0
-    for b in bins:
-        starts[b.bin], before = before, before + b.n
+    merged = latency_merge(partials)
+    starts, total = _bin_starts(merged)
     places = {q: (total - 1) * q for q in (0.5, 0.95)}
-    ranks = sorted({rank(p) for p in places.values() for rank in (math.floor, math.ceil)}) if total else []
-    wanted = sorted({b.bin for b in bins for r in ranks if starts[b.bin] <= r < starts[b.bin] + b.n})
-    start = F.create_map(*[x for b in wanted for x in (F.lit(b), F.lit(starts[b]))])[F.col("bin")] if wanted else F.lit(0)
+    ranks = {rank(p) for p in places.values() for rank in (math.floor, math.ceil)} if total else set()
+    wanted = [b for b, (start, n) in starts.items() if any(start <= r < start + n for r in ranks)]
+    start = F.create_map(*[x for b in wanted for x in (F.lit(b), F.lit(starts[b][0]))])[F.col("bin")] if wanted else F.lit(0)
     inside = Window.partitionBy("bin").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.where(F.col("bin").isin(wanted)).groupBy("bin", "ms").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("upto", start + F.sum("n").over(inside))
@@ -296,10 +308,9 @@ def exact_latency_stats(partials: DataFrame, rows: DataFrame) -> DataFrame:
         low, high = (F.min(F.when(F.col("upto") > rank(places[q]), F.col("ms"))) for rank in (math.floor, math.ceil))
         return low + (high - low) * F.lit(places[q] - math.floor(places[q]))
 
-    average = sum(b.total for b in bins) / total if total else None
-    return ranked.agg(
-        F.lit(average).cast("double").alias("avg_latency_ms"), at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"),
-        F.lit(max((b.most for b in bins), default=None)).cast("long").alias("max_latency_ms"))
+    whole = merged.agg((F.sum("total") / F.sum("n")).alias("average"), F.max("most").alias("most"))
+    return ranked.agg(at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms")).select(
+        whole.select("average").scalar().alias("avg_latency_ms"), "p50_latency_ms", "p95_latency_ms", whole.select("most").scalar().alias("max_latency_ms"))
 
 
 def latency_stats(events: DataFrame, ingested: str, processed: str) -> DataFrame:
@@ -308,7 +319,7 @@ def latency_stats(events: DataFrame, ingested: str, processed: str) -> DataFrame
     A stream keeps ``latency_partials`` and reads one bin again only if it wants exact percentiles.
     """
     rows = latencies(events, ingested, processed)
-    return exact_latency_stats(latency_partials(rows), rows)
+    return exact_latency_stats(materialize(latency_partials(rows), "latency"), rows)
 
 
 def threshold_partials(flagged: DataFrame, condition: Column, duration: str, time: str = EVENT_TIME) -> DataFrame:

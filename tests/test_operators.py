@@ -141,3 +141,31 @@ def test_topic_readers_need_only_options(spark):
 def test_start_row_is_checked(spark):
     with pytest.raises(ValueError):
         topics.build_events(spark.range(1), "p", start_row=0)
+
+
+def test_diagnostics_read_the_table_twice_for_eleven_tables(spark, sf):
+    from checks.data import scored
+    from murmullo.operators import aggregates as A
+    from murmullo.plans.diagnostics import diagnostics
+
+    table = scored(spark, sf, "v1")
+    bundle = diagnostics(table)
+    assert len(bundle) == 11
+    for name, df in bundle.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "message_raw" not in plan or name in ("confident_with_rules", "confident_without_rules", "unsure_without_rules", "not_offensive_high_score")
+        assert "conversations" not in plan and "regexp" not in plan  # only landed results are read
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(bundle["levels"]) == rows(A.distribution(table, "hybrid_risk_level"))
+    assert rows(bundle["counts"]) == rows(A.hybrid_counts(table))
+    assert rows(A.hybrid_counts(A.combined_counts(table.where("false"), ["pred_binary_sparkml", "has_any_local_rule", "has_strong_local_rule", "ml_offensive_high_confidence"]), "n")) == [(0, 0, 0, 0)]
+
+
+def test_comparison_with_a_part_equals_that_of_two_runs(spark, sf):
+    from checks.data import ruled
+    from murmullo.operators import aggregates as A
+
+    every = ruled(spark, sf, "v1")
+    early = F.col("video_offset_msec").try_cast("long") < 40000
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(A.compare_flags_with_part(every, early)) == rows(A.compare_flag_runs(every, every.where(early)))

@@ -1,10 +1,13 @@
 """Rule sentences per profile, with the differences between profiles that the lexicons imply."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from murmullo.functions.lexicon import PROFILES, fold_lexicon, lexicon_frame, load_lexicon, merge
-from murmullo.functions.text import norm_text
+from murmullo.functions.text import contains_any, norm_text
 from murmullo.operators import rules as R
 from murmullo.operators import terms as T
 
@@ -146,6 +149,42 @@ def test_lexicons_have_no_largest_size(spark):
     assert inline == {tuple(r) for r in joined.collect()} == {("a", "fraude", "head3 tail3"), ("a", "fraude", "head6 tail398")}
 
 
+@pytest.mark.parametrize("size", [40, 400])
+def test_short_and_long_lexicons_find_every_whole_term(spark, size):
+    rnd = random.Random(size)
+    word = lambda: "".join(rnd.choice("ab1_") for _ in range(rnd.randint(1, 3)))
+    terms = list({" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(3 * size)})[:size - 5] + ["a:b", ":ab:", "b:"]
+    texts = [(str(i), rnd.choice([" ", ":"]).join(word() for _ in range(rnd.randint(0, 12)))) for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(t.split())) for i, t in texts], "event_id string, t string")
+    whole = lambda t: {x for x in terms if re.search(rf"(?<!\w){x}(?!\w)", t, re.A)}
+    for r in df.select("t", R.find_terms(F.col("t"), terms).alias("found"), contains_any(F.col("t"), terms).alias("any")).collect():
+        assert len(r.found) == len(set(r.found)) and set(r.found) == whole(r.t)
+        assert r.any == any(x in r.t for x in terms)
+
+
+def test_long_lexicons_flag_as_short_ones_do(spark):
+    """A category beyond the set size, with the terms of the profile among others."""
+    df = spark.createDataFrame([("a", "robo electoral y actas falsas"), ("b", "terruco de mierda"), ("c", ""), ("d", "cosa7 fina")], "event_id string, message_raw string")
+    df = df.withColumn("message_clean", F.col("message_raw"))
+    many = {"fraude": [f"palabra{i} rara" for i in range(600)], "terruqueo": [f"otra{i}" for i in range(300)]}
+    for name in ("v1", "k", "s", "l"):
+        given, more = R.add_rules(df, name), R.add_rules(df, PROFILES[name].with_terms(many))
+        assert sorted(map(tuple, given.collect())) == sorted(map(tuple, more.collect()))
+    more = PROFILES["v1"].with_terms({**many, "fraude": [*many["fraude"], "cosa7 fina"]})
+    assert [r.event_id for r in R.add_rules(df, more).where("has_fraude").orderBy("event_id").collect()] == ["a", "d"]
+    assert ("d", "fraude", "cosa7 fina") in {tuple(r) for r in R.matched_terms(df, more).collect()}
+
+
+def test_only_words_that_may_start_a_term_are_emitted(spark):
+    lexicon = spark.createDataFrame([("c", f"head{i} tail") for i in range(50)] + [("c", "solo")], "category string, term string")
+    df = spark.createDataFrame([("a", "head3 tail y muchas otras palabras que no son de la lista solo"), ("b", ""), ("c", None)], "event_id string, t string")
+    _, longest, starts = T.first_word_filter(lexicon)
+    words = T.explode_words(df, "event_id", F.col("t"), longest, starts=starts)
+    assert longest == 2 and {"head3", "solo"} <= {r.word for r in words.collect()} and words.count() <= 4
+    assert {tuple(r) for r in T.match_lexicon(df, "event_id", F.col("t"), lexicon).collect()} == {("a", "c", "head3 tail"), ("a", "c", "solo")}
+    assert T.match_lexicon(df, "event_id", F.col("t"), lexicon.where("false")).count() == 0
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
