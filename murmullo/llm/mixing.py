@@ -66,7 +66,11 @@ def _split(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with the column ``budget``; ``share`` of all tokens is given out."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
+    # a leaf below a weight of 0 takes nothing, so it is no capacity of the nodes above it either
+    usable = F.lit(True)
+    for level in LEVELS:
+        usable = usable & (_weight(weights.get(level, {}), F.col(level)) > 0)
+    leaves = leaves.withColumn("capacity", F.when(usable, F.col("tokens") * epochs).otherwise(F.lit(0).cast("long")))
     grand = leaves.agg(F.sum("tokens").alias("all"))
     at = (
         leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"))

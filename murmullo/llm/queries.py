@@ -66,27 +66,30 @@ def _mix_split(name: str, parent: str, source: str) -> str:
     """Budgets of the children of each parent in a table with budget, weight and capacity."""
     over = f"PARTITION BY {parent} ORDER BY ratio, {name}"
     return f"""
-{name}_1 AS (SELECT *, capacity / weight AS ratio FROM {source}),
+{name}_1 AS (SELECT * REPLACE (greatest(weight, 0) AS weight), CASE WHEN weight > 0 THEN capacity / weight ELSE 0 END AS ratio FROM {source}),
 {name}_2 AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
-  / sum(weight) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_1),
+  / nullif(sum(weight) OVER ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM {name}_1),
 {name}_3 AS (SELECT *, row_number() OVER (PARTITION BY {parent}, level <= ratio ORDER BY ratio, {name}) AS place FROM {name}_2),
 {name}_4 AS (SELECT * EXCLUDE (level), max(CASE WHEN level <= ratio AND place = 1 THEN level END) OVER (PARTITION BY {parent}) AS level FROM {name}_3),
 {name}_b AS (SELECT * EXCLUDE (budget), CASE WHEN level IS NULL THEN capacity::DOUBLE ELSE least(capacity::DOUBLE, level * weight) END AS budget FROM {name}_4)"""
 
 
-def _mix_weight(level: str) -> str:
-    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1.0 END::DOUBLE AS weight"
+def _mix_weight(weights: dict, level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in weights.get(level, {"": 1}).items()) + " ELSE 1.0 END::DOUBLE"
 
 
-ORACLES["op7_source_mix"] = rf"""
+def mix_sql(weights: dict) -> str:
+    """Rows of the mix with all tokens given out and two epochs at most."""
+    usable = " AND ".join(f"{_mix_weight(weights, level)} > 0" for level in ("domain", "lang", "source"))
+    return rf"""
 WITH d AS (SELECT doc_id, 'd' || coalesce(CAST(TRY_CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang,
   coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, substr(md5('7:' || doc_id), 1, 3) AS bin FROM documents),
-leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS capacity FROM d GROUP BY ALL),
-top AS (SELECT domain, sum(capacity) AS capacity, {_mix_weight("domain")}, (SELECT sum(tokens) FROM leaf)::DOUBLE AS budget FROM leaf GROUP BY domain),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(CASE WHEN {usable} THEN 2 * sum(n_tokens) ELSE 0 END AS BIGINT) AS capacity FROM d GROUP BY domain, lang, source),
+top AS (SELECT domain, sum(capacity) AS capacity, {_mix_weight(weights, "domain")} AS weight, (SELECT sum(tokens) FROM leaf)::DOUBLE AS budget FROM leaf GROUP BY domain),
 {_mix_split("domain", "1", "top")},
-mid AS (SELECT l.domain, lang, sum(l.capacity) AS capacity, {_mix_weight("lang")}, any_value(b.budget) AS budget FROM leaf l JOIN domain_b b USING (domain) GROUP BY l.domain, lang),
+mid AS (SELECT l.domain, lang, sum(l.capacity) AS capacity, {_mix_weight(weights, "lang")} AS weight, any_value(b.budget) AS budget FROM leaf l JOIN domain_b b USING (domain) GROUP BY l.domain, lang),
 {_mix_split("lang", "domain", "mid")},
-low AS (SELECT l.domain, l.lang, source, tokens, l.capacity, {_mix_weight("source")}, b.budget FROM leaf l JOIN lang_b b ON l.domain = b.domain AND l.lang = b.lang),
+low AS (SELECT l.domain, l.lang, source, tokens, l.capacity, {_mix_weight(weights, "source")} AS weight, b.budget FROM leaf l JOIN lang_b b ON l.domain = b.domain AND l.lang = b.lang),
 {_mix_split("source", "domain, lang", "low")},
 plan AS (SELECT domain, lang, source, budget, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens) AS BIGINT) ELSE 0 END AS whole, tokens FROM source_b),
 bins AS (SELECT domain, lang, source, bin, sum(n_tokens) AS n, any_value(whole) AS whole FROM d JOIN plan USING (domain, lang, source) GROUP BY ALL),
@@ -98,7 +101,10 @@ rows AS (SELECT d.*, whole, budget, budget - whole * tokens AS rest, start + coa
 taken AS (SELECT *, n_tokens > 0 AND before < rest AS last_epoch FROM rows)
 SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, CAST(CASE WHEN n_tokens > 0 THEN whole ELSE 0 END + last_epoch::BIGINT AS BIGINT) AS copies, last_epoch
 FROM taken WHERE CASE WHEN n_tokens > 0 THEN whole ELSE 0 END + last_epoch::BIGINT > 0
-""".replace("\\", "\\"[:1])
+"""
+
+
+ORACLES["op7_source_mix"] = mix_sql(MIX_WEIGHTS)
 
 
 @query

@@ -138,7 +138,8 @@ def mix(docs, weights, share=1.0, epochs=2, seed=7):
     for _, leaf, n in rows:
         tokens[leaf] += n
     w = lambda level, name: weights.get(level, {}).get(name, 1)
-    cap = lambda keep: epochs * sum(n for leaf, n in tokens.items() if keep(leaf))
+    usable = lambda leaf: all(w(level, name) > 0 for level, name in zip(("domain", "lang", "source"), leaf))
+    cap = lambda keep: epochs * sum(n for leaf, n in tokens.items() if keep(leaf) and usable(leaf))
     budget = {}
     top = water({d: (w("domain", d), cap(lambda x, d=d: x[0] == d)) for d in {x[0] for x in tokens}}, share * sum(tokens.values()))
     for d, b in top.items():

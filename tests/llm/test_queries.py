@@ -8,8 +8,8 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import check, duck
-from murmullo.llm import pieces
-from murmullo.llm.queries import MIX_WEIGHTS, ORACLES, QUERIES
+from murmullo.llm import mixing, pieces
+from murmullo.llm.queries import MIX_WEIGHTS, ORACLES, QUERIES, mix_sql
 
 from . import brute
 
@@ -57,6 +57,22 @@ def test_mix(spark, sf, corpus):
     assert got == brute.mix(corpus, MIX_WEIGHTS)
 
 
+ZERO_WEIGHTS = {"domain": {"d0": 3, "d2": 0.5}, "lang": {"en": 0, "de": 2}, "source": {"src1": 0, "src6": 0, "src2": 5}}
+
+
+def test_mix_with_weights_of_zero_below_the_top(spark, con, sf, corpus):
+    """What a domain can't use because a language or source of it weighs nothing goes to the other domains."""
+    mixed = lambda spark, sf: mixing.select_mix(spark.read.parquet(f"{sf}/documents.parquet"), ZERO_WEIGHTS, share=1.0, epochs=2)
+    assert {r.doc_id: (r.copies, r.last_epoch) for r in mixed(spark, sf).collect()} == brute.mix(corpus, ZERO_WEIGHTS)
+    status, detail, _ = check(spark, con, "mix", mixed, mix_sql(ZERO_WEIGHTS), sf)
+    assert status == "ok", detail
+    # two domains of 4,000 words, half of the second unusable: all of 4,800 due are given out
+    rows = [(i, "w " * 40, "en" if i < 100 or i % 2 else "fr", f"src{i // 100}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.select_mix(docs, {"lang": {"fr": 0}}, share=0.6, epochs=1)
+    assert taken.agg({"n_tokens": "sum"}).first()[0] == 4800 and taken.where("lang = 'fr'").count() == 0
+
+
 def test_merge_dropout(spark, sf, corpus):
     rows = QUERIES["op10_merge_dropout"](spark, sf).collect()
     assert len(rows) == len(corpus) and all(r.lossless for r in rows)
