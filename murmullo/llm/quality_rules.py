@@ -5,6 +5,7 @@ punctuation and mark-up), hashed into ``buckets``. One pass over all documents c
 raw corpus and, of all trusted documents (labelled good), those of the target. Both are smoothed to
 multinomials; a document's score is the sum of log(target / raw) over its n-grams, divided by their number, and a document is kept when no base rule rejects it and its score reaches ``threshold``.
 
+To learn which documents are trusted, their bucket ids (two bytes an n-gram) are joined with the ids; no text is shuffled.
 The counts shrink to one row per bucket and task before they are shuffled. The weights come back as one
 array of ``buckets`` doubles, a scalar, so scoring moves no row and needs no join.
 
@@ -44,12 +45,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def bucket_weights(documents: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """One row with ``weights``: log ratio of target and raw probability of each bucket, in order."""
+    if buckets > 1 << 15:
+        raise ValueError("bucket ids are two signed bytes: at most 32,768 buckets")
     trusted = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))
+    narrow = documents.select("doc_id", word_codes(words(F.col("text"))).alias("h")).select("doc_id", bucket_ids("h", buckets).cast("array<smallint>").alias("b"))
+    # two bytes an n-gram meet the trusted ids, not the texts, and by the same join at every size; rows without an id need no join
+    known = narrow.where("doc_id is not null").join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = known.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), "b").union(narrow.where("doc_id is null").select(F.lit(0).cast("long"), "b"))
     counts = (
-        documents.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
-        .select(F.col("trusted_id").isNotNull().cast("long").alias("good"), word_codes(words(F.col("text"))).alias("h"))
-        .select("good", F.explode(bucket_ids("h", buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
+        rows.select("good", F.explode("b").alias("id"))
+        .groupBy(F.col("id").cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     )
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
