@@ -53,7 +53,8 @@ def bucket_weights(documents: DataFrame, labels: DataFrame, buckets: int, smooth
     known = narrow.where("doc_id is not null").join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     rows = known.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), "b").union(narrow.where("doc_id is null").select(F.lit(0).cast("long"), "b"))
     counts = (
-        rows.select("good", F.explode("b").alias("id"))
+        # an outer explode: of a plain one Spark would infer a filter on the ids' number and compute them again below the join
+        rows.select("good", F.explode_outer("b").alias("id")).where("id is not null")
         .groupBy(F.col("id").cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     )
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
