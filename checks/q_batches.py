@@ -104,10 +104,10 @@ def m05(spark, sf):
     def version(n):
         return batched.withColumn("version", F.lit(n))
 
-    B.write_batch(version(1).where("target_count <= 300"), path)
-    B.write_batch(version(2), path)  # 1-3 are recorded and stay; the rest is new
-    B.write_batch(version(3).where("target_count = 300"), path, force=True)
-    return spark.read.parquet(path).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.max("version").alias("version"))
+    B.write_batch(version(1).where("target_count <= 300"), path, SIZE)
+    B.write_batch(version(2), path, SIZE)  # 1-3 are recorded and stay; the rest is new
+    B.write_batch(version(3).where("target_count = 300"), path, SIZE, force=True)
+    return B.read_batches(spark, path, SIZE).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.max("version").alias("version"))
 
 
 _TIMES = f"make_timestamp((1704067200 + target_count) * 1000000)"
@@ -173,10 +173,10 @@ flagged AS (SELECT * FROM signals WHERE has_ethnic_racial_slur OR has_homophobic
 SELECT 'stream' AS source, 'political_signals' AS event_type, NULL AS job_name, message_text AS text, event_id, kafka_partition AS source_partition,
   CAST(kafka_offset AS BIGINT) AS source_offset, NULL AS output_path FROM signals UNION ALL
 SELECT 'alert', 'risk_alert', NULL, message_text, event_id, kafka_partition, kafka_offset, NULL FROM flagged UNION ALL
-SELECT 'spark', 'spark_batch_output', batch_id, status || ': {SIZE} filas escritas', NULL, 0, target_count, 'out/hybrid/batch_id=' || batch_id FROM ledger"""))
+SELECT 'spark', 'spark_batch_output', batch_id, status || ': {SIZE} filas escritas', NULL, 0, target_count, 'out/hybrid/batch_group=' || CAST((target_count // {SIZE} - 1) // 64 AS INTEGER) FROM ledger"""))
 def i03(spark, sf):
     found = FD.signal_feed(add_signals(comments(spark, sf), rules("s"), TEST_ACTORS), is_alert())
-    return FD.unified_feed(found, B.ledger_latest(_log(spark, sf)), "out/hybrid").select(
+    return FD.unified_feed(found, B.ledger_latest(_log(spark, sf)), "out/hybrid", SIZE).select(
         "source", "event_type", "job_name", "text", "event_id", "source_partition", "source_offset", "output_path")
 
 

@@ -17,7 +17,7 @@ from murmullo.operators.aggregates import count_by_type
 from murmullo.operators.corpus import drop_empty, enrich_labels
 from murmullo.operators.rules import add_rules
 from murmullo.plans import batch
-from murmullo.session import scratch_path
+from murmullo.session import materialize, scratch_path
 from checks import tables
 from murmullo.sources import files, topics
 
@@ -209,13 +209,10 @@ def a07(spark, sf):
     broken = lines.select(F.concat(F.lit('{"broken": '), F.substring("value", 1, 20)).alias("value"))
     lines.union(broken).write.text(path)
     rows = files.read_live_chat(spark, path)
-    first = F.get(F.col("replayChatItemAction.actions"), F.lit(0))["addChatItemAction"]["item"]
-    usec = F.coalesce(*[first[r]["timestampUsec"] for r in I.RENDERERS.values()], F.to_json("replayChatItemAction"))
-    shaped = rows.select(F.size("replayChatItemAction.actions").alias("a"), usec.alias("u"), F.col("replayChatItemAction.videoOffsetTimeMsec").alias("o"))
-    known = shaped.agg(F.count(F.lit(1)).alias("lines"), F.sum("a").alias("actions"))
-    # lines whose renderer is unknown carry no time: they are told apart by their text in the lake instead
-    total = comments(spark, sf).agg(F.count(F.lit(1)).alias("distinct_lines")).select("distinct_lines").scalar()
-    return known.select("lines", "actions", total.alias("distinct_lines"))
+    known = rows.select(F.size("replayChatItemAction.actions").alias("a")).agg(F.count(F.lit(1)).alias("lines"), F.sum("a").alias("actions"))
+    # lines whose renderer is unknown look alike once parsed: lines of the file are told apart by their text
+    whole = spark.read.text(path).where(F.get_json_object("value", "$.replayChatItemAction").isNotNull())
+    return known.select("lines", "actions", whole.agg(F.count_distinct("value").alias("distinct_lines")).scalar().alias("distinct_lines"))
 
 
 # --- lake files --------------------------------------------------------------------------------------
@@ -240,6 +237,27 @@ def a02(spark, sf):
     return _csv(spark, sf, "\\")
 
 
+def _split_csv(spark, sf, escape):
+    """One file of quoted fields with line breaks, read in splits of 64 KB."""
+    path, was = scratch_path(spark, "lake_split"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    comments(spark, sf).select(*_CSV_COLUMNS).coalesce(1).write.option("header", True).option("quote", '"').option("escape", escape).csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:  # the files are listed and split when the result is written
+        return materialize(files.read_split_csv(spark, path, files.string_schema(_CSV_COLUMNS), escape), "lake")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+@query("a01_read_split_csv", _CSV_SQL)
+def a01_split(spark, sf):
+    return _split_csv(spark, sf, '"')
+
+
+@query("a02_read_split_csv", _CSV_SQL)
+def a02_split(spark, sf):
+    return _split_csv(spark, sf, "\\")
+
+
 @query("a09_csv_sink", S.chain(S.COMMENTS, final="SELECT count(*) AS rows, count(author) AS authors, 3 AS files FROM comments"))
 def a09(spark, sf):
     path = scratch_path(spark, "sink_csv")

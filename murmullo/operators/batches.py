@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Ledger states and retry bound.
@@ -142,31 +143,59 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+GROUP = "batch_group"  # folder of a batch table
+BATCHES_PER_GROUP = 64
 
 
-def write_batch(batched: DataFrame, path: str, force: bool = False) -> None:
-    """Write a table partitioned by batch_id so that a re-run changes nothing it should not.
+def batch_group(batch_id: Column, size: int) -> Column:
+    """Folder number of a batch: 64 batches of ``size`` rows that follow each other share one."""
+    return F.floor((F.substring_index(batch_id, "_", -1).cast("long") / size - 1) / BATCHES_PER_GROUP).cast("int")
 
-    A batch already in the table is left alone; ``force`` replaces exactly the batches given
-    (dynamic partition overwrite). The known ids come from the partition folders.
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not have been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def write_batch(batched: DataFrame, path: str, size: int, force: bool = False) -> None:
+    """Write batches (column batch_id) into a table of grouped folders so that a re-run changes nothing it should not.
+
+    A batch already in the table is left alone; ``force`` replaces exactly the batches given. A write replaces the folders
+    of its batches as a whole and carries the other batches of those folders along. Rows of a folder's files are ordered by
+    batch_id, so a reader of one batch skips the row groups of others.
     """
-    spark = batched.sparkSession
-    fresh = batched
-    if not force and path_exists(spark, path):
-        known = spark.read.parquet(path).select("batch_id").distinct()
-        fresh = batched.join(known, "batch_id", "left_anti")
-    # a batch is rows of equal number in every range: clustered, it is one file rather than one per task
+    rows = batched.withColumn(GROUP, batch_group(F.col("batch_id"), size))
+    known = stored_table(batched.sparkSession, path)
+    if known is not None:
+        ids = rows.select(GROUP, "batch_id").distinct()
+        if force:
+            others = known.join(ids.select("batch_id"), "batch_id", "left_anti")
+        else:
+            there = known.select("batch_id").distinct()
+            rows, ids, others = (rows.join(there, "batch_id", "left_anti"), ids.join(there, "batch_id", "left_anti"), known)
+        touched = others.join(ids.select(GROUP).distinct(), GROUP, "left_semi")
+        rows = rows.unionByName(touched.select(rows.columns))
+    # a batch is rows of equal number in every range: one task writes it, and any others of its folder
     (
-        fresh.repartition("batch_id").write.mode("overwrite")
+        rows.repartition("batch_id").sortWithinPartitions(GROUP, "batch_id").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(GROUP)
         .parquet(path)
     )
 
 
+def read_batches(spark: SparkSession, path: str, size: int, ids: DataFrame | None = None) -> DataFrame:
+    """Rows of a batch table, of the given batches (batch_id) only if told; their folders prune the scan."""
+    table = spark.read.parquet(path)
+    if ids is not None:
+        wanted = ids.select("batch_id").distinct().withColumn(GROUP, batch_group(F.col("batch_id"), size))
+        table = table.join(wanted, [GROUP, "batch_id"], "left_semi")
+    return table.drop(GROUP)
+
+
 def rows_to_resume(lake: DataFrame, landed: DataFrame, cap: int, key: str = "event_id") -> DataFrame:
     """Lake rows within the cap that have not landed yet, by key (robust to gaps)."""
     within = lake.where(F.col("row_number").try_cast("long") <= cap)

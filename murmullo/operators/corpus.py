@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from murmullo.functions.scalars import OFFENSIVE_LABELS, MULTICLASS_LABELS
 from murmullo.functions.text import clean_text, norm_text, text_or_empty
 from murmullo.operators.joins import _strict
+from murmullo.session import materialize
 from murmullo.operators.rules import compute_once
 
 # Neutral label and names of the alternative binary mapping; fallback stop words.
@@ -85,6 +86,31 @@ def tfidf_table(corpus: DataFrame, stop_words: Sequence[str] = FALLBACK_STOP_WOR
 # --- historical profile ---------------------------------------------------------------------------
 
 
+BUCKETS = 1 << 16
+
+
+def heavy_hitters(values: DataFrame, k: int, value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+    """The k most frequent values with their ``uses``, ties by value: exact, without counting most values one by one.
+
+    Values are counted by hash bucket first; no value is more frequent than its bucket. The values of the fullest buckets are counted
+    exactly, and any further bucket that is at least as full as the k-th of these could still hold one of the k, so such buckets
+    are counted too. What is shuffled is a row per bucket and task, and the values of those few buckets.
+    """
+    bucketed = values.where(F.col(value).isNotNull()).withColumn("_bucket", F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int"))
+    full = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_bucket").collect()  # a row a bucket at most
+
+    def counted(chosen: list[int]) -> DataFrame:
+        return bucketed.where(F.col("_bucket").isin(chosen)).groupBy(value).agg(F.count(F.lit(1)).alias("uses"))
+
+    chosen = [r["_bucket"] for r in full[:4 * k]]
+    best = materialize(counted(chosen).orderBy(F.desc("uses"), value).limit(k), "heavy")
+    rest = full[4 * k:]
+    n, least = best.agg(F.count(F.lit(1)), F.min("uses")).first()
+    more = [r["_bucket"] for r in rest if n < k or r["n"] >= least]
+    found = best.unionByName(counted(more)) if more else best
+    return found.orderBy(F.desc("uses"), value).limit(k)
+
+
 def top_words(df: DataFrame, text: Column, k: int = 20, stop_words: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
     """Most used words; ``only`` restricts to a given vocabulary (for instance political terms)."""
     words = F.filter(F.split(norm_text(text), r"[ :]+"), lambda w: F.length(w) >= 2)
@@ -92,14 +118,17 @@ def top_words(df: DataFrame, text: Column, k: int = 20, stop_words: Sequence[str
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
     if only is not None:
         words = F.filter(words, lambda w: w.isin(*only))
-    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    return counts.orderBy(F.desc("uses"), "word").limit(k)
+    # an outer explode: of a plain one Spark would infer a filter on the words' number and make them twice
+    rows = df.select(F.explode_outer(words).alias("word"))
+    if only is not None:  # few values: one pass
+        counts = rows.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+        return counts.orderBy(F.desc("uses"), "word").limit(k)
+    return heavy_hitters(rows, k, "word")
 
 
 def top_hashtags(df: DataFrame, text: Column, k: int = 20) -> DataFrame:
     tags = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"#([\p{L}\p{N}_]+)"), 1)
-    counts = df.select(F.explode(tags).alias("hashtag")).groupBy("hashtag").agg(F.count(F.lit(1)).alias("uses"))
-    return counts.orderBy(F.desc("uses"), "hashtag").limit(k)
+    return heavy_hitters(df.select(F.explode_outer(tags).alias("hashtag")), k, "hashtag")
 
 
 def comments_per_video(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from murmullo.functions.text import first_text, non_empty
+from murmullo.operators.batches import GROUP, batch_group
 
 # Display text candidates in order of preference.
 TEXT_CANDIDATES = (
@@ -74,12 +75,12 @@ def signal_feed(signals: DataFrame, is_alert: Column) -> DataFrame:
         F.col("kafka_partition").alias("source_partition"), F.col("kafka_offset").cast("long").alias("source_offset"))
 
 
-def unified_feed(events: DataFrame, ledger: DataFrame, output_root: str | None = None) -> DataFrame:
+def unified_feed(events: DataFrame, ledger: DataFrame, output_root: str | None = None, size: int = 1000) -> DataFrame:
     """Events and batch status in one frame; columns a side lacks are null.
 
     A batch row carries the end of its range as offset, partition 0 and, with ``output_root``, the folder of its rows.
     """
-    folder = F.lit(None).cast("string") if output_root is None else F.concat(F.lit(f"{output_root}/batch_id="), "batch_id")
+    folder = F.lit(None).cast("string") if output_root is None else F.concat(F.lit(f"{output_root}/{GROUP}="), batch_group(F.col("batch_id"), size).cast("string"))
     status = ledger.select(
         F.lit(BATCH_ROW[0]).alias("source"), F.lit(BATCH_ROW[1]).alias("event_type"), F.col("batch_id").alias("job_name"),
         F.concat_ws(" ", F.concat("status", F.lit(":")), F.col("rows").cast("string"), F.lit("filas escritas")).alias("text"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmullo.operators.aggregates import minute_aggregates_hybrid
-from murmullo.operators.batches import append_status, assign_batch, ledger_latest, path_exists, write_batch
+from murmullo.operators.batches import append_status, assign_batch, ledger_latest, read_batches, stored_table, write_batch
 from murmullo.operators.hybrid import score_hybrid
 from murmullo.operators.joins import join_rules_ml
 from murmullo.operators.rules import FLAG_COLUMNS, add_rules
@@ -61,9 +61,8 @@ def _status(spark: SparkSession, batches: DataFrame, job: str, status: str, size
 
 def done_batches(spark: SparkSession, ledger_path: str) -> DataFrame | None:
     """Ids of the batches that the ledger has as done."""
-    if not path_exists(spark, ledger_path):
-        return None
-    return ledger_latest(spark.read.parquet(ledger_path)).where("status = 'done'").select("batch_id")
+    log = stored_table(spark, ledger_path)
+    return None if log is None else ledger_latest(log).where("status = 'done'").select("batch_id")
 
 
 def landed_ranges(landed: DataFrame, size: int) -> DataFrame:
@@ -79,7 +78,7 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
 
     The raw rows of every batch that isn't done (of all, if forced) are landed first, in the only read
     of ``raw``. Complete batches go on; each of the others is noted as waiting with its number of rows
-    and keeps no other batch back. Each stage is a table partitioned by batch_id and every write
+    and keeps no other batch back. Each stage is a table of grouped batches and every write
     replaces whole batches, so a run that was cut short can simply be started again. Many ranges go
     through one Spark job.
     """
@@ -90,18 +89,18 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
     if done is not None:
         done = materialize(done, "done")
         batched = batched.join(done, "batch_id", "left_anti")
-    write_batch(batched, f"{root}/raw", force=True)
-    landed = spark.read.parquet(f"{root}/raw")
+    write_batch(batched, f"{root}/raw", size, force=True)
+    landed = read_batches(spark, f"{root}/raw", size)
     ranges = landed_ranges(landed if done is None else landed.join(done, "batch_id", "left_anti"), size)
     todo = ranges.where("complete")
     append_status(spark, ledger_path, _status(spark, ranges.where("not complete"), "raw", "waiting", size, "incomplete"))
 
     def stage(name: str) -> DataFrame:
-        """Rows of this run in a stage table; the batch folders prune the scan."""
-        return spark.read.parquet(f"{root}/{name}").join(todo.select("batch_id"), "batch_id", "left_semi")
+        """Rows of this run in a stage table."""
+        return read_batches(spark, f"{root}/{name}", size, todo)
 
     def land(name: str, df: DataFrame) -> DataFrame:
-        write_batch(df, f"{root}/{name}", force=True)
+        write_batch(df, f"{root}/{name}", size, force=True)
         append_status(spark, ledger_path, _status(spark, todo, name, "running", size, name))
         return stage(name)
 
@@ -112,5 +111,5 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
     hybrid = land("hybrid", score_hybrid(join_rules_ml(ruled, predicted.drop("batch_id")), "k"))
     land("aggregates", minute_aggregates_hybrid(hybrid, extra_keys=extra))
     append_status(spark, ledger_path, _status(spark, todo, "complete", "done", size, "complete"))
-    tables = {name: spark.read.parquet(f"{root}/{name}") for name in STAGES}
+    tables = {name: read_batches(spark, f"{root}/{name}", size) for name in STAGES}
     return {**tables, "ledger": ledger_latest(spark.read.parquet(ledger_path))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 # Columns of the comment lake.
 LAKE_COLUMNS = (
@@ -46,8 +46,8 @@ def read_comments_csv(
     """Comment lake CSV: header, quoted fields over several lines, every column a string.
 
     ``escape`` is '"' for files written by CSV libraries and '\\' for files written by Spark.
-    A multi-line file is one task however large it is; lakes kept as many files, or without line
-    breaks in fields (``multi_line=False``), split freely.
+    A multi-line file is one task however large it is: ``read_split_csv`` splits it. Lakes without line
+    breaks in fields (``multi_line=False``) split freely.
     """
     return (
         spark.read.schema(schema)
@@ -60,6 +60,42 @@ def read_comments_csv(
     )
 
 
+def csv_records(spark: SparkSession, path: str, escape: str = '"') -> DataFrame:
+    """Records of CSV files whose quoted fields may hold line breaks, from any number of tasks a file: column ``record``, no headers.
+
+    A line starts a record if the quotes before it in its file are even. Lines are read in splits; each split counts
+    its quotes, the parity at its start is a prefix sum over the few splits of a file, and the parity of a line one over the lines
+    of its split. Records inside a split are put together there; only the lines of records that cross a split's border move on.
+    """
+    value = F.col("value") if escape == '"' else F.regexp_replace("value", r"\\.", "")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))).alias("quotes"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())  # the order of lines within a split
+    splits = lines.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("odd"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("odd_before", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    order = Window.partitionBy("file", "block").orderBy("at")
+    placed = lines.join(splits, ["file", "block"]).withColumn(
+        "starts", ((F.col("odd_before") + F.coalesce(F.sum("quotes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2 == 0))
+    placed = placed.withColumn("place", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("crosses", (F.col("place") == 0) | (((F.col("odd_before") + F.col("odd")) % 2 == 1) & (F.col("place") == F.max("place").over(Window.partitionBy("file", "block")))))
+    is_first = (F.col("block") == 0) & (F.col("place") == 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("record")
+    inside = placed.where("not crosses").groupBy("file", "block", "place").agg(text, F.bool_or(is_first).alias("header"))
+    over = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, 0)
+    border = placed.where("crosses").withColumn("number", F.sum(F.col("starts").cast("int")).over(over))
+    border = border.groupBy("file", "number").agg(text, F.bool_or(is_first).alias("header"))
+    every = inside.select("record", "header").union(border.select("record", "header"))
+    return every.where("not header").select(F.rtrim("record", F.lit("\r")).alias("record")).where("record <> ''")
+
+
+def read_split_csv(spark: SparkSession, path: str, schema: T.StructType = LAKE_SCHEMA, escape: str = '"') -> DataFrame:
+    """As ``read_comments_csv`` of multi-line files, with large files split among tasks. Parsing is left to ``from_csv``."""
+    options = {"quote": '"', "escape": escape, "multiLine": "true"}
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return csv_records(spark, path, escape).select(F.from_csv("record", kinds, options).alias("r")).select("r.*")
+
+
 def read_stage(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

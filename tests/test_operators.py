@@ -1,6 +1,7 @@
 """Operators: numbering, dedup, batches, hybrid boundaries, metrics."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -169,3 +170,62 @@ def test_comparison_with_a_part_equals_that_of_two_runs(spark, sf):
     early = F.col("video_offset_msec").try_cast("long") < 40000
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(A.compare_flags_with_part(every, early)) == rows(A.compare_flag_runs(every, every.where(early)))
+
+
+@pytest.mark.parametrize("escape", ['"', "\\"])
+def test_split_csv_gives_the_records_of_the_multi_line_reader(spark, tmp_path, escape):
+    """Quotes, escapes, commas, blank lines and line breaks inside fields, over splits of a few hundred bytes."""
+    rnd = random.Random(7)
+    field = lambda: rnd.choice([None, "", "plain", 'say "hi"', "a,b", "two\nlines", '"\n\n"', "back\\slash", 'end"', "x" * 900, "é\nñ\r\nz", "\n" * 40])
+    rows = [(str(i), field(), field()) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for part in range(2):
+        df.where(F.col("a").cast("int") % 2 == part).coalesce(1).write.mode("append").option("header", True).option("escape", escape).csv(str(tmp_path / "lake"))
+    schema = files.string_schema(["a", "b", "c"])
+    key = lambda r: (int(r[0]), *r[1:])
+    want = sorted(map(tuple, files.read_comments_csv(spark, str(tmp_path / "lake"), schema, escape).collect()), key=key)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "5000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.read_split_csv(spark, str(tmp_path / "lake"), schema, escape)
+            assert sorted(map(tuple, got.collect()), key=key) == want and len(want) == 400
+            if size == "5000":
+                lines = spark.read.text(str(tmp_path / "lake"))
+                assert lines.rdd.getNumPartitions() >= 4 or lines.select("_metadata.file_block_start").distinct().count() >= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_heavy_hitters_are_exact(spark):
+    from murmullo.operators.corpus import heavy_hitters
+
+    rnd = random.Random(9)
+    values = [f"w{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(20_000)] + [None] * 10
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(4)
+    counts = {}
+    for v in values:
+        if v is not None:
+            counts[v] = counts.get(v, 0) + 1
+    for k in (1, 20, 300, 10_000):
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+        for buckets in (16, 1 << 16):
+            assert [tuple(r) for r in heavy_hitters(df, k, buckets=buckets).collect()] == want
+    flat = spark.range(3000).select(F.col("id").cast("string").alias("value"))  # all alike: every bucket is counted
+    assert [tuple(r) for r in heavy_hitters(flat, 3).collect()] == [("0", 1), ("1", 1), ("10", 1)]
+    assert heavy_hitters(flat.where("false"), 3).count() == 0
+
+
+def test_a_thousand_batches_lie_in_few_folders(spark, tmp_path):
+    rows = B.assign_batch(spark.range(1, 10_001).select(F.col("id").alias("row_number"), F.lit(1).alias("version")), 10).select("row_number", "batch_id", "version")
+    path = str(tmp_path / "t")
+    B.write_batch(rows, path, 10)
+    assert len(list((tmp_path / "t").glob("batch_group=*"))) == 16
+    some = rows.where("row_number > 495 and row_number <= 520").withColumn("version", F.lit(2))
+    B.write_batch(some, path, 10)  # known batches are left alone
+    assert B.read_batches(spark, path, 10).where("version = 2").count() == 0
+    B.write_batch(some.where("row_number > 500"), path, 10, force=True)
+    back = B.read_batches(spark, path, 10)
+    assert back.count() == 10_000 and sorted(r.row_number for r in back.where("version = 2").collect()) == list(range(501, 521))
+    ids = rows.where("row_number in (7, 9999)").select("batch_id")
+    assert B.read_batches(spark, path, 10, ids).count() == 20
