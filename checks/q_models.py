@@ -4,6 +4,8 @@ the tables around them (K01-K03, K05, K10, F11-F15) have SQL."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -62,10 +64,8 @@ def k07(spark, sf):
 
 @query("k08_evaluate")
 def k08(spark, sf):
-    scored = training.apply_models(_test(spark, sf), _models(spark, sf))
     parts = None
-    for name, (label, _, labels) in training.HEADS.items():
-        report = training.evaluate(scored, label, name, labels)
+    for name, report in training.evaluate_heads(training.apply_models(_test(spark, sf), _models(spark, sf))).items():
         row = report["weighted"].withColumn("model", F.lit(name)).join(report["macro"].withColumn("model", F.lit(name)), "model")
         parts = row if parts is None else parts.unionByName(row)
     return parts
@@ -73,8 +73,10 @@ def k08(spark, sf):
 
 @query("k09_ngram_baseline")
 def k09(spark, sf):
-    models = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]))
-    return training.apply_ngram_models(_test(spark, sf), models).select("comment_id", *_PREDICTION)
+    key = (spark.sparkContext.applicationId, sf, "ngram")
+    if key not in _FITTED:
+        _FITTED[key] = training.fit_ngram_models(prepare_corpus(tables.splits(spark, sf)["train"]))
+    return training.apply_ngram_models(_test(spark, sf), _FITTED[key]).select("comment_id", *_PREDICTION)
 
 
 @query("k11_infer_lake")
@@ -122,6 +124,51 @@ def _consistent(binary_probability=None):
     return p.isin(0, 1) & m.isin(0, 1, 2, 3) & names & bounds & F.col("pred_multiclass_sparkml_label").isNotNull() & F.col("confidence_binary_bucket").isNotNull()
 
 
+_TEST_ROWS = "SELECT comment_id, true AS consistent FROM corpus WHERE split = 'test' AND trim(comment) <> ''"
+
+
+@query("k04_text_checked", S.chain(S.CORPUS, final=_TEST_ROWS))
+def k04_checked(spark, sf):
+    """One row a document, and the confidence is the probability of the predicted class, which is the largest."""
+    train = training.attach_class_weight(prepare_corpus(tables.splits(spark, sf)["train"]), "label_binary", "weight_binary")
+    found = training.build_pipeline("label_binary", "weight_binary", training.BINARY, max_iter=5).fit(train).transform(_test(spark, sf))
+    chances = vector_to_array(F.col(f"{training.BINARY}_probability"))
+    at = F.get(chances, F.col(training.BINARY).cast("int"))
+    ok = (at == F.array_max(chances)) & (F.abs(F.get(chances, F.lit(0)) + F.get(chances, F.lit(1)) - 1) < 1e-9)
+    return found.select("comment_id", ok.alias("consistent"))
+
+
+@query("k06_fit_checked", S.chain(S.CORPUS, final="""
+SELECT 'binary' AS head, CASE WHEN label IN (0, 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, count(*) AS rows FROM corpus WHERE split = 'test' AND trim(comment) <> '' GROUP BY ALL
+UNION ALL SELECT 'multiclass', CAST(label AS DOUBLE), count(*) FROM corpus WHERE split = 'test' AND trim(comment) <> '' GROUP BY ALL"""))
+def k06_checked(spark, sf):
+    """The cells of both fitted models add up per label."""
+    scored = training.apply_models(_test(spark, sf), _models(spark, sf))
+    cells = scored.groupBy("label_binary", training.BINARY, "label_original", training.MULTI).agg(F.count(F.lit(1)).alias("n"))
+    binary = cells.where(F.col(training.BINARY).isin(0, 1)).groupBy("label_binary").agg(F.sum("n").alias("rows"))
+    multi = cells.where(F.col(training.MULTI).isin(0, 1, 2, 3)).groupBy("label_original").agg(F.sum("n").alias("rows"))
+    return binary.select(F.lit("binary").alias("head"), F.col("label_binary").alias("label"), "rows").union(multi.select(F.lit("multiclass"), "label_original", "rows"))
+
+
+@query("k07_two_pipelines_checked", S.chain(S.CORPUS, final=_TEST_ROWS))
+def k07_pipelines(spark, sf):
+    """Two separately trained pipelines, saved and loaded, applied one after the other: each gives what it gives alone."""
+    train, path, test, alone = prepare_corpus(tables.splits(spark, sf)["train"]), scratch_path(spark, "pipelines"), _test(spark, sf), {}
+    for name, (label, weight, _) in training.HEADS.items():
+        weighted = training.attach_class_weight(train, label, weight)
+        training.build_pipeline(label, weight, name, max_iter=5).fit(weighted).write().save(f"{path}/{name}")
+        alone[name] = PipelineModel.load(f"{path}/{name}").transform(test).select("comment_id", F.col(name).cast("int").alias(f"alone_{name}"))
+    both = training.apply_pipelines(test, *[PipelineModel.load(f"{path}/{name}") for name in (training.BINARY, training.MULTI)])
+    same = both.join(alone[training.BINARY], "comment_id").join(alone[training.MULTI], "comment_id")
+    equal = (F.col(training.BINARY) == F.col(f"alone_{training.BINARY}")) & (F.col(training.MULTI) == F.col(f"alone_{training.MULTI}"))
+    return same.select("comment_id", (_consistent() & equal).alias("consistent"))
+
+
+@query("k09_ngram_checked", S.chain(S.CORPUS, final=_TEST_ROWS))
+def k09_checked(spark, sf):
+    return k09(spark, sf).select("comment_id", _consistent().alias("consistent"))
+
+
 @query("k07_apply_checked", S.chain(S.CORPUS, final="SELECT comment_id, true AS consistent FROM corpus"))
 def k07_checked(spark, sf):
     return k07(spark, sf).select("comment_id", _consistent().alias("consistent"))
@@ -147,9 +194,8 @@ SELECT 'pred_binary_sparkml' AS model, count(*) AS rows, 0::BIGINT AS wrong FROM
 UNION ALL SELECT 'pred_multiclass_sparkml', count(*), 0 FROM corpus WHERE split = 'test'"""))
 def k08_checked(spark, sf):
     """Cells add up to the rows of every label, and accuracy is the weighted recall."""
-    scored, parts = training.apply_models(_test(spark, sf), _models(spark, sf)), None
-    for name, (label, _, labels) in training.HEADS.items():
-        report = training.evaluate(scored, label, name, labels)
+    parts = None
+    for name, report in training.evaluate_heads(training.apply_models(_test(spark, sf), _models(spark, sf))).items():
         cells = report["confusion"].agg(F.sum("count").alias("rows"))
         off = report["weighted"].agg(F.count_if(F.abs(F.col("accuracy") - F.col("weighted_recall")) > 1e-9).alias("wrong"))
         row = cells.select(F.lit(name).alias("model"), "rows", off.scalar().alias("wrong"))

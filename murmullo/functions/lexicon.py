@@ -23,55 +23,55 @@ CATEGORIES = (
 
 # Terms every whole-term profile uses.
 CORE_TERMS = {
-    "terruqueo": """terruco, terruqueo, senderista, rojo, comunista, terruca, terrucos,
-        sendero luminoso, movadef, caviares""",
-    "fraude": """fraude, robo, fraudulento, fraudulenta, robaron votos, robo electoral, actas falsas,
-        actas perdidas, actas duplicadas, actas impugnadas, mesas anuladas, votos inflados,
-        conteo manipulado, irregularidades, nulidad, impugnación""",
-    "electoral_institution": """onpe, jne, reniec, personero, personeros, actas, mesa, mesas, cédula,
-        padrón, votos, conteo""",
-    "political_mention": """keiko, fujimori, fuerza popular, fp, roberto sánchez, sánchez, jp,
-        juntos por el perú, castillo, perú libre, fujimorismo, antifujimorismo""",
-    "polarization": """zurdo, zurdos, caviar, vendepatria, corrupto, corruptos, dictadura, terrorista,
-        lacra, traidor, mafiosa, mafioso, golpista, facho, fascista, mafia, delincuente, criminal,
-        rata, basura, escoria""",
-    "ethnic_racial_slur": """serrano, serrana, serranos, serranas, cholo, chola, cholos, cholas, indio,
-        india, indios, indias, indígena, paisano, provinciano, bajado del cerro, llama, auquénido,
-        motoso""",
-    "homophobic_slur": """cabro, cabros, kbro, kbros, cabrón, maricón, marica, rosquete, loca""",
-    "general_insult": """csm, ctm, mierda, pendejo, pendeja, idiota, estúpido, burro, bruto, imbécil,
-        ignorante, payaso, miserable, porquería""",
+    "terruqueo": ("terruco", "terruqueo", "senderista", "rojo", "comunista", "terruca", "terrucos",
+        "sendero luminoso", "movadef", "caviares"),
+    "fraude": ("fraude", "robo", "fraudulento", "fraudulenta", "robaron votos", "robo electoral", "actas falsas",
+        "actas perdidas", "actas duplicadas", "actas impugnadas", "mesas anuladas", "votos inflados",
+        "conteo manipulado", "irregularidades", "nulidad", "impugnación"),
+    "electoral_institution": ("onpe", "jne", "reniec", "personero", "personeros", "actas", "mesa", "mesas", "cédula",
+        "padrón", "votos", "conteo"),
+    "political_mention": ("keiko", "fujimori", "fuerza popular", "fp", "roberto sánchez", "sánchez", "jp",
+        "juntos por el perú", "castillo", "perú libre", "fujimorismo", "antifujimorismo"),
+    "polarization": ("zurdo", "zurdos", "caviar", "vendepatria", "corrupto", "corruptos", "dictadura", "terrorista",
+        "lacra", "traidor", "mafiosa", "mafioso", "golpista", "facho", "fascista", "mafia", "delincuente",
+        "criminal", "rata", "basura", "escoria"),
+    "ethnic_racial_slur": ("serrano", "serrana", "serranos", "serranas", "cholo", "chola", "cholos", "cholas",
+        "indio", "india", "indios", "indias", "indígena", "paisano", "provinciano", "bajado del cerro", "llama",
+        "auquénido", "motoso"),
+    "homophobic_slur": ("cabro", "cabros", "kbro", "kbros", "cabrón", "maricón", "marica", "rosquete", "loca"),
+    "general_insult": ("csm", "ctm", "mierda", "pendejo", "pendeja", "idiota", "estúpido", "burro", "bruto",
+        "imbécil", "ignorante", "payaso", "miserable", "porquería"),
 }
 
 # Further terms of the full batch and single-machine profiles.
 FURTHER_TERMS = {
-    "terruqueo": """terrucada, terruquear, terruquean, senderistas, sendero, emerretista, mrta, roja,
-        rojos, comunistas, comunacho, comunachos""",
-    "fraude": """fraudearon, anular mesas, votos perdidos, conteo lento, trampa electoral""",
-    "electoral_institution": """boca de urna, flash electoral""",
-    "political_mention": """reniec, vizcarra, pedro castillo, lápiz, lapicito, cerrón, dina, boluarte,
-        ppk, acuña, césar acuña, app, apra, aprista, lópez aliaga, rafael lópez aliaga, rla, porky,
-        renovación popular, avanza país, antauro, humala""",
-    "polarization": """odio, zurda, izquierdista, izquierdistas, derecha bruta, dba, facha, fachos,
-        fascistas, vendepatrias, corrupta, corruptas, dictador, terroristas, lacras, traidora,
-        traidores, delincuentes, criminales, ratas""",
-    "ethnic_racial_slur": """serranazo, serranaza, serranear, cholada, cholear, paisana, provinciana,
-        ignorante de la sierra, llamas, mote""",
-    "homophobic_slur": """kbraso, kbrón, cabra, cabrita, rosquetes""",
-    "general_insult": """pendejos, pendejas, vago, vaga, payasa, asqueroso, asquerosa""",
+    "terruqueo": ("terrucada", "terruquear", "terruquean", "senderistas", "sendero", "emerretista", "mrta", "roja",
+        "rojos", "comunistas", "comunacho", "comunachos"),
+    "fraude": ("fraudearon", "anular mesas", "votos perdidos", "conteo lento", "trampa electoral"),
+    "electoral_institution": ("boca de urna", "flash electoral"),
+    "political_mention": ("reniec", "vizcarra", "pedro castillo", "lápiz", "lapicito", "cerrón", "dina", "boluarte",
+        "ppk", "acuña", "césar acuña", "app", "apra", "aprista", "lópez aliaga", "rafael lópez aliaga", "rla",
+        "porky", "renovación popular", "avanza país", "antauro", "humala"),
+    "polarization": ("odio", "zurda", "izquierdista", "izquierdistas", "derecha bruta", "dba", "facha", "fachos",
+        "fascistas", "vendepatrias", "corrupta", "corruptas", "dictador", "terroristas", "lacras", "traidora",
+        "traidores", "delincuentes", "criminales", "ratas"),
+    "ethnic_racial_slur": ("serranazo", "serranaza", "serranear", "cholada", "cholear", "paisana", "provinciana",
+        "ignorante de la sierra", "llamas", "mote"),
+    "homophobic_slur": ("kbraso", "kbrón", "cabra", "cabrita", "rosquetes"),
+    "general_insult": ("pendejos", "pendejas", "vago", "vaga", "payasa", "asqueroso", "asquerosa"),
 }
 
 # Substrings of the streaming profile, accents significant.
 STREAM_TERMS = {
-    "terruqueo": """terruco, terruqueo, senderista, rojo, comunista, movadef, mrta""",
-    "fraude": """fraude, robo, actas falsas, actas impugnadas, irregularidades""",
-    "electoral_institution": """onpe, jne, actas, mesa, personeros, votos, conteo""",
-    "political_mention": """keiko, fujimori, fp, jp, juntos por el peru, juntos por el perú, castillo,
-        peru libre, perú libre, antauro, porky, rla""",
-    "polarization": """zurdo, caviar, corrupto, terrorista, lacra, rata, traidor, mafia""",
-    "ethnic_racial_slur": """cholo, serrano, paisano, indio, llama""",
-    "homophobic_slur": """kbro, kbros, cabro, rosquete, maricon, maricón""",
-    "general_insult": """mierda, csm, ctm, burro, ignorante, rata, lacra""",
+    "terruqueo": ("terruco", "terruqueo", "senderista", "rojo", "comunista", "movadef", "mrta"),
+    "fraude": ("fraude", "robo", "actas falsas", "actas impugnadas", "irregularidades"),
+    "electoral_institution": ("onpe", "jne", "actas", "mesa", "personeros", "votos", "conteo"),
+    "political_mention": ("keiko", "fujimori", "fp", "jp", "juntos por el peru", "juntos por el perú", "castillo",
+        "peru libre", "perú libre", "antauro", "porky", "rla"),
+    "polarization": ("zurdo", "caviar", "corrupto", "terrorista", "lacra", "rata", "traidor", "mafia"),
+    "ethnic_racial_slur": ("cholo", "serrano", "paisano", "indio", "llama"),
+    "homophobic_slur": ("kbro", "kbros", "cabro", "rosquete", "maricon", "maricón"),
+    "general_insult": ("mierda", "csm", "ctm", "burro", "ignorante", "rata", "lacra"),
 }
 
 # Shortcode that marks a stream message as noise.
@@ -80,10 +80,6 @@ NOISE_SHORTCODE = ":orange_heart:"
 _FOLDING = str.maketrans(ACCENTED, FOLDED)
 
 
-def parse_terms(text: str) -> tuple[str, ...]:
-    return tuple(" ".join(term.lower().split()) for term in text.split(","))
-
-
 def fold_term(term: str) -> str:
     """Spelling of a term in normalised text: lower case, accents folded, single blanks."""
     plain = term.lower().translate(_FOLDING)
@@ -111,10 +107,6 @@ def merge(*parts: Mapping[str, Iterable[str]]) -> dict[str, tuple[str, ...]]:
     return {category: tuple(terms) for category, terms in merged.items()}
 
 
-def _parsed(lists: Mapping[str, str]) -> dict[str, tuple[str, ...]]:
-    return {category: parse_terms(text) for category, text in lists.items()}
-
-
 @dataclass(frozen=True)
 class RuleProfile:
     """How one variant of the rule engine reads a message.
@@ -150,14 +142,14 @@ class RuleProfile:
         return replace(self, short_limit=limit)
 
 
-_CORE = _parsed(CORE_TERMS)
-_FULL = merge(_CORE, _parsed(FURTHER_TERMS))
+_CORE = merge(CORE_TERMS)
+_FULL = merge(CORE_TERMS, FURTHER_TERMS)
 
 PROFILES = {
     "v1": RuleProfile("v1", _FULL, text="message", squeeze="vowels"),
     "k": RuleProfile("k", _CORE, text="clean_first", squeeze=None, noise="short", noise_penalty=False),
     "s": RuleProfile(
-        "s", _parsed(STREAM_TERMS), text="clean_non_empty", squeeze="stream", match="substring",
+        "s", merge(STREAM_TERMS), text="clean_non_empty", squeeze="stream", match="substring",
         implied_polarization=False, noise="stream", noise_penalty=False, insult_weight=1,
     ),
     "l": RuleProfile("l", _FULL, text="message", squeeze="any", noise="unicode"),

@@ -6,10 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from murmullo.functions.text import clean_text_unicode, text_or_empty
 
-# Emoji blocks and laughter runs.
+# Emoji blocks, laughter runs and repetition patterns.
 EMOJI_CLASS = "[\U0001F300-\U0001FAFF\u2600-\u27BF]"
 LAUGHTER = r"(?i)((ja){5,}|(jaja){3,}|(xd){4,})"
 LAUGHTER_WITH_Z = r"(?i)((ja){5,}|(jaja){3,}|(xd){4,}|(zzz){3,})"
+REPEATED_CHARACTER = r"(.)\1{5,}"
+REPEATED_WORD = r"\b(\w+)(?:\s+\1){2,}\b"
 
 
 def is_symbol_only(raw: Column) -> Column:
@@ -38,8 +40,8 @@ def has_repetition(raw: Column, normalized: Column) -> Column:
     tokens = F.split(normalized, " ")
     return (
         # the text is lower case already; Java's case-blind back-reference fails on emoji
-        clean_text_unicode(raw).rlike(r"(.)\1{5,}")
-        | normalized.rlike(r"\b(\w+)(?:\s+\1){2,}\b")
+        clean_text_unicode(raw).rlike(REPEATED_CHARACTER)
+        | normalized.rlike(REPEATED_WORD)
         | ((F.size(tokens) >= 4) & (F.size(F.array_distinct(tokens)) == 1))
     )
 

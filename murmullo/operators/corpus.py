@@ -12,7 +12,7 @@ from murmullo.operators.joins import _strict
 from murmullo.session import materialize
 from murmullo.operators.rules import compute_once
 
-# Neutral label and names of the alternative binary mapping; fallback stop words.
+# Neutral label and names of the alternative binary mapping, fallback stop words, and the columns ``prepare_corpus`` makes.
 NEUTRAL_LABEL = 2
 ALTERNATIVE_NAMES = ("no_ofensivo", "ofensivo_o_toxico")
 FALLBACK_STOP_WORDS = (

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def confusion(df: DataFrame, label: str, prediction: str, labels: Sequence[int]) -> DataFrame:
+def confusion(df: DataFrame, label: str, prediction: str, labels: Sequence[int], weight: str | None = None) -> DataFrame:
     """(label, prediction, count) with a row for every pair, zero cells included.
 
-    The counts come from one pass with one conditional count per cell.
+    The counts come from one pass with one conditional count per cell; a row stands for ``weight`` rows if that is given.
     """
+    def rows_if(condition: Column) -> Column:
+        return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long"))
+
     cells = [(a, p) for a in labels for p in labels]
     counted = df.agg(
-        *[F.count_if((F.col(label) == a) & (F.col(prediction) == p)).alias(f"{a}_{p}") for a, p in cells]
+        *[rows_if((F.col(label) == a) & (F.col(prediction) == p)).alias(f"{a}_{p}") for a, p in cells]
     )
     rows = F.array(
         *[

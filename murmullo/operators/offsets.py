@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from murmullo.operators.ingest import number_rows
-
 PARTITION_KEYS = ("kafka_topic", "kafka_partition")
 
 
@@ -82,16 +80,9 @@ def normalised_progress(offsets: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def rates(snapshots: DataFrame) -> DataFrame:
-    """Messages per second between consecutive snapshots (topic, ts, total) of each topic.
-
-    Neighbours are found by an equality join on (topic, position), so a topic with a long history
-    is not one task.
-    """
-    numbered = number_rows(snapshots.select("kafka_topic", "ts", "total"), ["ts"], within=["kafka_topic"], name="_i")
-    before = numbered.select(
-        "kafka_topic", (F.col("_i") + 1).alias("_i"), F.col("ts").alias("_ts"), F.col("total").alias("_total")
-    )
-    grown = F.greatest(F.col("total") - F.col("_total"), F.lit(0))
-    elapsed = (F.unix_micros("ts") - F.unix_micros("_ts")) / 1e6
+    """Messages per second between consecutive snapshots (topic, ts, total) of each topic; 0 for the first."""
+    order = Window.partitionBy("kafka_topic").orderBy("ts")
+    grown = F.greatest(F.col("total") - F.lag("total").over(order), F.lit(0))
+    elapsed = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / 1e6
     rate = F.when(elapsed > 0, F.round(grown / elapsed, 3)).otherwise(0.0)
-    return numbered.join(before, ["kafka_topic", "_i"], "left").select("kafka_topic", "ts", "total", rate.alias("rate"))
+    return snapshots.select("kafka_topic", "ts", "total", rate.alias("rate"))

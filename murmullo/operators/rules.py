@@ -325,7 +325,7 @@ def matched_terms(df: DataFrame, rules: str | RuleProfile = "l", key: str = "eve
 
 # --- alerts -------------------------------------------------------------------------------------
 
-# Alert types and severity bounds.
+# Severity bounds; below, the alert types named in ``alert_type`` and the columns of ``alerts``.
 HIGH_SCORE = 4
 SEVERE_SCORE = 5
 
