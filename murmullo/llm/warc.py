@@ -191,7 +191,8 @@ def read(files: DataFrame) -> DataFrame:
                 for at in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[at:at + 10_000], schema=RUN_SCHEMA)
 
-    return files.repartition("path").mapInArrow(get, RUN_COLUMNS)
+    # a number keeps Spark from merging the few bytes of all paths into one task
+    return files.repartition(max(1, files.count()), "path").mapInArrow(get, RUN_COLUMNS)
 
 
 class LoserTree:
