@@ -42,7 +42,7 @@ RUN_BYTES = 2 << 20
 GROUP = 64  # groups up to this size give all candidates at once
 MOST, SURE = 16, 4
 BLOCK_ENTRIES = 500_000  # entries of a word from which its group is split
-_W = np.random.default_rng(20).integers(0, 2**63, 4096, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +61,7 @@ class Lines:
         """parts: (doc, number of the first line, text); levels: rarity of each bucket, the order without it is by hash."""
         raw, starts, size, words = self._hashed(parts)
         breaks = np.flatnonzero(raw == 10)
-        line = np.searchsorted(breaks, starts)  # number among all lines
+        line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))  # number among all lines
         order = self._order(words, line, size, levels)
         words, line = words[order], line[order]
         once = np.ones(len(words), bool)
@@ -78,20 +78,24 @@ class Lines:
 
     @staticmethod
     def _hashed(parts):
-        """The bytes of all parts, and start, length and hash of every word."""
-        raw = np.frombuffer(b"\n".join(p[2] for p in parts) + b"\n", np.uint8)
+        """The bytes of all parts, and start, length and hash of every word.
+
+        Words are read in pieces of eight bytes, the last filled with zeros; a piece is mixed with its number.
+        """
+        data = b"\n".join(p[2] for p in parts) + b"\n" + bytes(8)
+        raw = np.frombuffer(data, np.uint8)[:-8]
         space = _SPACE[raw]
-        starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-        ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-        size = ends - starts
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if len(starts) and starts[0] == 0 else None
-        if place is None:
-            lead = starts[0] if len(starts) else len(raw)
-            place = np.concatenate((np.zeros(lead, np.int64), np.arange(lead, len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))))
-        # places beyond the table of weights start over with another factor, so long words differ too
-        weight = _W[place & 4095] * (np.uint64(2) * (place >> 12).astype(np.uint64) + np.uint64(1))
-        value = np.where(space, np.uint64(0), (raw.astype(np.uint64) + np.uint64(1)) * weight)
-        words = _mix(np.add.reduceat(value, starts) + size.astype(np.uint64) * _K) if len(starts) else np.empty(0, np.uint64)
+        edges = np.flatnonzero(np.diff(space, prepend=True))  # a word begins, it ends, and so on; the last byte is a space
+        starts, size = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            return raw, starts, size, np.empty(0, np.uint64)
+        eights = np.ndarray((len(raw),), "<u8", data, strides=(1,))
+        pieces = (size + 7) >> 3
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(first[-1] + pieces[-1]) - np.repeat(first, pieces)
+        held = eights[np.repeat(starts, pieces) + 8 * number] & _FILLED[np.minimum(np.repeat(size, pieces) - 8 * number, 8)]
+        mixed = _mix(held ^ (number.astype(np.uint64) + np.uint64(1)) * _K)
+        words = _mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _K)
         return raw, starts, size, words
 
     @staticmethod

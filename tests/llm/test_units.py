@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from murmullo.llm import crf, descent, graph, packing, pieces, secrets, simhash, warc
+from murmullo.llm import crf, descent, graph, lines, packing, pieces, secrets, simhash, warc
 
 from . import brute
 
@@ -264,3 +264,12 @@ def test_descent_says_when_the_audit_fails(spark, monkeypatch):
         descent.near_duplicates(df)
     with pytest.warns(UserWarning, match="not measured"):
         descent.near_duplicates(df.where("vec_id = 1"))
+
+
+def test_words_of_any_length_differ_by_every_byte():
+    texts = [b"x" * n for n in (1, 7, 8, 9, 16, 17, 4097)]
+    texts += [b"x" * k + b"y" + b"x" * (40 - k) for k in range(41)] + [b"\0", b"\0\0", "ÄÖ漢".encode()]
+    raw, starts, size, words = lines.Lines._hashed([(0, 0, b" ".join(texts)), (1, 0, b"\t\n " + b"  ".join(texts) + b" ")])
+    assert size.tolist() == 2 * [len(t) for t in texts]
+    assert words[:len(texts)].tolist() == words[len(texts):].tolist() and len(set(words.tolist())) == len(texts)
+    assert not len(lines.Lines._hashed([(0, 0, b" \n ")])[3])
