@@ -41,6 +41,7 @@ SEEN_BITS = 24
 RUN_BYTES = 2 << 20
 GROUP = 64  # groups up to this size give all candidates at once
 MOST, SURE = 16, 4
+RUN_ENTRIES = 200_000  # entries packed at once
 BLOCK_ENTRIES = 500_000  # entries of a word from which its group is split
 _FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 _SPACE = np.zeros(256, bool)
@@ -228,21 +229,42 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, wa
     return documents.select("id", "text").mapInArrow(run, SET)
 
 
-ENTRY = "key long, doc long, at long, n int, s0 long, s1 long"
+ENTRY = np.dtype([("key", "<i8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i4"), ("s0", "<i8"), ("s1", "<i8")])
+PACK = "pack int, entries binary"
+
+
+def _packs(entries: np.ndarray, n: int) -> pa.RecordBatch:
+    """Entries as one row per pack, that is per remainder of their key: a shuffle of few long rows costs less than one of many short."""
+    pack = (entries["key"].view(np.uint64) % np.uint64(n)).astype(np.int32)
+    order = np.argsort(pack, kind="stable")
+    first = np.flatnonzero(np.diff(pack[order], prepend=-1))
+    ends = pa.array(np.append(first, len(order)) * ENTRY.itemsize, pa.int32())
+    held = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer(entries[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(pack[order][first]), held], ["pack", "entries"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    """Columns of all entries of a partition, or None without any."""
+    raw = b"".join(x.as_buffer() for b in batches for x in b.column("entries"))
+    entries = np.frombuffer(raw, ENTRY)
+    return {c: np.ascontiguousarray(entries[c]) for c in ENTRY.names} if len(entries) else None
 
 
 def _entries(sets: DataFrame, counts: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
-    """An entry for each prefix word of each class: key, first place (doc; line and place of the word in at), n, s0, s1.
+    """Packs of an entry for each prefix word of each class: key, first place (doc; line and place of the word in at), n, s0, s1.
 
     A word counted more than BLOCK_ENTRIES times has a key for each pair of blocks of lines. Copies, found
     here or before, are entries with n = 0 and the place of the earlier line in s0 and s1.
     """
     splits = np.maximum(1, -(-counts // BLOCK_ENTRIES)).astype(np.int64)
     held = sets.sparkSession.sparkContext.broadcast((splits if splits.max() > 1 else None, wanted))  # fixed size
+    packs = 16 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def out(key, doc, line, spot, n, s0, s1):
-        at = line.astype(np.int64) << 32 | spot
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, at)] + [pa.array(n, pa.int32()), pa.array(s0), pa.array(s1)], ["key", "doc", "at", "n", "s0", "s1"])
+        entries = np.empty(len(key), ENTRY)
+        for c, x in zip(ENTRY.names, (key, doc, line.astype(np.int64) << 32 | spot, n, s0, s1)):
+            entries[c] = x
+        return _packs(entries, packs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _gathered(batches)
@@ -264,8 +286,8 @@ def _entries(sets: DataFrame, counts: np.ndarray, wanted: np.ndarray | None = No
             yield out(spread, doc[c], line[c], np.zeros(len(c), np.int64), np.zeros(len(c), np.int32), doc[to], line[to].astype(np.int64))
         own = order[first == order]
         splits, wanted = held.value
-        for at in range(0, len(own), 20_000):
-            o = own[at:at + 20_000]
+        total = np.cumsum(ends[own + 1] - ends[own])
+        for o in np.split(own, np.flatnonzero(np.diff(total // RUN_ENTRIES)) + 1):
             length = ends[o + 1] - ends[o]
             row = np.repeat(o, length)
             spot = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
@@ -283,7 +305,7 @@ def _entries(sets: DataFrame, counts: np.ndarray, wanted: np.ndarray | None = No
                 word = np.where(many > 1, _mix(word.view(np.uint64) + (pair + np.uint64(1)) * _K).view(np.int64), word)
             yield out(word, doc[row], line[row], spot, n[row], s0[row], s1[row])
 
-    return sets.repartition("cls").mapInArrow(run, ENTRY)
+    return sets.repartition("cls").mapInArrow(run, PACK)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]):
@@ -380,10 +402,9 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
                 yield emit(a, left, right, np.where(more[right - base], MORE, CANDIDATE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _gathered(batches)
-        if table is None:
+        a = _unpacked(batches)
+        if a is None:
             return
-        a = {c: table.column(c).to_numpy() for c in ("key", "doc", "at", "n", "s0", "s1")}
         done = a["n"] == 0
         if done.any():
             line, to_line = (a["at"][done] >> 32).astype(np.int32), a["s1"][done].astype(np.int32)
@@ -408,7 +429,7 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
         for k in np.flatnonzero(sizes > GROUP).tolist():
             yield from large(a, int(first[k]), int(first[k] + sizes[k]))
 
-    return entries.repartition("key").mapInArrow(run, PAIR)
+    return entries.repartition("pack").mapInArrow(run, PAIR)
 
 
 def _spot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
