@@ -90,12 +90,15 @@ class Lines:
         if not len(starts):
             return raw, starts, size, np.empty(0, np.uint64)
         eights = np.ndarray((len(raw),), "<u8", data, strides=(1,))
-        pieces = (size + 7) >> 3
-        first = np.cumsum(pieces) - pieces
-        number = np.arange(first[-1] + pieces[-1]) - np.repeat(first, pieces)
-        held = eights[np.repeat(starts, pieces) + 8 * number] & _FILLED[np.minimum(np.repeat(size, pieces) - 8 * number, 8)]
-        mixed = _mix(held ^ (number.astype(np.uint64) + np.uint64(1)) * _K)
-        words = _mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _K)
+        words = _mix((eights[starts] & _FILLED[np.minimum(size, 8)]) ^ _K)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) >> 3  # pieces after the first
+            first = np.cumsum(more) - more
+            number = np.arange(1, first[-1] + more[-1] + 1) - np.repeat(first, more)
+            held = eights[np.repeat(starts[long], more) + 8 * number] & _FILLED[np.minimum(np.repeat(size[long], more) - 8 * number, 8)]
+            words[long] += np.add.reduceat(_mix(held ^ (number.astype(np.uint64) + np.uint64(1)) * _K), first)
+        words = _mix(words + size.astype(np.uint64) * _K)
         return raw, starts, size, words
 
     @staticmethod
