@@ -57,11 +57,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Lines:
     """Word sets of the lines of some texts: for each line with a word its doc (index), line number and words."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], levels: np.ndarray | None = None):
-        """parts: (doc, number of the first line, text); levels: rarity of each bucket, the order without it is by hash."""
+    def __init__(self, parts: list[tuple[int, int, bytes]], levels: np.ndarray | None = None, wanted: np.ndarray | None = None):
+        """parts: (doc, number of the first line, text); levels: rarity of each bucket, the order without it is by hash;
+        wanted: flags of buckets, lines without a word in one of them are left out."""
         raw, starts, size, words = self._hashed(parts)
         breaks = np.flatnonzero(raw == 10)
         line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))  # number among all lines
+        if wanted is not None:
+            held = np.zeros(len(breaks), bool)
+            held[line[wanted[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]]] = True
+            held = held[line]
+            words, line, size = words[held], line[held], size[held]
         order = self._order(words, line, size, levels)
         words, line = words[order], line[order]
         once = np.ones(len(words), bool)
@@ -118,14 +124,18 @@ class Lines:
     def chosen(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.sizes >= least)
 
+    def prefixes(self, percent: int) -> np.ndarray:
+        """How many of the first words of each line are its keys: similar lines share one of them."""
+        return self.sizes - (percent * self.sizes + 99) // 100 + 1
 
-def parts(texts: list[str | None], ids: list) -> Iterator[list[tuple[int, int, bytes]]]:
+
+def parts(texts: list[bytes | None], ids: list) -> Iterator[list[tuple[int, int, bytes]]]:
     """Runs of about RUN_BYTES of the texts that have an id; a long text is cut between lines."""
     run, size = [], 0
-    for i, (text, doc) in enumerate(zip(texts, ids)):
-        if not text or doc is None:
+    for i, (raw, doc) in enumerate(zip(texts, ids)):
+        if not raw or doc is None:
             continue
-        raw, at, line = text.encode(), 0, 0
+        at, line = 0, 0
         while at < len(raw):
             end = len(raw)
             if end - at > RUN_BYTES:
@@ -142,13 +152,18 @@ def parts(texts: list[str | None], ids: list) -> Iterator[list[tuple[int, int, b
         yield run
 
 
+def _raw(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a batch in UTF-8, as they lie there."""
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 def rarity(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(level, count) of each of the 2^BUCKET_BITS word buckets over all words; both tables have a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            for some in parts(batch.column("text").to_pylist(), batch.column("id").to_pylist()):
+            for some in parts(_raw(batch), batch.column("id").to_pylist()):
                 words = Lines._hashed(some)[3]
                 counts += np.bincount((words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         chunks = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(-1, 1 << CHUNK_BITS)
@@ -195,12 +210,11 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, wa
         levels, wanted = held.value
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            for some in parts(batch.column("text").to_pylist(), ids):
-                x = Lines(some, levels)
+            for some in parts(_raw(batch), ids):
+                x = Lines(some, levels, wanted)
                 at = x.chosen(least)
                 if wanted is not None:  # lines with a wanted word among those that make their keys
-                    length = x.sizes - (percent * x.sizes + 99) // 100 + 1
-                    early = np.arange(len(x.words)) < np.repeat(x.first + length, x.sizes)
+                    early = np.arange(len(x.words)) < np.repeat(x.first + x.prefixes(percent), x.sizes)
                     hit = early & wanted[(x.words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                     at = at[np.logical_or.reduceat(hit, x.first)[at]] if len(x.first) else at
                 if not len(at):
@@ -216,7 +230,7 @@ def _sets(documents: DataFrame, levels: np.ndarray, percent: int, least: int, wa
                 copy = np.flatnonzero((first != order) & ((doc[first] != doc[order]) | (line[first] != line[order])))
                 own, to = order[first == order], first[copy]
                 copy = order[copy]
-                length = n[own] - (percent * n[own] + 99) // 100 + 1
+                length = x.prefixes(percent)[at][own]
                 offsets = np.concatenate(([0], np.cumsum(length)))
                 place = np.repeat(x.first[at][own] - offsets[:-1], length) + np.arange(offsets[-1])
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, np.full(len(copy), offsets[-1]))), pa.int32()), pa.array(x.words[place].astype(np.int64)))
@@ -437,42 +451,49 @@ def _in_question(pairs: DataFrame) -> np.ndarray:
     return np.unpackbits(table.ravel())
 
 
-def _words_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """doc, line and words of the lines in the pairs, and of the few others that share a bit with them."""
-    held = docs.sparkSession.sparkContext.broadcast(_in_question(pairs))  # fixed size
+def _words_of(docs: DataFrame, pairs: DataFrame, least: int, levels: np.ndarray | None = None, percent: int | None = None) -> DataFrame:
+    """doc, line and words of the lines in the pairs, and of the few others that share a bit with them; with ``percent`` only
+    the words that are their keys in the order of ``levels``."""
+    held = docs.sparkSession.sparkContext.broadcast((_in_question(pairs), levels))  # fixed size
 
     def out(x: Lines) -> pa.RecordBatch:
         at = x.chosen(least)
-        offsets = np.concatenate(([0], np.cumsum(x.sizes[at])))
-        place = np.repeat(x.first[at] - offsets[:-1], x.sizes[at]) + np.arange(offsets[-1])
+        sizes = (x.sizes if percent is None else x.prefixes(percent))[at]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.repeat(x.first[at] - offsets[:-1], sizes) + np.arange(offsets[-1])
         words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.words[place].astype(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(x.doc[at]), pa.array(x.line[at].astype(np.int32)), words], ["doc", "line", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = held.value
+        seen, levels = held.value
+        some, size = [], 0
         for batch in batches:
-            some, size = [], 0
-            for i, (text, doc) in enumerate(zip(batch.column("text").to_pylist(), batch.column("id").to_pylist())):
-                if not text or doc is None:
-                    continue
-                n = text.count("\n") + 1
-                asked = np.flatnonzero(seen[_spot(np.full(n, doc), np.arange(n))])
-                if len(asked):
-                    whole = text.encode().split(b"\n")
-                    some += [(doc, k, whole[k]) for k in asked.tolist()]
-                    size += sum(len(whole[k]) for k in asked.tolist())
-                if size >= RUN_BYTES:
-                    yield out(Lines(some))
-                    some, size = [], 0
-            if some:
-                yield out(Lines(some))
+            texts, ids = _raw(batch), batch.column("id").to_pylist()
+            known = [i for i, doc in enumerate(ids) if texts[i] and doc is not None]
+            for at in range(0, len(known), 256):
+                block = known[at:at + 256]
+                n = np.array([texts[i].count(b"\n") + 1 for i in block])
+                line = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                asked = np.flatnonzero(seen[_spot(np.repeat(np.array([ids[i] for i in block], np.int64), n), line)])
+                owner = np.repeat(np.array(block), n)[asked].tolist()
+                last, whole = None, []
+                for i, k in zip(owner, line[asked].tolist()):
+                    if i != last:
+                        last, whole = i, texts[i].split(b"\n")
+                    some.append((ids[i], k, whole[k]))
+                    size += len(whole[k])
+                    if size >= RUN_BYTES:
+                        yield out(Lines(some, levels))
+                        some, size = [], 0
+        if some:
+            yield out(Lines(some, levels))
 
     return docs.select("id", "text").mapInArrow(run, "doc long, line int, words array<long>")
 
 
-def _words_wanted(docs: DataFrame, asked: DataFrame, least: int) -> np.ndarray:
-    """A flag for each word bucket: some line asked about has a word in it. Only such words can be shared with it."""
-    words = _words_of(docs, asked, least).select(F.explode("words").alias("word"))
+def _words_wanted(docs: DataFrame, asked: DataFrame, levels: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """A flag for each word bucket: some line asked about has a key in it. Similar lines share a key, so one of these."""
+    words = _words_of(docs, asked, least, levels, percent).select(F.explode("words").alias("word"))
     bucket = F.shiftrightunsigned("word", 64 - BUCKET_BITS).alias("bucket")
     flags = np.zeros(1 << BUCKET_BITS, bool)
     for r in words.select(bucket).distinct().collect():  # at most 2^BUCKET_BITS numbers
@@ -503,7 +524,7 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, least: int = LEA
     rest = materialize(pairs.where(F.col("kind") == MORE).select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
         asked = rest.select("doc", "line", F.col("doc").alias("to_doc"), F.col("line").alias("to_line"))
-        wanted = _words_wanted(docs, asked, least)
+        wanted = _words_wanted(docs, asked, levels, percent, least)
         few = _entries(_sets(docs, levels, percent, least, wanted), counts, wanted)
         others = _candidates(few, percent, None, _in_question(asked)).where(F.col("kind") != COPY).drop("kind").distinct()
         similar = similar.union(_verified(docs, materialize(others, "candidates"), percent, least))
