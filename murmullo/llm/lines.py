@@ -445,9 +445,17 @@ def _in_question(pairs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(chunks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[k].tobytes() for k in used], pa.binary())], ["chunk", "bits"])
 
+    def unite(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in group:
+            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
+                total[k] = total.get(k, 0) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "bits"])
+
+    kinds = "chunk int, bits binary"
     table = np.zeros((1 << (SEEN_BITS - 15), 1 << 12), np.uint8)
-    for r in ends.mapInArrow(run, "chunk int, bits binary").toLocalIterator():  # at most 2^SEEN_BITS bits a task
-        table[r["chunk"]] |= np.frombuffer(r["bits"], np.uint8)
+    for r in ends.mapInArrow(run, kinds).repartition("chunk").mapInArrow(unite, kinds).collect():  # at most 2^SEEN_BITS bits
+        table[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return np.unpackbits(table.ravel())
 
 
