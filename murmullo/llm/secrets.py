@@ -79,22 +79,38 @@ def _holds(strings):
     return _any([_all([r[i:i + 3] for i in range(len(r) - 2)]) for r in raw])
 
 
-def _choices(items):
-    """Characters of a class in lower case, or None if there are many or the class is negated."""
+# Letters beyond ASCII that match an ASCII letter where case is ignored.
+PARTNERS = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
+def _letters(code: int, flags: int) -> set[str] | None:
+    """What a literal matches, ASCII letters in lower case as in the index; None for a letter beyond ASCII whose case is ignored."""
+    c = chr(code)
+    if not flags & re.IGNORECASE:
+        return {c.lower() if c.isascii() else c}
+    return {c.lower(), *PARTNERS.get(c.lower(), "")} if c.isascii() else None
+
+
+def _choices(items, flags):
+    """Characters of a class, or None if there are many, their case can't be told or the class is negated."""
     found = set()
     for kind, value in items:
         if kind is op.LITERAL:
-            found.add(chr(value).lower())
+            codes = [value]
         elif kind is op.RANGE and value[1] - value[0] < 2 * MOST_CHOICES:
-            found |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+            codes = range(value[0], value[1] + 1)
         else:
             return None
+        some = [_letters(c, flags) for c in codes]
+        if None in some:
+            return None
+        found = found.union(*some)
         if len(found) > MOST_CHOICES:
             return None
     return found
 
 
-def _analyse(tree):
+def _analyse(tree, flags):
     """(the finite set of strings it can match or None, what its matches must hold)."""
     exact, clauses, whole = {""}, [], True
 
@@ -106,18 +122,18 @@ def _analyse(tree):
 
     for kind, value in tree:
         if kind is op.LITERAL:
-            piece, query = {chr(value).lower()}, True
+            piece, query = _letters(value, flags), True
         elif kind is op.IN:
-            piece, query = _choices(value), True
+            piece, query = _choices(value, flags), True
         elif kind is op.SUBPATTERN:
-            piece, query = _analyse(value[3])
+            piece, query = _analyse(value[3], (flags | value[1]) & ~value[2])
         elif kind is op.BRANCH:
-            parts = [_analyse(x) for x in value[1]]
+            parts = [_analyse(x, flags) for x in value[1]]
             piece = set().union(*(p for p, _ in parts)) if all(p is not None for p, _ in parts) else None
             query = _any([q for _, q in parts])
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
             least, most, inner = value
-            piece, query = _analyse(inner)
+            piece, query = _analyse(inner, flags)
             if (least, most) == (0, 1) and piece is not None:
                 piece, query = piece | {""}, True
             elif least != most or piece is None or len(piece) > 1 or least > 8:
@@ -141,7 +157,8 @@ def _analyse(tree):
 
 def trigram_query(pattern: str):
     """What a document must hold for the pattern to match: True, a trigram, or ("all" | "any", queries)."""
-    return _analyse(parser.parse(pattern))[1]
+    tree = parser.parse(pattern)
+    return _analyse(tree, tree.state.flags)[1]
 
 
 def trigrams_of(query) -> set[bytes]:
@@ -205,7 +222,7 @@ class Scanner:
         self.compiled = [re.compile(r.pattern) for r in rules]
         self.queries = [trigram_query(r.pattern) for r in rules]
         self.trigrams = sorted(set().union(*map(trigrams_of, self.queries)))
-        self.wanted = np.zeros(1 << 24, np.uint16)
+        self.wanted = np.zeros(1 << 24, np.min_scalar_type(len(self.trigrams)))
         for i, t in enumerate(self.trigrams):
             self.wanted[t[0] << 16 | t[1] << 8 | t[2]] = i + 1
 

@@ -35,6 +35,32 @@ def test_queries_never_miss_a_match(pattern):
     assert {i for i, t in enumerate(texts) if re.search(pattern, t)} <= found
 
 
+@pytest.mark.parametrize("pattern,texts", [
+    ("ÉCLAIRKEY[0-9]+", ["ÉCLAIRKEY12", "éCLAIRKEY12", "xÉCLAIRKEY9"]),
+    ("(?i)secretkey[0-9]+", ["SecretKey1", "\u017fecretkey1", "secret\u212aey2", "sekretkey1"]),
+    ("(?i:kis)T[a-d]e[ÀÉ]f", ["\u212a\u0130\u017fTbeÉf", "kisTdeÀf", "kistdeÀf"]),
+    ("(?i)clé=[A-C]id", ["CLÉ=B\u0131D", "clé=aid", "cle=aid"]),
+    ("(?i)ab(?-i:XYZ)q", ["ABXYZQ", "abxyzq"]),
+])
+def test_queries_follow_case_as_the_expressions_do(pattern, texts):
+    scanner = secrets.Scanner((secrets.Rule("x", pattern),))
+    assert [bool(s) for s in scanner.spans(texts)] == [bool(re.search(pattern, t)) for t in texts] and any(re.search(pattern, t) for t in texts)
+
+
+def test_partners_are_all_there_are():
+    every = [chr(c) for c in range(128, 0x110000)]
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        one = re.compile(f"(?i){c}")
+        assert {x for x in every if one.match(x)} == set(secrets.PARTNERS.get(c, "")), c
+
+
+def test_scanner_of_many_trigrams():
+    every = ["".join(x) for x in itertools.product("0123456789abcdefghijklmnopqrstuvwxyz_,;:!~", repeat=3)]
+    scanner = secrets.Scanner((secrets.Rule("long", ".".join(every)), secrets.Rule("last", "~~~=~")))
+    assert len(scanner.trigrams) > 1 << 16
+    assert scanner.spans(["a~~~=~", "~~=~", " ".join(every)]) == [[(1, 1, 6)], [], [(0, 0, 4 * len(every) - 1)]]
+
+
 def test_segment_reads_no_trigram_across_documents():
     wanted = np.zeros(1 << 24, np.uint16)
     wanted[0x616263] = 1
