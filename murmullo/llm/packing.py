@@ -117,23 +117,28 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
 
 PACKED = pa.schema([
     ("window", pa.string()), ("row", pa.int32()), ("n_ids", pa.int32()), ("input_ids", pa.binary()), ("position_ids", pa.binary()),
-    ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
+    ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ordinals", pa.list_(pa.int64())),
 ])
-PACKED_COLUMNS = "window string, row int, n_ids int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+PACKED_COLUMNS = "window string, row int, n_ids int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, ordinals array<long>"
 
 
-def pack_window(pieces: list[tuple[int | None, int, np.ndarray]], name: str, length: int, end_id: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """Rows of the pieces (document, start, ids) of a window, as many at a time as make a batch."""
+def position_kind(length: int) -> str:
+    """Type of the positions in rows of a length; that of the ids follows from the vocabulary."""
+    return "<u2" if length <= 1 << 16 else "<u4"
+
+
+def pack_window(pieces: list[tuple[int | None, int, np.ndarray, int]], name: str, length: int, end_id: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows of the pieces (document, start, ids, number of the document in the window) of a window, as many at a time as make a batch."""
     held = []
     for number, row in enumerate(best_fit([len(p[2]) for p in pieces], length)):
         parts = [pieces[i] for i in row]
         sizes = [len(p[2]) for p in parts]
-        n, ids, positions = sum(sizes), np.full(length, end_id, kind), np.zeros(length, kind)
+        n, ids, positions = sum(sizes), np.full(length, end_id, kind), np.zeros(length, position_kind(length))
         ids[:n] = np.concatenate([p[2] for p in parts])
         positions[:n] = np.concatenate([np.arange(s) for s in sizes])
         held.append({
             "window": name, "row": number, "n_ids": n, "input_ids": ids.tobytes(), "position_ids": positions.tobytes(),
-            "cu_seqlens": np.cumsum([0, *sizes]).tolist(), "doc_ids": [p[0] for p in parts], "starts": [p[1] for p in parts],
+            "cu_seqlens": np.cumsum([0, *sizes]).tolist(), "doc_ids": [p[0] for p in parts], "starts": [p[1] for p in parts], "ordinals": [p[3] for p in parts],
         })
         if len(held) == 512:
             yield pa.RecordBatch.from_pylist(held, schema=PACKED)
@@ -145,20 +150,22 @@ def pack_window(pieces: list[tuple[int | None, int, np.ndarray]], name: str, len
 def pack(documents: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = END_ID, window_ids: int = WINDOW_IDS,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Packed rows: window and row, n_ids used, input_ids and position_ids (little-endian, ``length`` each, 2 bytes
-    an id for vocabularies below 65,536, unused places filled with ``end_id`` and 0), cu_seqlens, and for each segment its document and
-    its start within the document's ids."""
+    an id for vocabularies below 65,536 and a position in rows of up to 65,536 ids, else 4; unused places filled with ``end_id`` and 0),
+    cu_seqlens, and for each segment its document, its start within the document's ids and the document's number within the window:
+    window and number tell documents apart whose ids are null or repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = Encoder(vocabulary), TaskContext.get().partitionId(), 0
-        pieces, held = [], 0
+        pieces, held, ordinal = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 ids = np.append(encoder.encode(text.as_py() or ""), np.array([end_id], encoder.kind))
-                pieces += [(doc, at, ids[at:at + length]) for at in range(0, len(ids), length)]
+                pieces += [(doc, at, ids[at:at + length], ordinal) for at in range(0, len(ids), length)]
+                ordinal += 1
                 held += len(ids)
                 if held >= window_ids:
                     yield from pack_window(pieces, f"{part}-{number}", length, end_id, encoder.kind)
-                    pieces, held, number = [], 0, number + 1
+                    pieces, held, ordinal, number = [], 0, 0, number + 1
         if pieces:
             yield from pack_window(pieces, f"{part}-{number}", length, end_id, encoder.kind)
 
@@ -191,11 +198,11 @@ def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> Data
     return packed.mapInArrow(run, "ids_path string, positions_path string, n_rows long, cu_seqlens array<array<int>>")
 
 
-def unpack(rows: list[dict], vocabulary: str = VOCABULARY) -> dict[int | None, str]:
-    """Texts of packed rows, for checks on small tables (documents with distinct ids)."""
+def unpack(rows: list[dict], vocabulary: str = VOCABULARY) -> list[tuple[int | None, str]]:
+    """Id and text of every document of packed rows, for checks on small tables."""
     encoder, parts = Encoder(vocabulary), {}
     for r in rows:
         ids = np.frombuffer(r["input_ids"], encoder.kind)
-        for k, (doc, start) in enumerate(zip(r["doc_ids"], r["starts"])):
-            parts.setdefault(doc, []).append((start, ids[r["cu_seqlens"][k]:r["cu_seqlens"][k + 1]]))
-    return {doc: encoder.encoding.decode(np.concatenate([p for _, p in sorted(x, key=lambda y: y[0])])[:-1].tolist()) for doc, x in parts.items()}
+        for k, (doc, start, ordinal) in enumerate(zip(r["doc_ids"], r["starts"], r["ordinals"])):
+            parts.setdefault((r["window"], ordinal, doc), []).append((start, ids[r["cu_seqlens"][k]:r["cu_seqlens"][k + 1]]))
+    return [(k[2], encoder.encoding.decode(np.concatenate([p for _, p in sorted(x, key=lambda y: y[0])])[:-1].tolist())) for k, x in parts.items()]
