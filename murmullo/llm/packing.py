@@ -14,7 +14,6 @@ beside its piece; repeated rows are packed each; an empty table gives no rows; o
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,37 +28,21 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END_ID = 50256
 LENGTH = 2048
 WINDOW_IDS = 4_000_000
-_LOOSE = re.compile(r"^\s|\s\s|\s$")
 
 
-class Encoder(dict):
-    """Ids of texts as bytes. Pieces between single blanks are encoded once and remembered, up to a bound."""
+class Encoder:
+    """Ids of texts in the type that the vocabulary needs."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 400_000):
+    def __init__(self, vocabulary: str = VOCABULARY):
         import tiktoken
 
         with open(vocabulary, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kind, self.most = ("<u2" if len(ranks) < 1 << 16 else "<u4"), most
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(" " + word)
-        if len(word) < 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.kind = "<u2" if len(ranks) < 1 << 16 else "<u4"
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. No piece of the pattern spans a single blank between two other characters."""
-        if not text or _LOOSE.search(text):
-            return np.frombuffer(self._ids(text), self.kind)
-        first, *rest = text.split(" ")
-        return np.frombuffer(self._ids(first) + b"".join([self[w] for w in rest]), self.kind)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
 
 
 class CapacityTree:
