@@ -1,14 +1,14 @@
 """Stream queries (family J): real runs over a landed topic, compared with SQL over the same comments.
 
-The topic lies in a folder per topic partition and windowed streams read one file per micro-batch, so partitions
-advance unevenly; their result is still compared with all comments.
+The topic lies in a folder per topic partition, in files of bounded size, and windowed streams read as many files per micro-batch
+as a partition has, so partitions advance unevenly; their result is still compared with all comments.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import sql as S
+from checks import sql as S, tables
 from checks.data import TEST_ACTORS, comments, read, rules
 from checks.q_ingest import _topic_rows
 from checks.q_rules import ALERTS_SQL
@@ -18,22 +18,29 @@ from murmullo.sources import topics
 from murmullo.streaming import jobs, runner
 
 WINDOW = "10 seconds"
+FILE_BYTES = 16 << 20  # message bytes of a topic partition that go to one file: a task writes, and later reads, no more
 _LANDED: dict = {}
 
 
-def _topic(spark, sf) -> str:
-    """The topic of a data folder as parquet files, landed once per application."""
+def _topic(spark, sf) -> tuple[str, int]:
+    """The topic of a data folder as parquet files, landed once per application, and how many files its fullest partition needs."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LANDED:
         path = scratch_path(spark, "topic")
-        _topic_rows(spark, sf).withColumn("part", F.col("partition")).repartition("part").write.partitionBy("part").parquet(path)
-        _LANDED[key] = path
+        sizes = comments(spark, sf).groupBy("kafka_partition").agg(F.sum(F.octet_length("message_raw")).alias("bytes"))
+        files = 1 + (sizes.agg(F.max("bytes")).first()[0] or 0) // FILE_BYTES
+        rows = _topic_rows(spark, sf).withColumn("part", F.col("partition"))
+        # every partition in as many files, by the offset: hashes of so few keys would put several of them into one task
+        place = F.col("part") * files + F.pmod(F.col("offset"), F.lit(files))
+        rows.repartitionById(tables.PARTITIONS * files, place.cast("int")).write.partitionBy("part").parquet(path)
+        _LANDED[key] = path, files
     return _LANDED[key]
 
 
-def topic_stream(spark, sf, files_per_batch=None):
-    path = _topic(spark, sf)
-    return topics.parse_events(topics.stream_table(spark, path, spark.read.parquet(path).schema, files_per_batch).drop("part"))
+def topic_stream(spark, sf, partitions_per_batch=None):
+    path, files = _topic(spark, sf)
+    per_batch = partitions_per_batch and partitions_per_batch * files
+    return topics.parse_events(topics.stream_table(spark, path, spark.read.parquet(path).schema, per_batch).drop("part"))
 
 
 def _run(spark, results, name):
@@ -112,12 +119,13 @@ _SPLIT_SQL = S.chain(S.COMMENTS, final="SELECT kafka_partition, count(*) AS rows
 def j06(spark, sf):
     # a run that is stopped half way, new data in the topic, and a restart that goes on from the checkpoint
     root, topic = scratch_path(spark, "stream"), scratch_path(spark, "growing")
-    landed = spark.read.parquet(_topic(spark, sf))
+    path, files = _topic(spark, sf)
+    landed = spark.read.parquet(path)
 
     def events():
-        return topics.parse_events(topics.stream_table(spark, topic, landed.schema, 1).drop("part"))
+        return topics.parse_events(topics.stream_table(spark, topic, landed.schema, files).drop("part"))
 
-    landed.where("part < 2").repartition(2, "offset").write.partitionBy("part").parquet(topic)
+    landed.where("part < 2").repartition(2 * files, "offset").write.partitionBy("part").parquet(topic)
     runner.run_available(jobs.normalise(events()), "normalise", root, messages=1)
     landed.where("part >= 2").write.mode("append").partitionBy("part").parquet(topic)
     for _ in range(2):
@@ -232,11 +240,12 @@ def _event_time(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
         topic, root = scratch_path(spark, "slices"), scratch_path(spark, "stream")
-        landed = spark.read.parquet(_topic(spark, sf)).drop("part")
-        for batch in range(6):  # one file after the other: the source goes by their age
-            landed.where((F.col("partition") * 2 + F.col("offset") % 2) == batch).coalesce(1).write.mode("append").parquet(topic)
-        events = topics.parse_events(topics.stream_table(spark, topic, landed.schema, 1))
-        _RUNS[key] = runner.run_event_time(events, lambda e: jobs.session_partials(e, GAP), "sessions", root, LATENESS, jobs.session_merge, jobs.EVENT_TIME, "last")
+        landed = spark.read.parquet(_topic(spark, sf)[0])
+        for batch in range(6):  # a slice has any number of files: the run goes on from its checkpoint as each slice comes
+            slice_rows = landed.where((F.col("part") == batch // 2) & (F.col("offset") % 2 == batch % 2)).drop("part")
+            slice_rows.write.mode("append").parquet(topic)
+            events = topics.parse_events(topics.stream_table(spark, topic, slice_rows.schema))
+            _RUNS[key] = runner.run_event_time(events, lambda e: jobs.session_partials(e, GAP), "sessions", root, LATENESS, jobs.session_merge, jobs.EVENT_TIME, "last")
     return _RUNS[key]
 
 

@@ -129,3 +129,21 @@ def test_latency_quantiles_from_sketches(spark):
     exact = jobs.exact_latency_stats(merged, latencies).first()
     assert exact.p50_latency_ms == (ordered[n // 2 - 1] + ordered[n // 2]) / 2 and exact.max_latency_ms == ordered[-1]
     assert tuple(jobs.latency_stats(rows.where("false"), "a", "b").first()) == (None,) * 4
+
+
+def test_topic_is_landed_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from checks import q_streams
+
+    turns = [(conv, turn, "user", f"message {conv} {turn} " + "x" * 50) for conv in range(30) for turn in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(q_streams, "FILE_BYTES", 8000, raising=False)
+    q_streams._topic(spark, str(tmp_path))
+    landed = spark.read.parquet(q_streams._LANDED[spark.sparkContext.applicationId, str(tmp_path)][0])
+    per_file = [r["count"] for r in landed.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per_file) == 1200 and max(per_file) <= 150
+    found, late, _ = q_streams._event_time(spark, str(tmp_path))
+    assert jobs.session_totals(found, q_streams.GAP).agg(F.sum("comments")).first()[0] + late.count() == 1200
+    # slices are micro-batches whatever the number of their files
+    times = {b: [t for p, o, t in landed.select("partition", "offset", F.unix_micros("timestamp")).collect() if p * 2 + o % 2 == b] for b in range(6)}
+    marks = [max((t for b in range(batch) for t in times[b]), default=None) for batch in range(6)]
+    assert late.count() == sum(1 for b in range(1, 6) for t in times[b] if t < marks[b] - 20_000_000)
