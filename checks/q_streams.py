@@ -18,7 +18,7 @@ from murmullo.sources import topics
 from murmullo.streaming import jobs, runner
 
 WINDOW = "10 seconds"
-FILE_BYTES = 16 << 20  # message bytes of a topic partition that go to one file: a task writes, and later reads, no more
+FILE_BYTES = 16 << 20  # message bytes of a topic partition that go to one file, written by one task
 _LANDED: dict = {}
 
 
