@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from murmullo.functions.text import clean_text_unicode, text_or_empty
 
 # Emoji blocks, laughter runs and repetition patterns.
 EMOJI_CLASS = "[\U0001F300-\U0001FAFF\u2600-\u27BF]"
-LAUGHTER = r"(?i)((ja){5,}|(jaja){3,}|(xd){4,})"
-LAUGHTER_WITH_Z = r"(?i)((ja){5,}|(jaja){3,}|(xd){4,}|(zzz){3,})"
+LAUGHTER = ("ja" * 5, "xd" * 4)
+LAUGHTER_WITH_Z = (*LAUGHTER, "zzz" * 3)
 REPEATED_CHARACTER = r"(.)\1{5,}"
 REPEATED_WORD = r"\b(\w+)(?:\s+\1){2,}\b"
 
@@ -17,8 +20,7 @@ REPEATED_WORD = r"\b(\w+)(?:\s+\1){2,}\b"
 def is_symbol_only(raw: Column) -> Column:
     """Non-blank text with nothing but emoji, blanks and non-word characters (ASCII notion of word)."""
     text = text_or_empty(raw)
-    rest = F.regexp_replace(text, EMOJI_CLASS + r"|\s", "")
-    return (F.length(F.trim(text)) > 0) & ~rest.rlike(r"[a-zA-Z0-9]")
+    return (F.length(F.trim(text)) > 0) & ~text.rlike(r"[a-zA-Z0-9]")
 
 
 def is_symbol_only_unicode(raw: Column, normalized: Column) -> Column:
@@ -32,7 +34,9 @@ def is_symbol_only_unicode(raw: Column, normalized: Column) -> Column:
 
 
 def is_laughter(normalized: Column, with_z: bool = True) -> Column:
-    return normalized.rlike(LAUGHTER_WITH_Z if with_z else LAUGHTER)
+    """The shortest runs that count, in either case: plain searches, several times faster than a case-blind pattern."""
+    found = [F.contains(F.lower(normalized), F.lit(run)) for run in (LAUGHTER_WITH_Z if with_z else LAUGHTER)]
+    return reduce(or_, found)
 
 
 def has_repetition(raw: Column, normalized: Column) -> Column:
