@@ -13,7 +13,7 @@ from checks.data import comments, rules, ruled
 from checks.registry import query
 from murmullo.operators.corpus import prepare_corpus
 from murmullo.plans import batch, training
-from murmullo.session import scratch_path
+from murmullo.session import materialize, scratch_path
 from checks import tables
 
 _FITTED: dict = {}
@@ -153,10 +153,10 @@ def k06_checked(spark, sf):
 @query("k07_two_pipelines_checked", S.chain(S.CORPUS, final=_TEST_ROWS))
 def k07_pipelines(spark, sf):
     """Two separately trained pipelines, saved and loaded, applied one after the other: each gives what it gives alone."""
-    train, path, test, alone = prepare_corpus(tables.splits(spark, sf)["train"]), scratch_path(spark, "pipelines"), _test(spark, sf), {}
-    for name, (label, weight, _) in training.HEADS.items():
-        weighted = training.attach_class_weight(train, label, weight)
-        training.build_pipeline(label, weight, name, max_iter=5).fit(weighted).write().save(f"{path}/{name}")
+    train = materialize(prepare_corpus(tables.splits(spark, sf)["train"]).select("text_clean", "label_binary", "label_original"), "train")
+    path, test, alone = scratch_path(spark, "pipelines"), materialize(_test(spark, sf).select("comment_id", "text_clean"), "test"), {}
+    for name in training.HEADS:
+        training.fit_pipeline(train, name, max_iter=5).write().save(f"{path}/{name}")
         alone[name] = PipelineModel.load(f"{path}/{name}").transform(test).select("comment_id", F.col(name).cast("int").alias(f"alone_{name}"))
     both = training.apply_pipelines(test, *[PipelineModel.load(f"{path}/{name}") for name in (training.BINARY, training.MULTI)])
     same = both.join(alone[training.BINARY], "comment_id").join(alone[training.MULTI], "comment_id")
