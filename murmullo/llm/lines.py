@@ -315,15 +315,17 @@ PAIR = "doc long, line int, to_doc long, to_line int, kind int"
 
 def _near(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of entries pass the length, position and bitmap filters."""
+    # each filter looks only at the pairs that the one before has left
     n, m = a["n"][i], a["n"][j]
+    ok = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j, n, m = i[ok], j[ok], n[ok], m[ok]
     need = (percent * (n + m) + 99 + percent) // (100 + percent)
     p, q = a["spot"][i], a["spot"][j]
-    most = np.minimum(p, q) + np.minimum(n - p, m - q)
-    ok = np.flatnonzero((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most >= need))
-    i, j = i[ok], j[ok]
+    far = np.flatnonzero(np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
+    ok, i, j, room = ok[far], i[far], j[far], (n + m - 2 * need)[far]
     # as unsigned numbers: bits of negative ones are counted in their absolute value
     apart = sum(np.bitwise_count((a[s][i] ^ a[s][j]).view(np.uint64)).astype(np.int64) for s in ("s0", "s1"))
-    return ok[apart <= n[ok] + m[ok] - 2 * need[ok]]
+    return ok[apart <= room]
 
 
 def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.ndarray | None = None) -> DataFrame:
