@@ -26,7 +26,7 @@ differ; an empty table gives an empty result; other columns are ignored or carri
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ PERCENT, LEAST = 80, 1
 BUCKET_BITS, CHUNK_BITS = 20, 12
 SEEN_BITS = 24
 RUN_BYTES = 2 << 20
+ROWS = 256  # texts of a batch that are taken from it at a time
+PAIRS = 1 << 18  # pairs of entries compared at a time, about
 GROUP = 64  # groups up to this size give all candidates at once
 MOST, SURE = 16, 4
 BLOCK_ENTRIES = 500_000  # entries of a word from which its group is split
@@ -129,7 +131,7 @@ class Lines:
         return self.sizes - (percent * self.sizes + 99) // 100 + 1
 
 
-def parts(texts: list[bytes | None], ids: list) -> Iterator[list[tuple[int, int, bytes]]]:
+def parts(texts: Iterable[bytes | None], ids: list) -> Iterator[list[tuple[int, int, bytes]]]:
     """Runs of about RUN_BYTES of the texts that have an id; a long text is cut between lines."""
     run, size = [], 0
     for i, (raw, doc) in enumerate(zip(texts, ids)):
@@ -152,9 +154,10 @@ def parts(texts: list[bytes | None], ids: list) -> Iterator[list[tuple[int, int,
         yield run
 
 
-def _raw(batch: pa.RecordBatch) -> list[bytes | None]:
-    """The texts of a batch in UTF-8, as they lie there."""
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _raw(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts of a batch in UTF-8, as they lie there, a few copied at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield from batch.column("text").slice(at, ROWS).cast(pa.binary()).to_pylist()
 
 
 def rarity(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -343,7 +346,7 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
 
     def small(a, starts, size):
         x, y = np.triu_indices(size, 1)
-        step = max(1, 1_000_000 // len(x))
+        step = max(1, PAIRS // len(x))
         for at in range(0, len(starts), step):
             base = starts[at:at + step, None]
             i, j = (base + x).ravel(), (base + y).ravel()
@@ -369,8 +372,8 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
         A line with ``SURE`` candidates that differ in few bits asks no further: one of these will do.
         """
         probes = np.arange(start, end) if a["asks"] is None else start + np.flatnonzero(a["asks"][start:end])
-        for at in range(0, len(probes), 1024):
-            j = probes[at:at + 1024]
+        for at in range(0, len(probes), PAIRS // 1024):
+            j = probes[at:at + PAIRS // 1024]
             base = int(j[0])
             more, sure = np.zeros(int(j[-1]) - base + 1, bool), np.zeros(len(j), np.int64)
             left, right = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -419,7 +422,7 @@ def _candidates(entries: DataFrame, percent: int, most: int | None, asking: np.n
         order = order[np.lexsort((a["at"][order], a["doc"][order], a["key"][order]))]
         a = {c: x[order] for c, x in a.items()}
         a["line"], a["spot"], a["n"] = a["at"] >> 32, a["at"] & 0xFFFFFFFF, a["n"].astype(np.int64)
-        a["asks"] = None if held.value is None else held.value[_spot(a["doc"], a["line"])].astype(bool)
+        a["asks"] = None if held.value is None else _asked(held.value, a["doc"], a["line"])
         first = np.flatnonzero(np.concatenate(([True], a["key"][1:] != a["key"][:-1]))) if len(order) else order
         sizes = np.diff(np.append(first, len(order)))
         for size in np.unique(sizes[sizes <= GROUP]).tolist():
@@ -435,15 +438,22 @@ def _spot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (_mix(doc.astype(np.uint64) * _K + line.astype(np.uint64)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
 
 
+def _asked(table: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which lines have their bit set in a table of lines in question."""
+    spot = _spot(doc, line)
+    return table[spot >> 3] & (128 >> (spot & 7)) != 0
+
+
 def _in_question(pairs: DataFrame) -> np.ndarray:
-    """A table of 2^SEEN_BITS bits with those of all lines in the pairs set, packed to bytes."""
+    """A table of 2^SEEN_BITS bits with those of all lines in the pairs set, eight to a byte: workers keep it so."""
     ends = pairs.select("doc", "line").union(pairs.select("to_doc", "to_line")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SEEN_BITS, bool)
+        seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
         for batch in batches:
-            seen[_spot(batch.column("doc").to_numpy(), batch.column("line").to_numpy())] = True
-        chunks = np.packbits(seen).reshape(-1, 1 << 12)
+            spot = _spot(batch.column("doc").to_numpy(), batch.column("line").to_numpy())
+            np.bitwise_or.at(seen, spot >> 3, (128 >> (spot & 7)).astype(np.uint8))
+        chunks = seen.reshape(-1, 1 << 12)
         used = np.flatnonzero(chunks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[k].tobytes() for k in used], pa.binary())], ["chunk", "bits"])
 
@@ -458,7 +468,7 @@ def _in_question(pairs: DataFrame) -> np.ndarray:
     table = np.zeros((1 << (SEEN_BITS - 15), 1 << 12), np.uint8)
     for r in ends.mapInArrow(run, kinds).repartition("chunk").mapInArrow(unite, kinds).collect():  # at most 2^SEEN_BITS bits
         table[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(table.ravel())
+    return table.ravel()
 
 
 def _words_of(docs: DataFrame, pairs: DataFrame, least: int, levels: np.ndarray | None = None, percent: int | None = None) -> DataFrame:
@@ -478,13 +488,15 @@ def _words_of(docs: DataFrame, pairs: DataFrame, least: int, levels: np.ndarray
         seen, levels = held.value
         some, size = [], 0
         for batch in batches:
-            texts, ids = _raw(batch), batch.column("id").to_pylist()
-            known = [i for i, doc in enumerate(ids) if texts[i] and doc is not None]
-            for at in range(0, len(known), 256):
-                block = known[at:at + 256]
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                texts, ids = list(_raw(rows)), rows.column("id").to_pylist()
+                block = [i for i, doc in enumerate(ids) if texts[i] and doc is not None]
+                if not block:
+                    continue
                 n = np.array([texts[i].count(b"\n") + 1 for i in block])
                 line = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                asked = np.flatnonzero(seen[_spot(np.repeat(np.array([ids[i] for i in block], np.int64), n), line)])
+                asked = np.flatnonzero(_asked(seen, np.repeat(np.array([ids[i] for i in block], np.int64), n), line))
                 owner = np.repeat(np.array(block), n)[asked].tolist()
                 last, whole = None, []
                 for i, k in zip(owner, line[asked].tolist()):
