@@ -145,11 +145,16 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
 
 GROUP = "batch_group"  # folder of a batch table
 BATCHES_PER_GROUP = 64
+FILE_ROWS = 100_000  # a file of a batch table has whole batches of so many rows, or one batch
+
+
+def _batch_index(batch_id: Column, size: int) -> Column:
+    return F.substring_index(batch_id, "_", -1).cast("long") / size - 1
 
 
 def batch_group(batch_id: Column, size: int) -> Column:
     """Folder number of a batch: 64 batches of ``size`` rows that follow each other share one."""
-    return F.floor((F.substring_index(batch_id, "_", -1).cast("long") / size - 1) / BATCHES_PER_GROUP).cast("int")
+    return F.floor(_batch_index(batch_id, size) / BATCHES_PER_GROUP).cast("int")
 
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -178,9 +183,10 @@ def write_batch(batched: DataFrame, path: str, size: int, force: bool = False) -
             rows, ids, others = (rows.join(there, "batch_id", "left_anti"), ids.join(there, "batch_id", "left_anti"), known)
         touched = others.join(ids.select(GROUP).distinct(), GROUP, "left_semi")
         rows = rows.unionByName(touched.select(rows.columns))
-    # a batch is rows of equal number in every range: one task writes it, and any others of its folder
+    # batches that follow each other go to one task, a file's worth: every listing of the table tells the driver of each file
+    following = F.floor(_batch_index(F.col("batch_id"), size) / max(FILE_ROWS // size, 1))
     (
-        rows.repartition("batch_id").sortWithinPartitions(GROUP, "batch_id").write.mode("overwrite")
+        rows.repartition(GROUP, following).sortWithinPartitions(GROUP, "batch_id").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(GROUP)
         .parquet(path)
@@ -189,7 +195,11 @@ def write_batch(batched: DataFrame, path: str, size: int, force: bool = False) -
 
 def read_batches(spark: SparkSession, path: str, size: int, ids: DataFrame | None = None) -> DataFrame:
     """Rows of a batch table, of the given batches (batch_id) only if told; their folders prune the scan."""
-    table = spark.read.parquet(path)
+    return pick_batches(spark.read.parquet(path), size, ids)
+
+
+def pick_batches(table: DataFrame, size: int, ids: DataFrame | None = None) -> DataFrame:
+    """As ``read_batches``, of a table whose folders have been listed (``stored_table``) and not written since."""
     if ids is not None:
         wanted = ids.select("batch_id").distinct().withColumn(GROUP, batch_group(F.col("batch_id"), size))
         table = table.join(wanted, [GROUP, "batch_id"], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from murmullo.operators.aggregates import minute_aggregates_hybrid
-from murmullo.operators.batches import append_status, assign_batch, ledger_latest, read_batches, stored_table, write_batch
+from murmullo.operators.batches import append_status, assign_batch, ledger_latest, pick_batches, stored_table, write_batch
 from murmullo.operators.hybrid import score_hybrid
 from murmullo.operators.joins import join_rules_ml
 from murmullo.operators.rules import FLAG_COLUMNS, add_rules
@@ -80,9 +80,10 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
     of ``raw``. Complete batches go on; each of the others is noted as waiting with its number of rows
     and keeps no other batch back. Each stage is a table of grouped batches and every write
     replaces whole batches, so a run that was cut short can simply be started again. Many ranges go
-    through one Spark job.
+    through one Spark job. A table's folders are listed before and after its one write, and the join of
+    stage tables sends neither of them to the driver.
     """
-    spark = raw.sparkSession
+    spark, tables = raw.sparkSession, {}
     ledger_path, extra = f"{root}/ledger", ("batch_id",)
     batched = assign_batch(raw, size)
     done = None if force else done_batches(spark, ledger_path)
@@ -90,26 +91,24 @@ def run_batch(raw: DataFrame, models: ModelBundle, root: str, size: int, rules="
         done = materialize(done, "done")
         batched = batched.join(done, "batch_id", "left_anti")
     write_batch(batched, f"{root}/raw", size, force=True)
-    landed = read_batches(spark, f"{root}/raw", size)
+    tables["raw"] = spark.read.parquet(f"{root}/raw")
+    landed = pick_batches(tables["raw"], size)
     ranges = landed_ranges(landed if done is None else landed.join(done, "batch_id", "left_anti"), size)
     todo = ranges.where("complete")
     append_status(spark, ledger_path, _status(spark, ranges.where("not complete"), "raw", "waiting", size, "incomplete"))
 
-    def stage(name: str) -> DataFrame:
-        """Rows of this run in a stage table."""
-        return read_batches(spark, f"{root}/{name}", size, todo)
-
     def land(name: str, df: DataFrame) -> DataFrame:
+        """Write a stage table; its rows of this run."""
         write_batch(df, f"{root}/{name}", size, force=True)
         append_status(spark, ledger_path, _status(spark, todo, name, "running", size, name))
-        return stage(name)
+        tables[name] = spark.read.parquet(f"{root}/{name}")
+        return pick_batches(tables[name], size, todo)
 
     append_status(spark, ledger_path, _status(spark, todo, "raw", "running", size, "raw"))
-    landed = stage("raw")
+    landed = pick_batches(tables["raw"], size, todo)
     ruled = land("rules", rules_stage(landed, rules, extra))
     predicted = land("ml", ml_stage(landed, models, extra))
-    hybrid = land("hybrid", score_hybrid(join_rules_ml(ruled, predicted.drop("batch_id")), "k"))
+    hybrid = land("hybrid", score_hybrid(join_rules_ml(ruled.hint("merge"), predicted.drop("batch_id")), "k"))
     land("aggregates", minute_aggregates_hybrid(hybrid, extra_keys=extra))
     append_status(spark, ledger_path, _status(spark, todo, "complete", "done", size, "complete"))
-    tables = {name: read_batches(spark, f"{root}/{name}", size) for name in STAGES}
-    return {**tables, "ledger": ledger_latest(spark.read.parquet(ledger_path))}
+    return {**{name: pick_batches(tables[name], size) for name in STAGES}, "ledger": ledger_latest(spark.read.parquet(ledger_path))}
